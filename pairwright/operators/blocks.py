@@ -91,12 +91,12 @@ def running_state(
     the last value set, if any, and the parity of the flips since. That is what a block passes on.
     """
     if not blocks:
-        return _state_prefix(df, keys, order, from_off, from_on).withColumn(
+        return state_prefix(df, keys, order, from_off, from_on).withColumn(
             out, (F.coalesce("_set", initial) + F.col("_flips")) % 2
         ).drop("_set", "_flips")
 
     block, coarser = blocks[0], list(blocks[1:])
-    rows = _state_prefix(df, [*keys, block], order, from_off, from_on)
+    rows = state_prefix(df, [*keys, block], order, from_off, from_on)
     sets = from_off == from_on
     after = F.struct(
         F.when(sets, from_off).otherwise(F.col("_set")).cast("int").alias("set"),
@@ -109,18 +109,22 @@ def running_state(
         F.max_by(after, F.struct(*order)).alias("_after"),
         F.first(initial).alias("_initial"),
     )
-    acts = lambda start: (F.coalesce("_after.set", F.lit(start)) + F.col("_after.flips")) % 2
+
+    def acts(start: int) -> Column:
+        return (F.coalesce("_after.set", F.lit(start)) + F.col("_after.flips")) % 2
+
+    carry = f"_carried_{len(blocks)}"
     carried = running_state(
-        per_block, keys, [block], acts(0), acts(1), F.col("_initial"), coarser, "_carried"
-    ).select(*keys, block, "_carried")
+        per_block, keys, [block], acts(0), acts(1), F.col("_initial"), coarser, carry
+    ).select(*keys, block, carry)
     return (
         rows.join(carried, [*keys, block])
-        .withColumn(out, (F.coalesce("_set", "_carried") + F.col("_flips")) % 2)
-        .drop("_set", "_flips", "_carried")
+        .withColumn(out, (F.coalesce("_set", carry) + F.col("_flips")) % 2)
+        .drop("_set", "_flips", carry)
     )
 
 
-def _state_prefix(
+def state_prefix(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], from_off: Column, from_on: Column
 ) -> DataFrame:
     """What all earlier rows of the key amount to: the last value set and the flips since."""
@@ -131,18 +135,18 @@ def _state_prefix(
     return (
         df.withColumn("_all", F.sum(flip).over(through))
         .withColumn(
-            "_last",
+            "_last_set",
             F.last(
                 F.when(from_off == from_on, F.struct(from_off.alias("set"), F.col("_all"))),
                 ignorenulls=True,
             ).over(earlier),
         )
-        .withColumn("_set", F.col("_last.set").cast("int"))
+        .withColumn("_set", F.col("_last_set.set").cast("int"))
         .withColumn(
             "_flips",
-            ((F.col("_all") - flip - F.coalesce("_last._all", F.lit(0))) % 2).cast("int"),
+            ((F.col("_all") - flip - F.coalesce("_last_set._all", F.lit(0))) % 2).cast("int"),
         )
-        .drop("_all", "_last")
+        .drop("_all", "_last_set")
     )
 
 

@@ -11,8 +11,10 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwright.functions.normalize import DATE_ORDERS, DAY_FIRST
 
@@ -120,26 +122,28 @@ class Config:
             )
             for pos, s in enumerate(self.sources)
         ]
-        return spark.createDataFrame(
+        return local_table(
+            spark,
             rows,
             "source string, source_pos int, by_id boolean, pair_on string, "
-            "match_fields array<string>, readable_fields array<string>, date_order string, "
+            "match_fields array<string>, compare_fields array<string>, date_order string, "
             "label_document string, label_spreadsheet string",
-        ).withColumnRenamed("readable_fields", "compare_fields")
+        )
 
     def layout_table(self, spark: SparkSession) -> DataFrame:
         """Column starts, left to right, and markers of each source's statements."""
         rows = [
             (
                 s.name,
-                [(float(x), pos, f) for x, pos, f in _starts(s)],
+                [{"x0": float(x), "pos": pos, "field": f} for x, pos, f in _starts(s)],
                 [m.lower() for m in s.start_markers],
                 [m.lower() for m in s.stop_markers],
                 [m.lower() for m in s.skip_markers],
             )
             for s in self.sources
         ]
-        return spark.createDataFrame(
+        return local_table(
+            spark,
             rows,
             "source string, starts array<struct<x0:double,pos:int,field:string>>, "
             "start_markers array<string>, stop_markers array<string>, skip_markers array<string>",
@@ -153,8 +157,10 @@ class Config:
             for f, names in s.aliases.items()
             for priority, alias in enumerate(names)
         ]
-        return spark.createDataFrame(
-            rows, "source string, field string, priority int, alias string, header_key string"
+        return local_table(
+            spark,
+            rows,
+            "source string, field string, priority int, alias string, header_key string",
         )
 
     # -- paths -------------------------------------------------------------------------------
@@ -167,6 +173,17 @@ class Config:
         return F.concat(F.lit(self.root.rstrip("/") + "/"), *rendered)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table kept inside the plan, so that reading it starts no job of its own."""
+    struct = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows, strict=True)) or [()] * len(struct)
+    arrow = pa.Table.from_arrays(
+        [pa.array(c, type=f.type) for c, f in zip(columns, to_arrow_schema(struct), strict=True)],
+        schema=to_arrow_schema(struct),
+    )
+    return spark.createDataFrame(arrow, schema=struct)
+
+
 def _starts(source: Source) -> list[tuple[float, int, str]]:
     """Sorted by position on the page; of two equal starts the later one counts."""
     return sorted((x, pos, f) for pos, (f, x) in enumerate(source.columns.items()))
