@@ -91,7 +91,7 @@ def _number_body(text: Column) -> Column:
     return F.translate(t, " '’", "")
 
 
-def _one_decimal_point(body: Column) -> Column:
+def unify_separator(body: Column) -> Column:
     """Decide which separator is the decimal point; ';' stands for it while deciding."""
     t = _rr(body, r",(?=.*\.)", "")
     t = _rr(t, r"^([^,.]*\.[^,]*),", "$1;")
@@ -104,7 +104,7 @@ def norm_number(value: Column | str) -> Column:
     """Canonical decimal text with at most six decimals, or the cleaned text if not a number."""
     text = F.coalesce(_col(value).cast("string"), F.lit(""))
     body = _rr(_number_body(text), _NOT_A_NUMBER, "x")
-    signed = _rr(_one_decimal_point(body), r"^[\x01\x02][+-]?", "-")
+    signed = _rr(unify_separator(body), r"^[\x01\x02][+-]?", "-")
     plain = F.replace(F.regexp_extract(text, _PLAIN_NUMBER, 1), F.lit(","), F.lit(""))
     return F.coalesce(
         format_number_text(plain.try_cast("double")),

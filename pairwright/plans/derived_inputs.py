@@ -77,7 +77,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reference() -> Column:
-    return F.concat(F.lit("ord-"), F.lpad(F.col("ordinal").cast("string"), 8, "0"))
+    return F.concat(F.lit("ord-"), F.lpad(F.col("ordinal").cast("string"), 12, "0"))
 
 
 def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +126,26 @@ def order_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_statements(spark, sf_dir).unionByName(order_exports(spark, sf_dir))
+def order_records(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
+    """Both sides of the orders; runs are days or whole years."""
+    both = order_statements(spark, sf_dir).unionByName(order_exports(spark, sf_dir))
+    return both.withColumn("run_date", F.trunc("run_date", "year")) if yearly else both
+
+
+#: Line items by their order and line number, an identifier that often repeats.
+LINE_IDS = Config(
+    sources=[
+        Source(name=flag, columns=_COLUMNS, aliases=_ALIASES, match_on="reference")
+        for flag in ("A", "N", "R")
+    ],
+)
+
+
+def line_id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of the line items, to be paired by order and line number."""
+    return line_records(spark, sf_dir).withColumn(
+        "reference", F.concat_ws("-", *[F.split("locator", "/")[i] for i in (0, 1)])
+    )
 
 
 def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,3 +272,177 @@ def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ordinal") * 64 + F.col("pos")).alias("seq"),
         "word.*",
     )
+
+
+# --------------------------------------------------------------------------------------------
+# exports as files
+# --------------------------------------------------------------------------------------------
+
+#: Orders per export file, as a power of two.
+FILE_BITS = 20
+#: The header each source's exports carry; one of them lacks the amount.
+EXPORT_HEADERS = {
+    "1-URGENT": "Ref,Value Date,Details,Units,Value",
+    "2-HIGH": "  reference ,DATE,Description,Quantity,Amount",
+    "3-MEDIUM": "Reference,Date,Description,Quantity,Amount",
+    "4-NOT SPECIFIED": "Amount,Reference,Ref,Date,amount",
+    "5-LOW": "Reference,Date,Description,Quantity,Sum",
+}
+
+
+def write_order_exports(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Write the orders as comma-separated files, one folder per source and year.
+
+    Pending orders carry a line break inside a quoted description, the cheapest are followed by an
+    empty line and the dearest by a row of empty cells.
+    """
+    orders = _orders(spark, sf_dir).withColumn("year", F.trunc("run_date", "year"))
+    folder = ["source", "run_date", "part"]
+    text = F.concat(
+        F.upper(_reference()),
+        F.lit(","),
+        F.date_format("run_date", "yyyy-MM-dd"),
+        F.when(F.col("status") == "P", F.lit(',"customer\n')).otherwise(F.lit(",customer ")),
+        F.col("customer").cast("string"),
+        F.when(F.col("status") == "P", F.lit(' ""pending""",')).otherwise(F.lit(",")),
+        (F.col("customer") % 500 + 1).cast("string"),
+        F.lit(","),
+        _money(F.col("price")),
+        F.when(F.col("price") < 3000, F.lit("\n"))
+        .when(F.col("price") > 495000, F.lit("\n,,,,"))
+        .otherwise(F.lit("")),
+    )
+    rows = orders.select(
+        "source",
+        F.col("year").alias("run_date"),
+        F.shiftright("ordinal", FILE_BITS).alias("part"),
+        "ordinal",
+        text.alias("value"),
+    )
+    header = F.lit("")
+    for name, line in EXPORT_HEADERS.items():
+        header = F.when(F.col("source") == name, F.lit(line)).otherwise(header)
+    headers = rows.select(*folder).distinct().select(
+        *folder, F.lit(-1).cast("long").alias("ordinal"), header.alias("value")
+    )
+    (
+        rows.unionByName(headers)
+        .repartition(*folder)
+        .sortWithinPartitions(*folder, "ordinal")
+        .drop("ordinal")
+        .write.partitionBy(*folder)
+        .text(root)
+    )
+
+
+# --------------------------------------------------------------------------------------------
+# messages and arrivals
+# --------------------------------------------------------------------------------------------
+
+#: Documents arriving by mail: three senders, told apart by subject or by file name.
+MAIL = Config(
+    sources=[
+        Source(
+            name="NORTH",
+            columns=_COLUMNS,
+            aliases=_ALIASES,
+            match_on="reference",
+            subject_all=("Daily", "statement EN"),
+        ),
+        Source(
+            name="SOUTH",
+            columns=_COLUMNS,
+            aliases=_ALIASES,
+            match_on="reference",
+            subject_all=("daily", "statement fr"),
+            attachment_contains=("es_Report", "src7"),
+        ),
+        Source(
+            name="REST",
+            columns=_COLUMNS,
+            aliases=_ALIASES,
+            match_on="reference",
+            attachment_contains=("_report",),
+        ),
+    ],
+)
+
+
+def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a message with three attachments.
+
+    The document itself is the first; documents with the same text are re-sends of each other. The
+    second is a small table, the third a logo. Forwarded German messages have lost their file name.
+    """
+    d = table(spark, sf_dir, "documents")
+
+    def attachment(pos: int, name: Column, size: Column, content: Column) -> Column:
+        return F.struct(
+            F.lit(pos).alias("pos"),
+            name.alias("filename"),
+            size.cast("long").alias("size"),
+            F.sha2(content, 256).alias("content_hash"),
+        )
+
+    report = F.when(F.col("lang") == "de", F.lit("scan.pdf")).otherwise(
+        F.concat("lang", F.lit("_report: "), "source", F.lit(".pdf"))
+    )
+    return d.select(
+        F.col("doc_id").alias("msg_id"),
+        F.concat(F.lit("Daily STATEMENT "), "lang", F.lit(" from "), "source").alias("subject"),
+        # an hour apart, over and over through January 2026
+        (
+            F.lit("2026-01-01 08:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 720).cast("int"))
+        ).alias("received"),
+        F.array(
+            attachment(0, report, F.col("n_chars") * 16, F.col("text")),
+            attachment(1, F.lit("data.csv"), F.lit(50), F.concat("lang", "source")),
+            attachment(2, F.lit("logo.png"), F.lit(300), F.lit("logo")),
+        ).alias("attachments"),
+    )
+
+
+#: Files announced by the event stream, one source per event type.
+EVENT_FILES = Config(
+    sources=[
+        Source(name=n, columns=_COLUMNS, aliases=_ALIASES, match_on="reference")
+        for n in ("signup", "error", "view", "click", "purchase")
+    ],
+)
+
+
+def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a file that arrived in a run folder, about two files per folder."""
+    e = table(spark, sf_dir, "events")
+    name = (
+        F.when(F.col("value") < 4, F.lit("statement.pdf"))
+        .when(F.col("value") < 9, F.lit("Export.CSV"))
+        .when(F.col("value") < 12, F.lit("records.xlsx"))
+        .when(F.col("value") < 14, F.lit("reconciliation_report.xlsx"))
+        .when(F.col("value") < 20, F.concat(F.lit("scan-"), F.col("event_id"), F.lit(".PDF")))
+        .otherwise(F.concat(F.lit("note-"), F.col("event_id"), F.lit(".txt")))
+    )
+    return e.select(
+        F.col("event_type").alias("source"),
+        F.date_add(F.to_date("ts"), F.col("user_id").cast("int")).alias("run_date"),
+        name.alias("filename"),
+    )
+
+
+def order_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the yearly order runs: years of some sources lack a side or have one twice."""
+    runs = (
+        _orders(spark, sf_dir)
+        .select("source", F.trunc("run_date", "year").alias("run_date"))
+        .distinct()
+    )
+    year = F.year("run_date")
+    files = F.array_compact(
+        F.array(
+            F.when(~((F.col("source") == "5-LOW") & (year == 1996)), F.lit("statement.pdf")),
+            F.when(~((F.col("source") == "1-URGENT") & (year == 1997)), F.lit("export.csv")),
+            F.when((F.col("source") == "3-MEDIUM") & (year == 1998), F.lit("resent.pdf")),
+        )
+    )
+    return runs.select("source", "run_date", F.explode(files).alias("filename"))

@@ -174,10 +174,13 @@ def assemble_rows(numbered: DataFrame, sep: str = ",") -> DataFrame:
 
 
 def scan_delimited(
-    spark: SparkSession, path: str | list[str], suffix: str = ".csv"
+    spark: SparkSession, path: str | list[str], suffix: str = ".csv", sep: str | None = None
 ) -> DataFrame:
-    """All rows of all files under ``path``: file, row number (1 is the header) and cells."""
-    sep = SEPARATORS[suffix]
+    """All rows of all files under ``path``: file, row number (1 is the header) and cells.
+
+    The separator follows from the suffix unless it is given.
+    """
+    sep = sep or SEPARATORS[suffix]
     return assemble_rows(number_rows(read_text_lines(spark, path, suffix), sep), sep)
 
 
