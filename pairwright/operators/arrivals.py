@@ -7,7 +7,7 @@ Messages carry ``msg_id, subject, received`` and ``attachments``, an array of
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,13 +55,17 @@ def rule_matches(source: Source, subject: Column, names: Column) -> Column:
         by_subject = by_subject & F.contains(subject, F.lit(fragment.lower()))
     by_name = F.lit(False)
     for fragment in source.attachment_contains:
-        wanted = F.lit(fragment.lower())
-        by_name = by_name | F.exists(
-            names, lambda n, w=wanted: F.contains(F.lower(F.coalesce(n, F.lit(""))), w)
-        )
+        by_name = by_name | F.exists(names, _holds(fragment))
     return by_subject | by_name
 
 
+def _holds(fragment: str) -> Callable[[Column], Column]:
+    """A test of one file name for a fragment, without regard to case."""
+    return lambda name: F.contains(
+        F.lower(F.coalesce(name, F.lit(""))), F.lit(fragment.lower())
+    )
+
+
 def classify(config: Config, subject: Column, names: Column) -> Column:
     """The first configured source whose rule matches; NULL for none.
 

@@ -46,7 +46,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def contains_any(text: Column, markers: str) -> Column:
+def contains_any(text: Column, markers: Column | str) -> Column:
     """True when the text holds any of the (small-letter) markers, in whatever case."""
     lowered = F.lower(text)
     return F.exists(markers, lambda m: F.contains(lowered, m))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pairwright.plans import pair_queries, value_queries  # noqa: F401
+from pairwright.plans import (  # noqa: F401
+    layout_queries,
+    mail_queries,
+    pair_queries,
+    run_queries,
+    value_queries,
+)
 from pairwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

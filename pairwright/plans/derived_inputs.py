@@ -355,7 +355,7 @@ MAIL = Config(
             aliases=_ALIASES,
             match_on="reference",
             subject_all=("daily", "statement fr"),
-            attachment_contains=("es_Report", "src7"),
+            attachment_contains=("es_Report: src1", "src7"),
         ),
         Source(
             name="REST",

@@ -24,11 +24,11 @@ from pairwright.specs import DOCUMENT, KNOWN_FIELDS, SPREADSHEET
 # --------------------------------------------------------------------------------------------
 
 
-def order_pairs_sql(yearly: bool = False, body: str = "") -> str:
-    """Order pairs: references are unique, so an ordinary full join pairs them."""
+def order_sides_sql(yearly: bool = False) -> str:
+    """Both sides of the orders as ``doc`` and ``sheet``."""
     day = "CAST(date_trunc('year', o_orderdate) AS DATE)" if yearly else "CAST(o_orderdate AS DATE)"
     return f"""
-    WITH o AS (
+    o AS (
         SELECT o_orderpriority AS source, {day} AS run_date, o_orderkey AS ordinal,
             o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price,
             'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS ref,
@@ -54,7 +54,13 @@ def order_pairs_sql(yearly: bool = False, body: str = "") -> str:
             CASE WHEN price < 10000 THEN ''
                  WHEN price < 20000 THEN lower(ref) || '-b' ELSE lower(ref) END AS reference,
             price
-        FROM o),
+        FROM o)"""
+
+
+def order_pairs_sql(yearly: bool = False, body: str = "") -> str:
+    """Order pairs: references are unique, so an ordinary full join pairs them."""
+    return f"""
+    WITH {order_sides_sql(yearly)},
     pairs AS (
         SELECT coalesce(d.source, s.source) AS source, coalesce(d.run_date, s.run_date) AS run_date,
             coalesce(d.pair_key, s.pair_key) AS pair_key,
@@ -90,12 +96,12 @@ def line_pairs_sql(by_id: bool = False, body: str = "") -> str:
             l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS locator,
             l_orderkey * 8 + l_linenumber AS ordinal
         FROM lineitem),
-    both AS (
+    two_sides AS (
         SELECT *, 'document' AS side, CAST(units AS VARCHAR) AS quantity FROM items
         UNION ALL
         SELECT *, 'spreadsheet', CAST(units + CASE WHEN l_tax > 0.075 THEN 1 ELSE 0 END AS VARCHAR)
         FROM items),
-    keyed AS (SELECT *, {key} AS pair_key FROM both),
+    keyed AS (SELECT *, {key} AS pair_key FROM two_sides),
     numbered AS (
         SELECT *, row_number() OVER (PARTITION BY source, run_date, side, pair_key
                                      ORDER BY ordinal, locator) AS n FROM keyed),
