@@ -18,6 +18,7 @@ from pairwright.operators.runs import (
     overview,
     run_results,
 )
+from pairwright.session import materialize
 from pairwright.specs import Config, as_date
 
 
@@ -50,24 +51,29 @@ class Outcome:
     overview: DataFrame
 
 
+def compute_again(df: DataFrame, label: str) -> DataFrame:
+    """A stage that writes nothing."""
+    return df
+
+
 def reconcile_range(
     inputs: Inputs,
     config: Config,
     calendar: DataFrame,
     only: str | None = None,
     days: int | None = None,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> Outcome:
     """Reconcile every source on every day of ``calendar`` (``run_date``).
 
     Only runs holding exactly one document and one data file are read; a run that cannot be checked
     becomes a row saying why and hides none of the others. ``days`` is the length of the calendar
     where it is known: the list of runs is then known to be small enough to broadcast, and words
-    and records are matched with it without a shuffle. ``stage`` (for example
-    :func:`pairwright.session.materialize`) is applied to the tables several outputs read; without
-    it Spark computes them once per output.
+    and records are matched with it without a shuffle.
+
+    Lines, records and pairs are each read by several later steps, so ``stage`` writes them to the
+    shared folder once; pass :func:`compute_again` to leave everything to one lazy plan instead.
     """
-    stage = stage or (lambda df, label: df)
     expected = expected_runs(calendar, config, only)
     present = inventory(expected, inputs.arrivals, config)
     errors = file_count_errors(inputs.arrivals, config).select(*RUN, "error")

@@ -25,7 +25,7 @@ from pairwright.plans.reconcile import Inputs, Outcome
 from pairwright.plans.reconcile import reconcile_range as check_range
 from pairwright.plans.reconcile import reconcile_run as check_run
 from pairwright.plans.registry import query
-from pairwright.session import materialize, new_dir
+from pairwright.session import new_dir
 from pairwright.sources import delimited as dl
 from pairwright.sources import files as fl
 
@@ -267,8 +267,8 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _range(spark: SparkSession, sf_dir: str, stage=None) -> Outcome:
-    return check_range(_inputs(spark, sf_dir), ORDERS, _years(spark, sf_dir), stage=stage)
+def _range(spark: SparkSession, sf_dir: str) -> Outcome:
+    return check_range(_inputs(spark, sf_dir), ORDERS, _years(spark, sf_dir))
 
 
 @query("reconcile_range", f"{_RANGE} SELECT * FROM overview")
@@ -325,7 +325,7 @@ def reconcile_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All report tables written run by run and read back; rows per table and run."""
-    outcome = _range(spark, sf_dir, stage=materialize)
+    outcome = _range(spark, sf_dir)
     tables = fl.report_tables(outcome.results, outcome.pairs, outcome.unread, ORDERS)
     root = new_dir(spark, "report")
     fl.write_report(tables, root, "r1")
@@ -345,7 +345,7 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overview written and read back."""
     path = new_dir(spark, "overview")
-    fl.write_overview(_range(spark, sf_dir, stage=materialize).overview, path)
+    fl.write_overview(_range(spark, sf_dir).overview, path)
     return spark.read.parquet(path)
 
 
