@@ -50,7 +50,9 @@ def running_total(
     if not blocks:
         return local
     block, coarser = blocks[0], list(blocks[1:])
-    per_block = df.groupBy(*keys, *blocks).agg(F.sum(amount).alias("_block_total"))
+    per_block = df.groupBy(*keys, block).agg(
+        F.sum(amount).alias("_block_total"), *[F.first(c).alias(c) for c in coarser]
+    )
     before = (
         running_total(per_block, keys, [block], F.col("_block_total"), coarser, "_through")
         .select(*keys, block, (F.col("_through") - F.col("_block_total")).alias("_before"))
@@ -90,11 +92,23 @@ def running_state(
     either sets the state, flips it or leaves it alone, so any stretch of rows acts like one row:
     the last value set, if any, and the parity of the flips since. That is what a block passes on.
     """
-    if not blocks:
-        return state_prefix(df, keys, order, from_off, from_on).withColumn(
-            out, (F.coalesce("_set", initial) + F.col("_flips")) % 2
-        ).drop("_set", "_flips")
+    stated = _prefix_in_blocks(df, keys, order, from_off, from_on, blocks)
+    return stated.withColumn(out, (F.coalesce("_set", initial) + F.col("_flips")) % 2).drop(
+        "_set", "_flips"
+    )
+
 
+def _prefix_in_blocks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    from_off: Column,
+    from_on: Column,
+    blocks: Sequence[str],
+) -> DataFrame:
+    """:func:`state_prefix` over whole keys, put together from their blocks."""
+    if not blocks:
+        return state_prefix(df, keys, order, from_off, from_on)
     block, coarser = blocks[0], list(blocks[1:])
     rows = state_prefix(df, [*keys, block], order, from_off, from_on)
     sets = from_off == from_on
@@ -105,22 +119,29 @@ def running_state(
         .cast("int")
         .alias("flips"),
     )
-    per_block = rows.groupBy(*keys, *blocks).agg(
+    per_block = rows.groupBy(*keys, block).agg(
         F.max_by(after, F.struct(*order)).alias("_after"),
-        F.first(initial).alias("_initial"),
+        *[F.first(c).alias(c) for c in coarser],
     )
 
     def acts(start: int) -> Column:
         return (F.coalesce("_after.set", F.lit(start)) + F.col("_after.flips")) % 2
 
     carry = f"_carried_{len(blocks)}"
-    carried = running_state(
-        per_block, keys, [block], acts(0), acts(1), F.col("_initial"), coarser, carry
-    ).select(*keys, block, carry)
+    carried = _prefix_in_blocks(per_block, keys, [block], acts(0), acts(1), coarser).select(
+        *keys, block, F.struct("_set", "_flips").alias(carry)
+    )
+    # what came before the block, then what came before the row inside it
     return (
         rows.join(carried, [*keys, block])
-        .withColumn(out, (F.coalesce("_set", carry) + F.col("_flips")) % 2)
-        .drop("_set", "_flips", carry)
+        .withColumn(
+            "_flips",
+            F.when(F.col("_set").isNotNull(), F.col("_flips")).otherwise(
+                (F.col("_flips") + F.col(f"{carry}._flips")) % 2
+            ),
+        )
+        .withColumn("_set", F.coalesce("_set", f"{carry}._set"))
+        .drop(carry)
     )
 
 

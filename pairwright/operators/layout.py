@@ -1,8 +1,8 @@
 """Rebuild statement records from words and their positions on the page.
 
-Words are shuffled once, by document page. A page is bounded by its physical height, so its lines
-are grouped, numbered and scanned inside one task; documents of any length are cut into pages and
-blocks of pages.
+Words are shuffled once, by document and block of pages. A page is bounded by its physical height,
+so a block of pages is bounded too: its lines are grouped, numbered and scanned inside one task, and
+a document of any length is as many blocks as it needs.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pairwright.operators.pairing import RECORD_COLUMNS, RUN
 from pairwright.specs import DOCUMENT, KNOWN_FIELDS, Config
 
 PAGE = [*RUN, "doc_id", "page"]
+_BLOCK = [*RUN, "doc_id", "page_block"]
 #: Pages that share a block, as a power of two.
-PAGE_BLOCK_BITS = 12
+PAGE_BLOCK_BITS = 10
 #: Room for the lines of a page in a record's ordinal: pages are at most 14,400 points high.
 LINE_BITS = 14
 #: How far left of its column a word may start, in points.
@@ -26,10 +27,17 @@ COLUMN_TOLERANCE = 2.0
 
 
 def group_lines(words: DataFrame) -> DataFrame:
-    """Visual lines: words whose vertical position rounds to the same point, left to right."""
-    by_page = words.repartition(*PAGE)
+    """Visual lines: words whose vertical position rounds to the same point, left to right.
+
+    A word must say which page of which document it is on. Stating that here keeps the branches of
+    later plans alike, so that they share one shuffle of the words.
+    """
+    by_block = words.withColumn("page_block", F.shiftright("page", PAGE_BLOCK_BITS))
+    for column in (*_BLOCK, "page"):
+        by_block = by_block.filter(F.col(column).isNotNull())
+    by_block = by_block.repartition(*_BLOCK)
     return (
-        by_page.groupBy(*PAGE, F.rint("top").alias("line_top"))
+        by_block.groupBy(*_BLOCK, "page", F.rint("top").alias("line_top"))
         .agg(F.sort_array(F.collect_list(F.struct("x0", "top", "seq", "text"))).alias("words"))
         .withColumn("text", line_text(F.col("words")))
     )
@@ -42,7 +50,7 @@ def line_text(words: Column) -> Column:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Line numbers within a page, counting every line on it."""
     return lines.withColumn(
-        "line", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_top"))
+        "line", F.row_number().over(Window.partitionBy(*_BLOCK, "page").orderBy("line_top"))
     )
 
 
@@ -65,7 +73,6 @@ def mark_sections(lines: DataFrame, config: Config) -> DataFrame:
         .withColumn("is_skip", contains_any(F.col("text"), "skip_markers"))
         .withColumn("opens_at_once", (F.size("start_markers") == 0).cast("int"))
         .drop("start_markers", "stop_markers", "skip_markers")
-        .withColumn("page_block", F.shiftright("page", PAGE_BLOCK_BITS))
     )
     blank = F.trim("text") == ""
     from_off = (F.col("is_start") & ~blank).cast("int")
@@ -73,11 +80,11 @@ def mark_sections(lines: DataFrame, config: Config) -> DataFrame:
     stated = running_state(
         marked,
         [*RUN, "doc_id"],
-        ["line_top"],
+        ["page", "line_top"],
         from_off,
         from_on,
         F.col("opens_at_once"),
-        ["page", "page_block"],
+        ["page_block"],
         "state_in",
     )
     return (
