@@ -298,18 +298,25 @@ def fetch_summary(
     matched = F.col("_source").isNotNull()
     if only:
         matched = matched & (F.lower("_source") == only.lower())
-    seen = messages.withColumn(
-        "_source", classify(config, F.col("subject"), attachment_names())
-    ).agg(
+    classes = messages.select(
+        classify(config, F.col("subject"), attachment_names()).alias("_source")
+    )
+    zero = F.lit(0).cast("long")
+    seen = classes.agg(
         F.count("*").alias("messages_seen"),
         F.count_if(matched).alias("messages_matched"),
+        zero.alias("files_written"),
+        zero.alias("files_skipped"),
     )
     files = plan.agg(
+        zero.alias("messages_seen"),
+        zero.alias("messages_matched"),
         F.count_if(F.col("written")).alias("files_written"),
         F.count_if(~F.col("written")).alias("files_skipped"),
     )
-    counted = seen.withColumn("_one", F.lit(1)).join(files.withColumn("_one", F.lit(1)), "_one")
-    return counted.drop("_one").withColumn(
+    both = seen.unionByName(files)
+    counted = both.agg(*[F.sum(c).alias(c) for c in both.columns])
+    return counted.withColumn(
         "summary",
         F.format_string(
             "%d of %d messages matched; saved %d file(s), skipped %d.",

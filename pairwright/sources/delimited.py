@@ -8,12 +8,15 @@ Every value stays text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.naming import row_locator
 from pairwright.operators.blocks import state_prefix
 from pairwright.operators.pairing import RECORD_COLUMNS, RUN
+from pairwright.session import materialize
 from pairwright.specs import KNOWN_FIELDS, SPREADSHEET, Config
 
 #: Cell texts that mean "no value" in a spreadsheet.
@@ -324,6 +327,44 @@ def too_wide_errors(rows: DataFrame) -> DataFrame:
     )
 
 
+def unterminated_errors(numbered: DataFrame) -> DataFrame:
+    """Files that end inside a quoted value."""
+    last = numbered.groupBy(*RUN, FILE).agg(
+        F.max_by("open", F.struct(_SPLIT, "pos")).alias("_open")
+    )
+    return last.filter("_open").select(
+        *RUN, FILE, F.lit("unexpected end of data inside a quoted value").alias("error")
+    )
+
+
+def read_exports(
+    spark: SparkSession,
+    path: str | list[str],
+    config: Config,
+    suffix: str = ".csv",
+    sep: str | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> tuple[DataFrame, DataFrame]:
+    """Records of all exports under ``path``, and what kept others from being read.
+
+    The folders must carry ``source=.../run_date=...``. The numbered lines are written to the
+    shared folder once, as records and errors are all derived from them. A file with an error gives
+    no records.
+    """
+    sep = sep or SEPARATORS[suffix]
+    numbered = stage(number_rows(read_text_lines(spark, path, suffix), sep), "exports")
+    rows = assemble_rows(numbered, sep)
+    headers = header_cells(rows)
+    resolved = resolve_headers(headers, config)
+    columns = [*RUN, FILE, "error"]
+    unreadable = too_wide_errors(rows).unionByName(unterminated_errors(numbered))
+    errors = resolve_errors(resolved, headers, config).select(*columns).unionByName(
+        unreadable.select(*columns)
+    )
+    usable = resolved.join(unreadable.select(FILE), FILE, "left_anti")
+    return rows_to_records(rows, usable), errors
+
+
 def run_of_path(path: Column) -> tuple[Column, Column]:
     """Source and date from a path laid out as source/source yyyy.MM.dd/file."""
     pattern = r"/([^/]+)/\1 ([0-9]{4})\.([0-9]{2})\.([0-9]{2})/[^/]+$"
