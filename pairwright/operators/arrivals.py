@@ -12,17 +12,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.functions.naming import is_data, numbered_name, safe_filename
-from pairwright.operators.blocks import occurrence_number, salt_of
+from pairwright.functions.naming import is_data, safe_filename
+from pairwright.operators.blocks import salt_of
+from pairwright.operators.file_names import number_names
+from pairwright.session import materialize
 from pairwright.specs import Config, Source, as_date
 
-#: Seconds of arrivals that share a block when names in one folder are numbered.
-NAME_BLOCK_SECONDS = 60
-#: The highest counter a clashing name may get; after it there is no free name.
-LAST_NAME_COUNTER = 999
-
-_ARRIVAL_ORDER = ["received", "msg_id", "pos"]
-
 
 def received_in_range(messages: DataFrame, start: dt.date | str, end: dt.date | str) -> DataFrame:
     """Messages received from ``start`` to the end of ``end``; a plain range the scan can use."""
@@ -191,33 +186,6 @@ def _earliest(arrival: Column) -> Column:
     return F.min_by(arrival, rank)
 
 
-def number_names(rows: DataFrame, filed: DataFrame | None = None) -> DataFrame:
-    """Add ``stored_name``: the name a file gets in its folder, ``' (2)'`` and so on if taken.
-
-    NULL means that all counters are used up. ``filed`` lists the ``folder, filename`` of files
-    that are already there.
-    """
-    keys = ["folder", "filename"]
-    minute = F.floor(
-        F.unix_timestamp(F.col("received").cast("timestamp")) / NAME_BLOCK_SECONDS
-    )
-    ranked = occurrence_number(
-        rows.withColumn("_block", minute), keys, _ARRIVAL_ORDER, ["_block"], "_rank"
-    )
-    if filed is not None:
-        there = filed.groupBy(*keys).agg(F.lit(1).alias("_there"))
-        ranked = (
-            ranked.withColumn("_salt", salt_of("msg_id", "pos"))
-            .transform(lambda d: _look_up(d, there, keys))
-            .withColumn("_rank", F.col("_rank") + F.coalesce("_there", F.lit(0)))
-            .drop("_there", "_salt")
-        )
-    free = F.col("_rank") <= LAST_NAME_COUNTER
-    return ranked.withColumn(
-        "stored_name", F.when(free, numbered_name(F.col("filename"), F.col("_rank")))
-    ).drop("_block", "_rank")
-
-
 def _look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on ``keys`` for rows that carry a ``_salt``.
 
@@ -233,19 +201,24 @@ def filing_plan(
     config: Config,
     only: str | None = None,
     filed: DataFrame | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
     """What to do with every attachment of every classified message.
 
     ``written`` attachments go to ``path``; the others say why not, and a duplicate names the file
     that already holds its content. ``filed`` lists files already stored, as
-    ``root, folder, filename, size, content_hash, path``.
+    ``root, folder, filename, size, content_hash, path``. What several steps read is written to the
+    shared folder by ``stage``.
     """
     arrived = attachments_of(classified(messages, config, only), config)
     kept = arrived.filter("skipped_reason IS NULL")
-    judged = first_with_content(kept, filed)
+    judged = stage(first_with_content(kept, filed), "judged")
     names_there = None if filed is None else filed.select("folder", "filename")
-    stored = number_names(judged.filter("is_first"), names_there).withColumn(
-        "path", F.concat_ws("/", "folder", F.coalesce("stored_name", "filename"))
+    stored = stage(
+        number_names(judged.filter("is_first"), names_there, stage).withColumn(
+            "path", F.concat_ws("/", "folder", F.coalesce("stored_name", "filename"))
+        ),
+        "stored",
     )
     columns = ["source", "run_date", "msg_id", "pos", "subject", "filename"]
     no_text = F.lit(None).cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.operators import arrivals as ar
+from pairwright.operators.file_names import number_names
 from pairwright.plans.derived_inputs import MAIL, document_messages, table
 from pairwright.plans.registry import query
 
@@ -194,7 +195,7 @@ def dedupe_against_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unique_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = ar.first_with_content(_kept(spark, sf_dir)).filter("is_first")
-    return ar.number_names(stored).select(
+    return number_names(stored).select(
         "source", "run_date", "msg_id", "pos", "folder", "filename", "stored_name"
     )
 
