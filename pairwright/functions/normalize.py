@@ -18,7 +18,7 @@ DAY_FIRST = "day_first"
 MONTH_FIRST = "month_first"
 DATE_ORDERS = (DAY_FIRST, MONTH_FIRST)
 
-# Whitespace as the reference's host language sees it: the Unicode property plus four separators.
+# Whitespace: what has the Unicode property, and the four separator control characters.
 _WS = r"[\s\x1c-\x1f]"
 _WS_NO_NL = r"(?:(?!\n)[\s\x1c-\x1f])"
 _NOT_WS = r"[^\s\x1c-\x1f]"

@@ -131,11 +131,12 @@ def first_with_content(
     """Find for every attachment the one that holds the same content first, under the same root.
 
     Adds ``first_of`` (a struct: ``was_filed, received, msg_id, pos, path``) and ``is_first``.
-    Files already filed (``root, size, content_hash, path``) come before anything new. Content
-    sent over and over is first reduced to one candidate per part of the group, so no task sees
-    the whole group.
+    Files already filed (``root, content_hash, path``) come before anything new. The hash alone
+    decides: the size a mail program reports need not be the size on disk. An attachment whose
+    hash is not known equals no other. Content sent over and over is first reduced to one candidate
+    per part of the group, so no task sees the whole group.
     """
-    content = ["root", "size", "content_hash"]
+    content = ["root", "_content"]
     new = F.struct(
         F.lit(False).alias("was_filed"),
         F.col("received"),
@@ -143,7 +144,10 @@ def first_with_content(
         F.col("pos"),
         F.lit(None).cast("string").alias("path"),
     )
-    rows = candidates.withColumn("_salt", salt_of("msg_id", "pos"))
+    unknown = F.concat_ws("/", F.lit("?"), "msg_id", "pos")
+    rows = candidates.withColumn(
+        "_content", F.coalesce("content_hash", unknown)
+    ).withColumn("_salt", salt_of("msg_id", "pos"))
     parts = rows.groupBy(*content, "_salt").agg(_earliest(new).alias("_first"))
     if filed is not None:
         kinds = {f.name: f.dataType for f in candidates.schema}
@@ -155,7 +159,8 @@ def first_with_content(
             F.col("path"),
         )
         parts = parts.unionByName(
-            filed.groupBy(*content)
+            filed.filter("content_hash IS NOT NULL")
+            .groupBy("root", F.col("content_hash").alias("_content"))
             .agg(F.min_by(old, "path").alias("_first"))
             .withColumn("_salt", F.lit(-1))
         )
@@ -163,15 +168,15 @@ def first_with_content(
     best = parts.withColumn("first_of", _earliest(F.col("_first")).over(across)).select(
         *content, "_salt", "first_of"
     )
-    joined = rows.alias("r").join(
-        best.alias("b"),
-        [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*content, "_salt")],
-    )
-    return joined.select("r.*", "b.first_of").drop("_salt").withColumn(
-        "is_first",
-        ~F.col("first_of.was_filed")
-        & (F.col("first_of.msg_id") == F.col("msg_id"))
-        & (F.col("first_of.pos") == F.col("pos")),
+    return (
+        rows.join(best, [*content, "_salt"])
+        .drop("_content", "_salt")
+        .withColumn(
+            "is_first",
+            ~F.col("first_of.was_filed")
+            & (F.col("first_of.msg_id") == F.col("msg_id"))
+            & (F.col("first_of.pos") == F.col("pos")),
+        )
     )
 
 
@@ -207,7 +212,7 @@ def filing_plan(
 
     ``written`` attachments go to ``path``; the others say why not, and a duplicate names the file
     that already holds its content. ``filed`` lists files already stored, as
-    ``root, folder, filename, size, content_hash, path``. What several steps read is written to the
+    ``root, folder, filename, content_hash, path``. What several steps read is written to the
     shared folder by ``stage``.
     """
     arrived = attachments_of(classified(messages, config, only), config)

@@ -85,10 +85,17 @@ def test_filing_plan(spark):
 def test_files_already_filed_come_first(spark):
     m = messages(spark, ("Daily Statement", 2, [("st.pdf", 20000, "a"), ("n.pdf", 20000, "n")]))
     filed = spark.createDataFrame(
-        [("/out/S", "/out/S/S 2026.03.02", "n.pdf", 9, "q", "/out/S/S 2026.03.02/n.pdf"),
-         ("/out/S", "/out/S/old", "o.pdf", 20000, "a", "/out/S/old/o.pdf")],
-        "root string, folder string, filename string, size long, content_hash string, path string",
+        [("/out/S", "/out/S/S 2026.03.02", "n.pdf", "q", "/out/S/S 2026.03.02/n.pdf"),
+         ("/out/S", "/out/S/old", "o.pdf", "a", "/out/S/old/o.pdf")],
+        "root string, folder string, filename string, content_hash string, path string",
     )
     rows = {r.filename: r for r in ar.filing_plan(m, CONFIG, filed=filed).collect()}
     assert rows["st.pdf"].duplicate_of == "/out/S/old/o.pdf" and not rows["st.pdf"].written
     assert rows["n.pdf"].path == "/out/S/S 2026.03.02/n (2).pdf"
+
+
+def test_unknown_content_equals_nothing(spark):
+    files = [("x.pdf", 20000, None), ("y.pdf", None, None), ("z.pdf", None, "a"), ("w.pdf", 9000, "a")]
+    m = messages(spark, ("Daily Statement", 2, files))
+    written = {r.filename: r.written for r in ar.filing_plan(m, CONFIG).collect()}
+    assert written == {"x.pdf": True, "y.pdf": True, "z.pdf": True, "w.pdf": False}
