@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright.sources.delimited import (
     header_cells,
+    read_exports,
     resolve_errors,
     resolve_headers,
     rows_to_records,
@@ -131,3 +132,18 @@ def test_run_from_folder_name(spark):
     source, day = run_of_path(F.col("p"))
     got = df.select(source.alias("s"), day.cast("string").alias("d")).collect()
     assert [tuple(r) for r in got] == [("ACME", "2026-03-02"), (None, None)]
+
+
+def test_one_bad_file_hides_none_of_the_others(spark, tmp_path):
+    head = "Date,Description,Quantity,Amount\n"
+    put(tmp_path, "2026-03-02", "ok.csv", head + "1,2,3,4\n5,6,7,8\n")
+    put(tmp_path, "2026-03-03", "wide.csv", head + "1,2,3,4\n1,2,3,4,5\n")
+    put(tmp_path, "2026-03-04", "open.csv", head + '1,2,3,4\n1,"2,3,4\n')
+    put(tmp_path, "2026-03-05", "missing.csv", "Date,Quantity,Amount\n1,2,3\n")
+    records, errors = read_exports(spark, str(tmp_path), CONFIG)
+    assert {(str(r.run_date), r.locator) for r in records.collect()} == {
+        ("2026-03-02", "row 2"), ("2026-03-02", "row 3")}
+    found = {str(e.run_date): e.error for e in errors.collect()}
+    assert found["2026-03-03"] == "Expected 4 fields, saw 5"
+    assert found["2026-03-04"].startswith("unexpected end of data")
+    assert "No column found for 'description'" in found["2026-03-05"] and len(found) == 3
