@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the session names it.
 
-    Only when the session names none (a local test run) is a temporary one made.
+    That is the checkpoint folder, else a folder of the warehouse. A warehouse on a local disk is
+    refused unless the executors run in the driver's own process: other machines cannot see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="pairwright-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    in_process = master == "local" or master.startswith("local[")
+    if not in_process and warehouse.startswith(("file:", "/")):
+        raise ValueError(
+            f"stages need a folder all executors share: set spark.checkpoint.dir ({warehouse} is local)"
+        )
+    return f"{warehouse}/pairwright-stages"
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
