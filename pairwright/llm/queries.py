@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import mixing, pii, sharding
+from pairwright.llm import decontamination, mixing, near_duplicates, pii, sharding
 from pairwright.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,22 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(spans, pii.BASE), 256).alias("base_sha256"),
         pii.joined(spans).alias("spans"),
     )
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated("hits").alias("contaminated"),
+    )
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
