@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Runs of anything but ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,13 @@ def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    """How often a pattern occurs; 0 for NULL."""
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+def count_words(text: Column) -> Column:
+    """Number of runs of anything but ASCII white space; 0 for NULL.
+
+    Each run becomes one mark together with the space before it, so no list of words is built.
+    """
+    marks = F.regexp_replace(text, f"{SPACE}*+{SPACED_WORD}+", "x")
+    return F.coalesce(F.length(F.regexp_replace(marks, f"{SPACE}+", "")), F.lit(0)).cast("long")
 
 
 def unit_interval(key: Column, seed: str) -> Column:

@@ -22,22 +22,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import SPACED_WORD, count_of, put, unit_interval
+from pairwright.llm.frames import count_words, unit_interval
 from pairwright.session import materialize
 
 #: Key ranges a source is cut into.
 BLOCKS = 8192
-#: Runs of letters, ASCII or not.
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The mean length of a word that prose has, and how far off it may be.
+USUAL_LENGTH, OFF_BY = 6.5, 6.5
 
 
-def quality_weight(text: Column) -> Column:
-    """1 to 4: the more of a text is letters, the likelier it is drawn. 1 for NULL and empty."""
-    whole = F.length(text)
-    letters = whole - F.length(F.regexp_replace(text, LETTERS, ""))
-    return F.coalesce(
-        F.when(whole > 0, F.lit(1.0) + F.lit(3.0) * letters.cast("double") / whole), F.lit(1.0)
-    )
+def quality_weight(text: Column, words: Column) -> Column:
+    """1 to 4: the nearer the mean length of a word is to that of prose. 1 without words."""
+    mean = F.length(text).cast("double") / words
+    off = F.abs(mean - USUAL_LENGTH) / OFF_BY
+    return F.when(words > 0, 1.0 + 3.0 * F.greatest(1.0 - off, F.lit(0.0))).otherwise(1.0)
 
 
 def source_targets(
@@ -101,14 +99,21 @@ def mix(
     text = F.col(f"`{text_col}`")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     named = F.col(f"`{source_col}`")
-    w = F.greatest(weight if weight is not None else quality_weight(text), F.lit(1.0))
-    keyed = docs.select(
+    sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
+        F.coalesce(weight, F.lit(1.0)).alias("weight") if weight is not None else text.alias("text"),
         named.alias("source"),
         F.coalesce(F.concat(F.lit("="), named), F.lit("")).alias("key"),
-        count_of(text, SPACED_WORD).alias("size"),
-        F.pow(unit_interval(ident, seed), F.lit(1.0) / w).alias("draw"),
+        count_words(text).alias("size"),
         ident.alias("ident"),
+    )
+    w = F.greatest(
+        F.col("weight") if weight is not None else quality_weight(F.col("text"), F.col("size")),
+        F.lit(1.0),
+    )
+    draw = F.pow(unit_interval(F.col("ident"), seed), F.lit(1.0) / w)
+    keyed = sized.select(
+        "doc", "source", "key", "size", "ident", draw.alias("draw")
     ).withColumn(
         "block", F.least(F.floor((1 - F.col("draw")) * blocks), F.lit(blocks - 1)).cast("int")
     )

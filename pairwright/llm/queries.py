@@ -30,9 +30,9 @@ WITH d AS (
          CASE WHEN text IS NULL THEN 0 ELSE length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
   FROM documents
 ), w AS (
-  SELECT *, CASE WHEN length(t) > 0 THEN 1.0::DOUBLE + 3.0::DOUBLE
-      * (length(t) - length(regexp_replace(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')))::DOUBLE
-      / length(t) ELSE 1.0::DOUBLE END AS weight,
+  SELECT *, CASE WHEN size > 0 THEN 1.0::DOUBLE + 3.0::DOUBLE
+      * greatest(1.0::DOUBLE - abs(length(t)::DOUBLE / size - 6.5::DOUBLE) / 6.5::DOUBLE, 0.0::DOUBLE)
+      ELSE 1.0::DOUBLE END AS weight,
     (('0x' || substr(md5('mix:' || coalesce(ident, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM d
 ), s AS (
