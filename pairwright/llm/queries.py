@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import decontamination, mixing, near_duplicates, pii, sharding
+from pairwright.llm import (
+    decontamination,
+    language_id,
+    mixing,
+    near_duplicates,
+    pii,
+    sharding,
+    toxicity,
+)
 from pairwright.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +129,33 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def fold(name: str, folds: int):
+    """The part of the rows a row belongs to; a row without an id belongs to part 0."""
+    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(0)) % folds
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.labelled_sample(docs, fold("doc_id", 5) != 0))
+    labelled = language_id.label_documents(docs.select("doc_id", "text"), model)
+    return labelled.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
