@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from pairwright.llm import (
     decontamination,
+    embedding_links,
     language_id,
     mixing,
     near_duplicates,
     pii,
     sharding,
+    token_counts,
     toxicity,
 )
 from pairwright.llm.frames import table
@@ -159,3 +161,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.lang").alias("lang_pred"),
         F.col("language.score").alias("score"),
     )
+
+
+@query("op4_embedding_links")
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+#: A byte-level vocabulary; any tokenizer file of that kind will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op8_token_counts")
+def op8_token_counts(
+    spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY
+) -> DataFrame:
+    automaton = token_counts.build(*token_counts.byte_level_pieces(vocabulary))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, automaton).select("doc_id", "tokens.*")
