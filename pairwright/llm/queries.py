@@ -11,6 +11,7 @@ from pairwright.llm import (
     decontamination,
     embedding_links,
     language_id,
+    line_dedup,
     mixing,
     near_duplicates,
     pii,
@@ -179,3 +180,14 @@ def op8_token_counts(
     automaton = token_counts.build(*token_counts.byte_level_pieces(vocabulary))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, automaton).select("doc_id", "tokens.*")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+    )
