@@ -42,3 +42,8 @@ def unit_interval(key: Column, seed: str) -> Column:
     """A number strictly between 0 and 1 that depends on a text key and a seed alone."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def fold(name: str, folds: int) -> Column:
+    """The part of the rows a row belongs to; a row without an id belongs to part 0."""
+    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(0)) % folds

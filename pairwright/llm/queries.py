@@ -19,7 +19,7 @@ from pairwright.llm import (
     token_counts,
     toxicity,
 )
-from pairwright.llm.frames import table
+from pairwright.llm.frames import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,11 +134,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def fold(name: str, folds: int):
-    """The part of the rows a row belongs to; a row without an id belongs to part 0."""
-    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(0)) % folds
-
-
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
