@@ -11,10 +11,11 @@ of 128 minima that is 0.2 too low is five standard deviations out, so estimates
 minus 0.2 are dropped.
 
 Copies are one class with one signature, so they make no pairs. Within a band key only a spanning
-forest of the likeliest links is confirmed at first. Whatever pairs of a key are then still in
-different components are all confirmed in a second step, so no link between components is lost,
-and a key that holds many near copies costs one confirmation each, not one for each pair. Keys with
-many members are cut into tiles of bounded size.
+forest of the likeliest links is confirmed at first. Likely pairs of a key that are then still in
+different components are all compared in a second step, set by set within the key, so no link
+between components is lost; what comes out of a key is a forest again. A key that holds many near
+copies thus gives as many rows as it has members. Keys with many members are cut into tiles of
+bounded size.
 
 Defined results: NULL, empty and blank texts have an empty set and link with nothing; a text of
 fewer than five words is one shingle; copies and texts with equal sets are linked; rows that share
@@ -25,6 +26,7 @@ rows; other columns of the input play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -172,34 +174,70 @@ def forest(rows: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int,
     return edges
 
 
-def apart(rows: np.ndarray, side: np.ndarray, group: np.ndarray, least: float) -> list:
-    """All pairs of different groups with a sufficient estimate."""
-    edges = []
-    two_sided = bool(side.any())
-    for k in range(len(rows) - 1):
-        wanted = group[k + 1 :] != group[k]
-        if two_sided:
-            wanted &= side[k + 1 :] != side[k]
-        others = np.flatnonzero(wanted) + k + 1
-        if len(others):
-            near = similarity(rows[k], rows[others])
-            edges += [(k, int(x)) for x in others[near >= least]]
-    return edges
+def likely_apart(
+    k: int, rows: np.ndarray, side: np.ndarray, group: np.ndarray, least: float
+) -> np.ndarray:
+    """The rows after row k that are in another group, and on the other side where there are two,
+    with a sufficient estimate."""
+    wanted = group[k + 1 :] != group[k]
+    if side.any():
+        wanted &= side[k + 1 :] != side[k]
+    others = np.flatnonzero(wanted) + k + 1
+    return others[similarity(rows[k], rows[others]) >= least]
 
 
-def pairs_of_tiles(least: float, first_step: bool):
-    """Candidate pairs of partitions sorted by tile: (key, i, j, chunk, rep, signature, component)."""
+def tile_rows(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a tile, and the side of each row: 1 for the second of two chunks."""
+    rows = np.frombuffer(b"".join(tile.signature), np.uint64).reshape(len(tile), -1)
+    return rows, (tile.chunk.to_numpy() != tile.i.to_numpy()).astype(np.int8)
 
-    def of_group(group: pd.DataFrame) -> list[tuple[int, int]]:
-        rows = np.frombuffer(b"".join(group.signature), np.uint64).reshape(len(group), -1)
-        side = (group.chunk.to_numpy() != group.i.to_numpy()).astype(np.int8)
-        found = (
-            forest(rows, side, least)
-            if first_step
-            else apart(rows, side, group.component.to_numpy(), least)
-        )
-        reps = group.rep.to_numpy()
-        return [tuple(sorted((int(reps[a]), int(reps[b])))) for a, b in found]
+
+def forest_of_tile(tile: pd.DataFrame, least: float) -> pd.DataFrame:
+    """First step: a spanning forest of likely pairs (a < b)."""
+    reps = tile.rep.to_numpy()
+    found = [(reps[a], reps[b]) for a, b in forest(*tile_rows(tile), least)]
+    return pd.DataFrame([sorted(pair) for pair in found], columns=["a", "b"], dtype="int64")
+
+
+def unsettled_of_tile(tile: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Second step: the rows that are in a likely pair across components."""
+    rows, side = tile_rows(tile)
+    group = tile.component.to_numpy()
+    found = np.zeros(len(rows), bool)
+    for k in range(len(rows) - 1):
+        others = likely_apart(k, rows, side, group, least)
+        found[others] = True
+        found[k] |= len(others) > 0
+    return tile[found]
+
+
+def links_of_tile(tile: pd.DataFrame, least: float, threshold: int) -> pd.DataFrame:
+    """Second step, with the sets: links across components, a spanning forest of them."""
+    rows, side = tile_rows(tile)
+    reps, group = tile.rep.to_numpy(), tile.component.to_numpy().copy()
+    sizes = np.array([len(x) for x in tile["set"]])
+    starts = np.cumsum(sizes) - sizes
+    number = np.unique(np.concatenate(tile["set"].to_list()), return_inverse=True)[1]
+    marked = np.zeros(int(number.max()) + 1, np.int64)
+    found = []
+    for k in range(len(rows) - 1):
+        others = likely_apart(k, rows, side, group, least)
+        if not len(others):
+            continue
+        own = number[starts[k] : starts[k] + sizes[k]]
+        marked[own] = 1
+        common = np.array([marked[number[starts[x] : starts[x] + sizes[x]]].sum() for x in others])
+        marked[own] = 0
+        linked = 100 * common >= threshold * (sizes[k] + sizes[others] - common)
+        for x in others[linked]:
+            if group[x] != group[k]:
+                found.append(sorted((int(reps[k]), int(reps[x]))))
+                group[group == group[x]] = group[k]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def by_tile(work):
+    """Apply work to each tile (key, i, j) of partitions sorted by tile."""
 
     def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the last tile of a batch may go on in the next one
@@ -208,22 +246,25 @@ def pairs_of_tiles(least: float, first_step: bool):
             tile = frame[["key", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
             bounds = [0, *cuts.tolist()]
-            found = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a > 1:
-                    found += of_group(frame.iloc[a:b])
+            done = [
+                work(frame.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1
+            ]
             held = frame.iloc[bounds[-1] :]
-            yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            if done:
+                yield pd.concat(done, ignore_index=True)
         if held is not None and len(held) > 1:
-            yield pd.DataFrame(sorted(set(of_group(held))), columns=["a", "b"], dtype="int64")
+            yield work(held)
 
     return of_partition
 
 
-def candidates(members: DataFrame, least: float, first_step: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of members (key, n, rep, signature, component)."""
+TILED = "key long, i int, j int, chunk int, rep long, signature binary, component long"
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """Members (key, n, rep, signature, component) dealt out by tile and sorted by it."""
     chunks = F.ceil(F.col("n") / TILE).cast("int")
-    tiled = (
+    return (
         members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select(
@@ -235,12 +276,8 @@ def candidates(members: DataFrame, least: float, first_step: bool) -> DataFrame:
             "signature",
             "component",
         )
-    )
-    return (
-        tiled.repartition("key", "i", "j")
+        .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "rep")
-        .mapInPandas(pairs_of_tiles(least, first_step), "a long, b long")
-        .distinct()
     )
 
 
@@ -285,7 +322,10 @@ def near_duplicates(
         keyed.join(shared, "key").join(reps.select("rep", "signature"), "rep"), "members"
     )
     first = materialize(
-        candidates(members.withColumn("component", F.col("rep")), least, True), "pairs"
+        tiles(members.withColumn("component", F.col("rep")))
+        .mapInPandas(by_tile(partial(forest_of_tile, least=least)), "a long, b long")
+        .distinct(),
+        "pairs",
     )
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     # every document of a later candidate pair has a pair here as well
@@ -304,11 +344,21 @@ def near_duplicates(
         F.min("component").alias("lowest"), F.max("component").alias("highest")
     )
     rest = placed.join(split.filter("lowest < highest").select("key"), "key", "leftsemi")
-    second = materialize(
-        candidates(rest, least, False).join(first, ["a", "b"], "leftanti"), "pairs"
+    unsettled = materialize(
+        tiles(rest).mapInPandas(by_tile(partial(unsettled_of_tile, least=least)), TILED),
+        "unsettled",
     )
-    if not second.isEmpty():
-        more = materialize(confirmed(second, sets, threshold), "links")
+    if not unsettled.isEmpty():
+        more = materialize(
+            unsettled.join(sets.withColumnRenamed("id", "rep"), "rep")
+            .repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j", "rep")
+            .mapInPandas(
+                by_tile(partial(links_of_tile, least=least, threshold=threshold)),
+                "a long, b long",
+            ),
+            "links",
+        )
         if not more.isEmpty():
             grouped = components(links.union(more))
     return (
