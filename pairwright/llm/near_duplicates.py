@@ -328,9 +328,10 @@ def near_duplicates(
         "pairs",
     )
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    # every document of a later candidate pair has a pair here as well
+    # every document of a later candidate pair has a pair here as well; the ids grow with the
+    # documents, so they are never broadcast, however few they are
     sets = materialize(
-        texts.join(wanted, "id", "leftsemi")
+        texts.join(wanted.hint("merge"), "id", "leftsemi")
         .dropDuplicates(["id"])
         .select("id", F.pandas_udf(shingle_sets, "array<bigint>")("text").alias("set")),
         "sets",
