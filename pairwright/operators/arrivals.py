@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.naming import is_data, safe_filename
-from pairwright.operators.blocks import salt_of
+from pairwright.operators.blocks import look_up, salt_of
 from pairwright.operators.file_names import number_names
 from pairwright.session import materialize
 from pairwright.specs import Config, Source, as_date
@@ -92,18 +92,25 @@ def skipped_reason(name: Column, size: Column, config: Config) -> Column:
     too_small = size.isNotNull() & (size < config.min_attachment_bytes)
     return F.when(
         ~is_data(name, config.data_extensions) & too_small,
-        F.concat(F.lit("below min_attachment_bytes ("), size.cast("string"), F.lit(" bytes)")),
+        F.concat(F.lit("under the least size ("), size.cast("string"), F.lit(" bytes)")),
     )
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() == "string"
+
+
 def attachments_of(messages: DataFrame, config: Config) -> DataFrame:
-    """One row per attachment of classified messages, with its safe name and target folder."""
+    """One row per attachment of classified messages, with its safe name and target folder.
+
+    A message without a readable date has no folder; its attachments are skipped for that reason.
+    """
     rows = messages.select(
         "source",
         "msg_id",
         "subject",
         "received",
-        F.to_date("received").alias("run_date"),
+        received_date(F.col("received"), _is_text(messages, "received")).alias("run_date"),
         F.explode("attachments").alias("a"),
     )
     named = rows.select(
@@ -119,7 +126,12 @@ def attachments_of(messages: DataFrame, config: Config) -> DataFrame:
     )
     folder = config.run_path("source", "run_date")
     return (
-        named.withColumn("skipped_reason", skipped_reason(F.col("filename"), F.col("size"), config))
+        named.withColumn(
+            "skipped_reason",
+            F.when(F.col("run_date").isNull(), F.lit("no date of receipt")).otherwise(
+                skipped_reason(F.col("filename"), F.col("size"), config)
+            ),
+        )
         .withColumn("folder", folder)
         .withColumn("root", F.regexp_replace("folder", "/[^/]*$", ""))
     )
@@ -191,16 +203,6 @@ def _earliest(arrival: Column) -> Column:
     return F.min_by(arrival, rank)
 
 
-def _look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys`` for rows that carry a ``_salt``.
-
-    The table is first joined to the (key, part) combinations that exist, so rows of one key never
-    all meet its entry in a single task.
-    """
-    spread = rows.select(*keys, "_salt").distinct().join(table, list(keys))
-    return rows.join(spread, [*keys, "_salt"], "left")
-
-
 def filing_plan(
     messages: DataFrame,
     config: Config,
@@ -221,7 +223,7 @@ def filing_plan(
     names_there = None if filed is None else filed.select("folder", "filename")
     stored = stage(
         number_names(judged.filter("is_first"), names_there, stage).withColumn(
-            "path", F.concat_ws("/", "folder", F.coalesce("stored_name", "filename"))
+            "path", F.concat_ws("/", "folder", "stored_name")
         ),
         "stored",
     )
@@ -231,10 +233,8 @@ def filing_plan(
     written = stored.select(
         *columns,
         "path",
-        F.col("stored_name").isNotNull().alias("written"),
-        F.when(F.col("stored_name").isNull(), F.lit("no free name"))
-        .otherwise(F.lit(""))
-        .alias("skipped_reason"),
+        F.lit(True).alias("written"),
+        F.lit("").alias("skipped_reason"),
         no_text.alias("duplicate_of"),
     )
     firsts = stored.select(
@@ -249,14 +249,14 @@ def filing_plan(
     known = duplicates.filter("first_of.was_filed").select(
         *columns, as_sent, F.col("first_of.path").alias("duplicate_of")
     )
-    among_new = _look_up(
+    among_new = look_up(
         duplicates.filter("NOT first_of.was_filed"), firsts, ["_m", "_p"]
     ).select(*columns, as_sent, F.col("_first_path").alias("duplicate_of"))
     resent = known.unionByName(among_new).select(
         *columns,
         "path",
         F.lit(False).alias("written"),
-        F.lit("identical file already filed").alias("skipped_reason"),
+        F.lit("same content as an earlier file").alias("skipped_reason"),
         "duplicate_of",
     )
     dropped = arrived.filter("skipped_reason IS NOT NULL").select(

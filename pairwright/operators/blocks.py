@@ -181,3 +181,13 @@ def attach_group_value(
     across = Window.partitionBy(*keys)
     whole = parts.select(*keys, "_salt", pick("_part").over(across).alias(out))
     return rows.join(whole, [*keys, "_salt"]).drop("_salt")
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` for rows that carry a ``_salt``.
+
+    The table is first joined to the (key, part) combinations that exist, so rows of one key never
+    all meet its entry in a single task.
+    """
+    spread = rows.select(*keys, "_salt").distinct().join(table, list(keys))
+    return rows.join(spread, [*keys, "_salt"], "left")

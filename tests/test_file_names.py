@@ -8,7 +8,7 @@ from pairwright.operators import file_names as fn
 FILE = "folder string, filename string, received timestamp_ntz, msg_id long, pos int"
 
 
-def loop(files, there, last):
+def loop(files, there, last=5000):
     """Store the files one after the other."""
     taken, stored = set(there), {}
     for folder, name, _, key, _ in sorted(files, key=lambda f: (f[2], f[3], f[4])):
@@ -23,9 +23,7 @@ def loop(files, there, last):
 
 
 @pytest.mark.parametrize("with_filed", [False, True])
-@pytest.mark.parametrize("last", [999, 5])
-def test_like_storing_one_by_one(spark, monkeypatch, with_filed, last):
-    monkeypatch.setattr(fn, "LAST_COUNTER", last)
+def test_like_storing_one_by_one(spark, with_filed):
     rng = random.Random(17 + with_filed)
     names = ["a.csv", "a.csv", "a (2).csv", "a (3).csv", "a (2) (2).csv", "a (2) (2) (3).csv",
              "a (4).csv", "b", "b (2)", "c (7).csv", "c (2) (2).csv"]
@@ -38,4 +36,16 @@ def test_like_storing_one_by_one(spark, monkeypatch, with_filed, last):
         there = {(f"f{rng.randrange(24)}", rng.choice(names)) for _ in range(40)}
     filed = spark.createDataFrame(sorted(there), "folder string, filename string") if there else None
     got = fn.number_names(spark.createDataFrame(files, FILE), filed).collect()
-    assert {r.msg_id: r.stored_name for r in got} == loop(files, there, last)
+    assert {r.msg_id: r.stored_name for r in got} == loop(files, there)
+
+
+def test_counting_never_ends(spark):
+    """1,002 files of one name in the same second, two of its numbers taken by other files."""
+    when = dt.datetime(2026, 3, 2)
+    files = [("f", "a.csv", when, i, 0) for i in range(1002)]
+    files.append(("f", "a (1000).csv", when, 500, 0))
+    files.append(("f", "a (3).csv", when, 2000, 0))
+    files = [(f, n, w, 10 * k + (n != "a.csv"), p) for f, n, w, k, p in files]
+    got = fn.number_names(spark.createDataFrame(files, FILE)).collect()
+    assert {r.msg_id: r.stored_name for r in got} == loop(files, set())
+    assert len({r.stored_name for r in got}) == 1004
