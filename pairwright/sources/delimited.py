@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.functions.naming import row_locator
+from pairwright.functions.naming import is_data, is_own_report, row_locator
+from pairwright.functions.naming import suffix as suffix_of_name
 from pairwright.operators.blocks import state_prefix
 from pairwright.operators.pairing import RECORD_COLUMNS, RUN
 from pairwright.session import materialize
@@ -33,9 +34,16 @@ _SPLIT = "split_start"
 _QUOTED = r'[^"]*+(?:""[^"]*+)*+'
 
 
+def _in_class(sep: str) -> str:
+    """A separator as it is written inside and outside a character class of a regex."""
+    if len(sep) != 1 or sep in '"\r\n':
+        raise ValueError(f"a separator is one character other than a quote or line end, not {sep!r}")
+    return f"\\x{{{ord(sep):x}}}"
+
+
 def _quote_patterns(sep: str) -> tuple[str, str]:
     """Does a line end inside a quoted value, if reached outside one / inside one?"""
-    s = "\\t" if sep == "\t" else sep
+    s = _in_class(sep)
     complete = rf'(?:(?:"{_QUOTED}"[^{s}]*+|[^"{s}][^{s}]*+)?+{s})*+'
     left_open = rf'{complete}"{_QUOTED}\z'
     return rf"^{left_open}", rf'^{_QUOTED}(?:\z|"[^{s}]*+{s}{left_open})'
@@ -46,10 +54,11 @@ def read_text_lines(
 ) -> DataFrame:
     """Physical lines with their file, the split they are in and their place in the split.
 
-    Partition columns of the folder layout (such as ``source`` and ``run_date``) are kept.
+    The suffix of a file may be in any case. Partition columns of the folder layout (such as ``source`` and ``run_date``) are kept.
     """
+    any_case = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     return (
-        spark.read.option("pathGlobFilter", f"*{suffix}")
+        spark.read.option("pathGlobFilter", f"*{any_case}")
         .option("recursiveFileLookup", "false")
         .text(path)
         .select(
@@ -131,7 +140,7 @@ def number_rows(lines: DataFrame, sep: str = ",") -> DataFrame:
 
 def split_cells(text: Column, sep: str) -> Column:
     """The cells of one row as an array of text, quotes removed."""
-    s = "\\t" if sep == "\t" else sep
+    s = _in_class(sep)
     cell = rf'{s}("{_QUOTED}"[^{s}]*+|[^"{s}][^{s}]*+|)'
     found = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(cell), F.lit(1))
 
@@ -152,20 +161,19 @@ def assemble_rows(numbered: DataFrame, sep: str = ",") -> DataFrame:
     """One row per logical row with its ``cells``.
 
     Almost every row is one line and passes straight through; only the lines of rows that run over
-    several lines are brought together. A file whose last quoted value never closes yields only
-    what came before it.
+    several lines are brought together, and of those only rows whose quoted value is known to close:
+    a stray quote in a large file does not gather the rest of it. Such a file yields only what came
+    before the quote.
     """
     keep = [c for c in numbered.columns if c not in ("value", "pos", "continues", "open")]
     group = [c for c in keep if c != _SPLIT]
     single = numbered.filter("NOT continues AND NOT open").select(*keep, "value")
     pieces = numbered.filter("continues OR open")
+    closes = pieces.filter("continues AND NOT open").select(FILE, "row").distinct()
     closed = (
-        pieces.groupBy(*group)
-        .agg(
-            F.sort_array(F.collect_list(F.struct(_SPLIT, "pos", "value"))).alias("_p"),
-            F.count_if(F.col("continues") & ~F.col("open")).alias("_closed"),
-        )
-        .filter("_closed > 0")
+        pieces.join(closes, [FILE, "row"], "left_semi")
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list(F.struct(_SPLIT, "pos", "value"))).alias("_p"))
         .select(
             *group,
             F.col("_p")[0][_SPLIT].alias(_SPLIT),
@@ -253,11 +261,11 @@ def resolve_errors(resolved: DataFrame, headers: DataFrame, config: Config) -> D
             *keys,
             "field",
             F.concat(
-                F.lit("No column found for '"),
+                F.lit("no header for "),
                 F.col("field"),
-                F.lit("'. Tried: "),
+                F.lit(" ("),
                 F.col("tried"),
-                F.lit(". The file has: "),
+                F.lit(") in: "),
                 F.col("actual"),
             ).alias("error"),
         )
@@ -337,29 +345,112 @@ def unterminated_errors(numbered: DataFrame) -> DataFrame:
     )
 
 
+def data_files(
+    spark: SparkSession, path: str | list[str], config: Config, suffix_only: str | None = None
+) -> DataFrame:
+    """Files that should give records, with their run; their content is not read.
+
+    All files of a data kind, or those of one suffix; a report of an earlier check is none.
+    """
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_name").alias("name"))
+        .withColumn("suffix", suffix_of_name(F.col("name")))
+    )
+    folder = r"/source=([^/]+)/run_date=([^/]+)/"
+    wanted = (
+        F.col("suffix") == suffix_only.lower()
+        if suffix_only
+        else F.col("suffix").isin(list(config.data_extensions))
+    )
+    return found.filter(wanted & ~is_own_report(F.col("name"))).select(
+        F.url_decode(F.nullif(F.regexp_extract(FILE, folder, 1), F.lit(""))).alias("source"),
+        F.regexp_extract(FILE, folder, 2).try_cast("date").alias("run_date"),
+        FILE,
+        "name",
+        "suffix",
+    )
+
+
+def _empty_files(arrivals: DataFrame, files: DataFrame, config: Config) -> DataFrame:
+    """Data files that have arrived but are not among those Spark sees."""
+    name = F.col("filename")
+    return (
+        arrivals.filter(is_data(name, config.data_extensions) & ~is_own_report(name))
+        .select(*RUN, name.alias("name"))
+        .distinct()
+        .join(files, [*RUN, "name"], "left_anti")
+        .select(
+            *RUN,
+            F.concat_ws("/", config.run_path("source", "run_date"), "name").alias(FILE),
+            "name",
+            suffix_of_name(F.col("name")).alias("suffix"),
+        )
+    )
+
+
+def unread_errors(files: DataFrame, headers: DataFrame, config: Config, readable) -> DataFrame:
+    """Files that gave no header, and why: each of them is named, none just disappears."""
+    names = [s.name for s in config.sources]
+    missing = files.join(headers.select(FILE).distinct(), FILE, "left_anti")
+    strange = files.filter(~F.col("source").isin(names) | F.col("source").isNull())
+    why = (
+        F.when(~F.col("suffix").isin(list(readable)), F.lit(": this format is not read here"))
+        .when(F.col("source").isNull() | ~F.col("source").isin(names), F.lit(": unknown source"))
+        .otherwise(F.lit(": no header row"))
+    )
+    return (
+        missing.unionByName(strange)
+        .distinct()
+        .select(*RUN, FILE, F.concat("name", why).alias("error"))
+    )
+
+
 def read_exports(
     spark: SparkSession,
     path: str | list[str],
     config: Config,
-    suffix: str = ".csv",
+    suffix: str | None = None,
     sep: str | None = None,
     stage: Callable[[DataFrame, str], DataFrame] = materialize,
+    arrivals: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Records of all exports under ``path``, and what kept others from being read.
 
-    The folders must carry ``source=.../run_date=...``. The numbered lines are written to the
-    shared folder once, as records and errors are all derived from them. A file with an error gives
-    no records.
+    The folders must carry ``source=.../run_date=...``. Files of all known suffixes are read, each
+    kind with its own separator, or those of one suffix with the one given. The numbered lines are
+    written to the shared folder once, as records and errors are all derived from them. A file with
+    an error gives no records, and every data file gives a header or an error. Spark does not list
+    files of no bytes at all: ``arrivals`` (``source, run_date, filename``) names those as well.
     """
-    sep = sep or SEPARATORS[suffix]
-    numbered = stage(number_rows(read_text_lines(spark, path, suffix), sep), "exports")
-    rows = assemble_rows(numbered, sep)
+    separators = SEPARATORS if suffix is None else {suffix.lower(): sep or SEPARATORS[suffix.lower()]}
+    files = stage(data_files(spark, path, config, suffix), "files")
+    if arrivals is not None:
+        files = files.unionByName(_empty_files(arrivals, files, config))
+    columns = [*RUN, FILE, "error"]
+    rows = unreadable = None
+    for kind, separator in separators.items():
+        if files.filter(F.col("suffix") == kind).isEmpty():
+            continue
+        numbered = stage(number_rows(read_text_lines(spark, path, kind), separator), "exports")
+        of_kind = assemble_rows(numbered, separator).select(*RUN, FILE, _SPLIT, "row", "cells")
+        wrong = too_wide_errors(of_kind).unionByName(unterminated_errors(numbered))
+        rows = of_kind if rows is None else rows.unionByName(of_kind)
+        unreadable = wrong if unreadable is None else unreadable.unionByName(wrong)
+    if rows is None:
+        nothing = files.select(*RUN, FILE, F.lit(0).cast("bigint").alias(_SPLIT),
+                               F.lit(0).cast("bigint").alias("row"),
+                               F.array().cast("array<string>").alias("cells")).limit(0)
+        rows, unreadable = nothing, nothing.select(*RUN, FILE, F.lit("").alias("error"))
     headers = header_cells(rows)
     resolved = resolve_headers(headers, config)
-    columns = [*RUN, FILE, "error"]
-    unreadable = too_wide_errors(rows).unionByName(unterminated_errors(numbered))
-    errors = resolve_errors(resolved, headers, config).select(*columns).unionByName(
-        unreadable.select(*columns)
+    errors = (
+        resolve_errors(resolved, headers, config)
+        .select(*columns)
+        .unionByName(unreadable.select(*columns))
+        .unionByName(unread_errors(files, headers, config, separators).select(*columns))
     )
     usable = resolved.join(unreadable.select(FILE), FILE, "left_anti")
     return rows_to_records(rows, usable), errors

@@ -146,4 +146,48 @@ def test_one_bad_file_hides_none_of_the_others(spark, tmp_path):
     found = {str(e.run_date): e.error for e in errors.collect()}
     assert found["2026-03-03"] == "Expected 4 fields, saw 5"
     assert found["2026-03-04"].startswith("unexpected end of data")
-    assert "No column found for 'description'" in found["2026-03-05"] and len(found) == 3
+    assert "no header for description" in found["2026-03-05"] and len(found) == 3
+
+
+def test_every_data_file_gives_records_or_an_error(spark, tmp_path):
+    head = "Date,Description,Quantity,Amount\n"
+    put(tmp_path, "2026-03-02", "A.CSV", head + "1,2,3,4\n")
+    put(tmp_path, "2026-03-03", "b.tsv", head.replace(",", "\t") + "1\t2\t3\t4,5\n")
+    put(tmp_path, "2026-03-04", "empty.csv", "")
+    put(tmp_path, "2026-03-05", "blank.csv", "\n  \n\n")
+    put(tmp_path, "2026-03-06", "book.xlsx", "x")
+    put(tmp_path, "2026-03-06", "notes.txt", "x")
+    strange = tmp_path / "source=T" / "run_date=2026-03-07"
+    strange.mkdir(parents=True)
+    (strange / "t.csv").write_text(head + "1,2,3,4\n")
+    arrivals = spark.createDataFrame(
+        [("S", "2026-03-04", "empty.csv"), ("S", "2026-03-02", "A.CSV")],
+        "source string, run_date string, filename string",
+    ).withColumn("run_date", F.to_date("run_date"))
+    records, errors = read_exports(spark, str(tmp_path), CONFIG, arrivals=arrivals)
+    got = {(str(r.run_date), r.amount) for r in records.collect()}
+    assert got == {("2026-03-02", "4"), ("2026-03-03", "4,5")}
+    found = {(r.source, str(r.run_date)): r.error for r in errors.collect()}
+    assert found == {
+        ("S", "2026-03-04"): "empty.csv: no header row",
+        ("S", "2026-03-05"): "blank.csv: no header row",
+        ("S", "2026-03-06"): "book.xlsx: this format is not read here",
+        ("T", "2026-03-07"): "t.csv: unknown source",
+    }
+
+
+def test_separators_are_taken_literally(spark, tmp_path):
+    put(tmp_path, "2026-03-02", "a.csv", 'Date|Description|Quantity|Amount\n1|"b|c"|3|4\n')
+    rows = scan_delimited(spark, str(tmp_path), sep="|").orderBy("row").collect()
+    assert rows[1].cells == ["1", "b|c", "3", "4"]
+    with pytest.raises(ValueError, match="one character"):
+        scan_delimited(spark, str(tmp_path), sep="||")
+
+
+def test_a_stray_quote_gathers_nothing(spark, tmp_path):
+    head = "Date,Description,Quantity,Amount\n"
+    body = "".join(f"1,x{i},3,4\n" for i in range(200_000))
+    put(tmp_path, "2026-03-02", "a.csv", head + '1,"open,3,4\n' + body)
+    records, errors = read_exports(spark, str(tmp_path), CONFIG)
+    assert records.count() == 0
+    assert [e.error for e in errors.collect()] == ["unexpected end of data inside a quoted value"]
