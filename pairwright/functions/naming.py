@@ -52,6 +52,7 @@ def safe_filename(name: Column, fallback: str = "attachment") -> Column:
     """A name any file system takes: forbidden characters replaced, dots and spaces trimmed."""
     text = F.coalesce(name, F.lit(""))
     text = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    # fixed values: characters that file systems do not take
     text = F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_")
     text = F.regexp_replace(text, r"^[. ]+|[. ]+$", "")
     return F.when(text == "", F.lit(fallback)).otherwise(text)

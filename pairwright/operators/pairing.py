@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.normalize import KEY_SEPARATOR, normalize_field
+from pairwright.functions.normalize import KEY_SEPARATOR, canonical
 from pairwright.operators.blocks import (
     attach_group_value,
     block_of,
     occurrence_number,
     salt_of,
 )
-from pairwright.specs import DOCUMENT, KNOWN_FIELDS, SPREADSHEET, Config
+from pairwright.specs import DOCUMENT, FIELD_KINDS, KNOWN_FIELDS, SPREADSHEET, Config
 
 RUN = ["source", "run_date"]
 RECORD_COLUMNS = [*RUN, "side", "ordinal", "locator", *KNOWN_FIELDS]
@@ -50,7 +50,7 @@ def normalized_value(field: str) -> Column:
     """One field of a record in canonical form, read the way its own source writes dates."""
     raw = F.col(field)
     return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(
-        normalize_field(field, raw, F.col("date_order"))
+        canonical(FIELD_KINDS.get(field, "text"), raw, F.col("date_order"))
     )
 
 
@@ -94,7 +94,7 @@ def normalize_records(records: DataFrame, config: Config) -> DataFrame:
 def number_occurrences(normalised: DataFrame) -> DataFrame:
     """Number the records that share a key on a side, in file order.
 
-    Records paired by identifier whose identifier is blank are left out: they pair with nothing.
+    Pairing basis identifier whose identifier is blank are left out: they pair with nothing.
     """
     pairable = normalised.filter(~F.col("unidentified")).withColumn(
         "_block", block_of("ordinal")
@@ -104,25 +104,23 @@ def number_occurrences(normalised: DataFrame) -> DataFrame:
     ).drop("_block")
 
 
-def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.filter(F.col("side") == side)
-
-
 def pair_records(normalised: DataFrame, config: Config) -> DataFrame:
     """One row per pair or one-sided record of every run.
 
-    The n-th record with a key on one side goes with the n-th on the other, so the join key
-    includes the occurrence number and a key that repeats without end still spreads out. Columns:
+    The n-th record with a key on one side goes with the n-th on the other, so records meet by key
+    and occurrence number, two at most, and a key that repeats without end still spreads out. Columns:
     run, ``pair_key``, ``n``, ``by_id``, the two sides as structs (NULL where missing),
     ``differences`` and ``outcome``.
     """
     numbered = number_occurrences(normalised)
     on = [*RUN, "pair_key", "n"]
 
-    def packed(side: str) -> DataFrame:
-        return _side(numbered, side).select(*on, F.struct(*_SIDE_COLUMNS).alias(side))
+    def packed(side: str) -> Column:
+        # at most one record of a side has this key and number
+        here = F.when(F.col("side") == side, F.struct(*_SIDE_COLUMNS))
+        return F.first(here, ignorenulls=True).alias(side)
 
-    joined = packed(DOCUMENT).join(packed(SPREADSHEET), on, "full_outer")
+    joined = numbered.groupBy(*on).agg(packed(DOCUMENT), packed(SPREADSHEET))
 
     unidentified = normalised.filter("unidentified").select(
         *RUN,
@@ -212,7 +210,7 @@ def one_sided(pairs: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def order_one_sided(unmatched: DataFrame, normalised: DataFrame) -> DataFrame:
+def order_one_sided(unmatched: DataFrame, pairs: DataFrame) -> DataFrame:
     """Add the columns that list one-sided records in reading order within a run.
 
     ``group_pos``: spreadsheet rows without an identifier, then document records, then the other
@@ -225,8 +223,12 @@ def order_one_sided(unmatched: DataFrame, normalised: DataFrame) -> DataFrame:
         .when(F.col("side") == DOCUMENT, 1)
         .otherwise(2),
     )
-    keyed = _side(normalised, SPREADSHEET).select(
-        *RUN, "pair_key", "ordinal", F.lit(False).alias("_wanted")
+    on_sheet = pairs.filter(F.col(SPREADSHEET).isNotNull())
+    keyed = on_sheet.select(
+        *RUN,
+        "pair_key",
+        F.col(f"{SPREADSHEET}.ordinal").alias("ordinal"),
+        F.lit(False).alias("_wanted"),
     )
     wanted = marked.filter(left_over)
     first = attach_group_value(
@@ -271,16 +273,22 @@ def ambiguous_ids(pairs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_keys(pairs: DataFrame) -> DataFrame:
+def repeated_keys(normalised: DataFrame) -> DataFrame:
     """Composite keys that occur more than once on a side, with how often.
 
-    When both sides repeat a key the spreadsheet's count is the one shown.
+    When both sides repeat a key the spreadsheet's count is the one shown. Keys are only counted,
+    so records are added up before they are shuffled and nothing is paired.
     """
-    on_sheet = F.max(F.when(F.col(SPREADSHEET).isNotNull(), F.col("n")))
+    on_document, on_sheet = F.col("_document"), F.col("_sheet")
     counted = (
-        pairs.filter(~F.col("by_id") & (F.col("n") >= 2))
+        normalised.filter(~F.col("by_id"))
         .groupBy(*RUN, "pair_key")
-        .agg(F.coalesce(on_sheet, F.max("n")).alias("occurrences"))
+        .agg(
+            F.count_if(F.col("side") == DOCUMENT).alias("_document"),
+            F.count_if(F.col("side") == SPREADSHEET).alias("_sheet"),
+        )
+        .filter((on_document >= 2) | (on_sheet >= 2))
+        .withColumn("occurrences", F.when(on_sheet >= 2, on_sheet).otherwise(on_document))
     )
     return counted.select(
         *RUN,
@@ -295,9 +303,15 @@ def repeated_keys(pairs: DataFrame) -> DataFrame:
     )
 
 
-def records_for_side(pairs: DataFrame, side: str) -> DataFrame:
-    """All records of one side, whatever became of them."""
-    return pairs.filter(F.col(side).isNotNull()).select(*RUN, "outcome", f"{side}.*")
+def records_for_side(pairs: DataFrame, *sides: str) -> DataFrame:
+    """All records of one side, or of both in one pass, whatever became of them."""
+    wanted = sides or (DOCUMENT, SPREADSHEET)
+    records = F.array(
+        *[F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("side"), f"{s}.*")) for s in wanted]
+    )
+    return pairs.select(*RUN, "outcome", F.explode(F.array_compact(records)).alias("r")).select(
+        *RUN, "outcome", "r.*"
+    )
 
 
 def fields_in_play(pairs: DataFrame, config: Config) -> DataFrame:

@@ -14,14 +14,14 @@ from pairwright.specs import DOCUMENT, SPREADSHEET, Config, Source
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
-_COLUMNS = {"reference": 40.0, "date": 130.0, "description": 210.0, "quantity": 360.0,
-            "amount": 420.0}
+_COLUMNS = {"reference": 54.0, "date": 148.0, "description": 232.0, "quantity": 372.0,
+            "amount": 452.0}
 _ALIASES = {
-    "reference": ("Reference", "Ref"),
-    "date": ("Date", "Value Date"),
-    "description": ("Description", "Details"),
-    "quantity": ("Quantity", "Units"),
-    "amount": ("Amount", "Value"),
+    "reference": ("Voucher", "Vch"),
+    "date": ("Booked", "Value Day"),
+    "description": ("Wording", "Text"),
+    "quantity": ("Pieces", "Pcs"),
+    "amount": ("Sum", "Total"),
 }
 
 #: Orders: one source per priority, paired by reference.
@@ -32,9 +32,9 @@ ORDERS = Config(
             columns=_COLUMNS,
             aliases=_ALIASES,
             match_on="reference",
-            start_markers=("TRANSACTION DETAIL",),
-            stop_markers=("END OF REPORT",),
-            skip_markers=("Page ",),
+            start_markers=("Booked Entries",),
+            stop_markers=("Sum carried over",),
+            skip_markers=("Sheet ",),
             labels={DOCUMENT: f"statement {name[0]}"} if name[0] in "13" else {},
             date_order="month_first" if name[0] == "2" else "day_first",
         )
@@ -42,6 +42,27 @@ ORDERS = Config(
     ],
 )
 
+#: The same orders, with sources that carry, compare and call things differently.
+DIFFERING_SOURCES = Config(
+    sources=[
+        Source(
+            name=name,
+            columns={f: x for f, x in _COLUMNS.items() if f not in absent},
+            aliases=_ALIASES,
+            match_on=match_on,
+            labels=labels,
+        )
+        for name, absent, match_on, labels in (
+            ("1-URGENT", (), "reference", {DOCUMENT: "statement 1"}),
+            ("2-HIGH", ("quantity",), "reference", {SPREADSHEET: "ledger 2"}),
+            ("3-MEDIUM", ("quantity", "description"), "reference", {}),
+            ("4-NOT SPECIFIED", ("date", "description"), "reference",
+             {DOCUMENT: "bank 4", SPREADSHEET: "book 4"}),
+            ("5-LOW", (), "amount", {DOCUMENT: "slip 5"}),
+        )
+    ],
+)
+
 #: Line items: one source per return flag, recognised only by their own values.
 LINES = Config(
     sources=[
@@ -221,39 +242,43 @@ def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     words = F.concat(
         F.array(
-            word(F.date_format(F.col("day"), "yyyy-MM-dd"), 130.4, top + 0.2),
-            word(F.upper(_reference()), 40.0, top),
-            word(F.format_number("price", 2), 418.5, top + 0.4),
-            word("Customer", 210.0, top + 0.1),
-            word(F.col("customer").cast("string"), 262.0, top + 0.1),
+            word(F.date_format(F.col("day"), "yyyy-MM-dd"), 148.4, top + 0.2),
+            word(F.upper(_reference()), 54.0, top),
+            word(F.format_number("price", 2), 450.5, top + 0.4),
+            word("Customer", 232.0, top + 0.1),
+            word(F.col("customer").cast("string"), 288.0, top + 0.1),
             word("*", 6.0, top),
         ),
         # every third customer has no quantity: the column must stay empty
         line(
             F.col("customer") % 3 != 0,
-            [word((F.col("customer") % 500 + 1).cast("string"), 359.0, top)],
+            [word((F.col("customer") % 500 + 1).cast("string"), 371.0, top)],
         ),
         line(
             price > 480000,
-            [word("END", 60.0, top + 3), word("OF", 80.0, top + 3), word("REPORT", 95.0, top + 3)],
+            [
+                word("SUM", 60.0, top + 3),
+                word("CARRIED", 80.0, top + 3),
+                word("OVER", 95.0, top + 3),
+            ],
         ),
         line(
             price < 30000,
-            [word("Transaction", 60.0, top + 4), word("Detail", 120.0, top + 4)],
+            [word("Booked", 60.0, top + 4), word("Entries", 120.0, top + 4)],
         ),
         line(
             (price > 240000) & (price < 250000),
             [
-                word("end", 50.0, top + 5),
-                word("of", 70.0, top + 5),
-                word("report,", 90.0, top + 5),
-                word("transaction", 130.0, top + 5),
-                word("detail", 190.0, top + 5),
+                word("sum", 60.0, top + 5),
+                word("carried", 80.0, top + 5),
+                word("over,", 100.0, top + 5),
+                word("booked", 150.0, top + 5),
+                word("entries", 205.0, top + 5),
             ],
         ),
         line(
             (price > 100000) & (price < 120000),
-            [word("Page", 300.0, top + 6), word("7", 330.0, top + 6)],
+            [word("Sheet", 300.0, top + 6), word("7", 330.0, top + 6)],
         ),
         line(F.col("status") == "P", [word("~", 3.0, top + 7), word("note", 12.0, top + 7)]),
     )
@@ -282,11 +307,11 @@ def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_BITS = 20
 #: The header each source's exports carry; one of them lacks the amount.
 EXPORT_HEADERS = {
-    "1-URGENT": "Ref,Value Date,Details,Units,Value",
-    "2-HIGH": "  reference ,DATE,Description,Quantity,Amount",
-    "3-MEDIUM": "Reference,Date,Description,Quantity,Amount",
-    "4-NOT SPECIFIED": "Amount,Reference,Ref,Date,amount",
-    "5-LOW": "Reference,Date,Description,Quantity,Sum",
+    "1-URGENT": "Vch,Value Day,Text,Pcs,Total",
+    "2-HIGH": "  voucher ,BOOKED,Wording,Pieces,Sum",
+    "3-MEDIUM": "Voucher,Booked,Wording,Pieces,Sum",
+    "4-NOT SPECIFIED": "Sum,Voucher,Vch,Booked,sum",
+    "5-LOW": "Voucher,Booked,Wording,Pieces,Gross",
 }
 
 

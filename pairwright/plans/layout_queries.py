@@ -36,30 +36,30 @@ _LINES = f"""
             concat_ws(' ', '*', reference, date, 'Customer ' || customer, quantity, amount) AS text,
             reference, date, 'Customer ' || customer AS description,
             coalesce(quantity, '') AS quantity, amount,
-            concat_ws('  ', '*@6', 'AAA-999999999999@40', '9999-99-99@130', 'Aaaaaaaa@210',
-                regexp_replace(CAST(customer AS VARCHAR), '[0-9]', '9', 'g') || '@262',
-                regexp_replace(quantity, '[0-9]', '9', 'g') || '@359',
-                regexp_replace(amount, '[0-9]', '9', 'g') || '@418') AS shown,
+            concat_ws('  ', '*@6', 'AAA-999999999999@54', '9999-99-99@148', 'Aaaaaaaa@232',
+                regexp_replace(CAST(customer AS VARCHAR), '[0-9]', '9', 'g') || '@288',
+                regexp_replace(quantity, '[0-9]', '9', 'g') || '@371',
+                regexp_replace(amount, '[0-9]', '9', 'g') || '@450') AS shown,
             6 + (quantity IS NOT NULL)::INT AS words
         FROM base
-        UNION ALL SELECT source, run_date, doc_id, page, top + 3, 'END OF REPORT', 'END OF REPORT',
-            '', '', '', '', 'AAA@60  AA@80  AAAAAA@95', 3 FROM base WHERE price > 480000
-        UNION ALL SELECT source, run_date, doc_id, page, top + 4, 'Transaction Detail',
-            'Transaction Detail', '', '', '', '', 'Aaaaaaaaaaa@60  Aaaaaa@120', 2
+        UNION ALL SELECT source, run_date, doc_id, page, top + 3, 'SUM CARRIED OVER', 'SUM CARRIED OVER',
+            '', '', '', '', 'AAA@60  AAAAAAA@80  AAAA@95', 3 FROM base WHERE price > 480000
+        UNION ALL SELECT source, run_date, doc_id, page, top + 4, 'Booked Entries',
+            'Booked Entries', '', '', '', '', 'Aaaaaa@60  Aaaaaaa@120', 2
             FROM base WHERE price < 30000
         UNION ALL SELECT source, run_date, doc_id, page, top + 5,
-            'end of report, transaction detail', 'end of report,', 'transaction detail', '', '', '',
-            'aaa@50  aa@70  aaaaaa,@90  aaaaaaaaaaa@130  aaaaaa@190', 5
+            'sum carried over, booked entries', 'sum carried over,', 'booked entries', '', '', '',
+            'aaa@60  aaaaaaa@80  aaaa,@100  aaaaaa@150  aaaaaaa@205', 5
             FROM base WHERE price > 240000 AND price < 250000
-        UNION ALL SELECT source, run_date, doc_id, page, top + 6, 'Page 7', '', '', 'Page 7', '',
-            '', 'Aaaa@300  9@330', 2 FROM base WHERE price > 100000 AND price < 120000
+        UNION ALL SELECT source, run_date, doc_id, page, top + 6, 'Sheet 7', '', '', 'Sheet 7', '',
+            '', 'Aaaaa@300  9@330', 2 FROM base WHERE price > 100000 AND price < 120000
         UNION ALL SELECT source, run_date, doc_id, page, top + 7, '~ note', '', '', '', '', '',
             '~@3  aaaa@12', 2 FROM base WHERE status = 'P'),
     numbered AS (
         SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_top) AS line,
-            contains(lower(text), 'transaction detail') AS is_start,
-            contains(lower(text), 'end of report') AS is_stop,
-            contains(lower(text), 'page ') AS is_skip
+            contains(lower(text), 'booked entries') AS is_start,
+            contains(lower(text), 'sum carried over') AS is_stop,
+            contains(lower(text), 'sheet ') AS is_skip
         FROM lines),
     marked AS (
         SELECT *, CASE WHEN is_start AND NOT is_stop THEN 1
@@ -85,33 +85,33 @@ _WORDS = f"""
     WITH {_BASE},
     words AS (
         SELECT source, run_date, doc_id, page, ordinal, unnest([
-            {{'text': date, 'x0': 130.4, 'up': 0.2, 'pos': 0}},
-            {{'text': reference, 'x0': 40.0, 'up': 0.0, 'pos': 1}},
-            {{'text': amount, 'x0': 418.5, 'up': 0.4, 'pos': 2}},
-            {{'text': 'Customer', 'x0': 210.0, 'up': 0.1, 'pos': 3}},
-            {{'text': CAST(customer AS VARCHAR), 'x0': 262.0, 'up': 0.1, 'pos': 4}},
+            {{'text': date, 'x0': 148.4, 'up': 0.2, 'pos': 0}},
+            {{'text': reference, 'x0': 54.0, 'up': 0.0, 'pos': 1}},
+            {{'text': amount, 'x0': 450.5, 'up': 0.4, 'pos': 2}},
+            {{'text': 'Customer', 'x0': 232.0, 'up': 0.1, 'pos': 3}},
+            {{'text': CAST(customer AS VARCHAR), 'x0': 288.0, 'up': 0.1, 'pos': 4}},
             {{'text': '*', 'x0': 6.0, 'up': 0.0, 'pos': 5}}]) AS w, top FROM base
         UNION ALL SELECT source, run_date, doc_id, page, ordinal,
-            {{'text': quantity, 'x0': 359.0, 'up': 0.0, 'pos': 6}}, top FROM base
+            {{'text': quantity, 'x0': 371.0, 'up': 0.0, 'pos': 6}}, top FROM base
             WHERE quantity IS NOT NULL
         UNION ALL SELECT source, run_date, doc_id, page, ordinal, unnest([
-            {{'text': 'END', 'x0': 60.0, 'up': 3.0, 'pos': 7}},
-            {{'text': 'OF', 'x0': 80.0, 'up': 3.0, 'pos': 8}},
-            {{'text': 'REPORT', 'x0': 95.0, 'up': 3.0, 'pos': 9}}]), top
+            {{'text': 'SUM', 'x0': 60.0, 'up': 3.0, 'pos': 7}},
+            {{'text': 'CARRIED', 'x0': 80.0, 'up': 3.0, 'pos': 8}},
+            {{'text': 'OVER', 'x0': 95.0, 'up': 3.0, 'pos': 9}}]), top
             FROM base WHERE price > 480000
         UNION ALL SELECT source, run_date, doc_id, page, ordinal, unnest([
-            {{'text': 'Transaction', 'x0': 60.0, 'up': 4.0, 'pos': 7}},
-            {{'text': 'Detail', 'x0': 120.0, 'up': 4.0, 'pos': 8}}]), top
+            {{'text': 'Booked', 'x0': 60.0, 'up': 4.0, 'pos': 7}},
+            {{'text': 'Entries', 'x0': 120.0, 'up': 4.0, 'pos': 8}}]), top
             FROM base WHERE price < 30000
         UNION ALL SELECT source, run_date, doc_id, page, ordinal, unnest([
-            {{'text': 'end', 'x0': 50.0, 'up': 5.0, 'pos': 7}},
-            {{'text': 'of', 'x0': 70.0, 'up': 5.0, 'pos': 8}},
-            {{'text': 'report,', 'x0': 90.0, 'up': 5.0, 'pos': 9}},
-            {{'text': 'transaction', 'x0': 130.0, 'up': 5.0, 'pos': 10}},
-            {{'text': 'detail', 'x0': 190.0, 'up': 5.0, 'pos': 11}}]), top
+            {{'text': 'sum', 'x0': 60.0, 'up': 5.0, 'pos': 7}},
+            {{'text': 'carried', 'x0': 80.0, 'up': 5.0, 'pos': 8}},
+            {{'text': 'over,', 'x0': 100.0, 'up': 5.0, 'pos': 9}},
+            {{'text': 'booked', 'x0': 150.0, 'up': 5.0, 'pos': 10}},
+            {{'text': 'entries', 'x0': 205.0, 'up': 5.0, 'pos': 11}}]), top
             FROM base WHERE price > 240000 AND price < 250000
         UNION ALL SELECT source, run_date, doc_id, page, ordinal, unnest([
-            {{'text': 'Page', 'x0': 300.0, 'up': 6.0, 'pos': 7}},
+            {{'text': 'Sheet', 'x0': 300.0, 'up': 6.0, 'pos': 7}},
             {{'text': '7', 'x0': 330.0, 'up': 6.0, 'pos': 8}}]), top
             FROM base WHERE price > 100000 AND price < 120000
         UNION ALL SELECT source, run_date, doc_id, page, ordinal, unnest([
@@ -182,9 +182,9 @@ def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "assign_columns",
     f"""{_WORDS} SELECT doc_id, page, w.text AS text, CAST(w.x0 AS DOUBLE) AS x0,
-        CASE WHEN w.x0 >= 418 THEN 'amount' WHEN w.x0 >= 358 THEN 'quantity'
-             WHEN w.x0 >= 208 THEN 'description' WHEN w.x0 >= 128 THEN 'date'
-             WHEN w.x0 >= 38 THEN 'reference' END AS field FROM words""",
+        CASE WHEN w.x0 >= 450 THEN 'amount' WHEN w.x0 >= 370 THEN 'quantity'
+             WHEN w.x0 >= 230 THEN 'description' WHEN w.x0 >= 146 THEN 'date'
+             WHEN w.x0 >= 52 THEN 'reference' END AS field FROM words""",
 )
 def assign_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column every single word belongs to; none for words left of all columns."""

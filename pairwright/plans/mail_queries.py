@@ -38,7 +38,7 @@ _MAIL = """
             '/statements/' || source || '/' || source || ' ' || strftime(run_date, '%Y.%m.%d')
                 AS folder,
             CASE WHEN filename LIKE '%.csv' OR size >= 8192 THEN NULL
-                 ELSE 'below min_attachment_bytes (' || size || ' bytes)' END AS reason
+                 ELSE 'under the least size (' || size || ' bytes)' END AS reason
         FROM attached),
     firsts AS (
         SELECT *, row_number() OVER (PARTITION BY root, size, content
@@ -63,7 +63,7 @@ _MAIL = """
             NULL AS duplicate_of FROM named
         UNION ALL
         SELECT f.source, f.run_date, f.msg_id, f.pos, f.subject, f.filename,
-            f.folder || '/' || f.filename, false, 'identical file already filed',
+            f.folder || '/' || f.filename, false, 'same content as an earlier file',
             n.folder || '/' || n.stored_name
         FROM firsts f JOIN named n ON n.msg_id = f.first_msg AND n.pos = f.first_pos
         WHERE f.copy > 1

@@ -17,6 +17,7 @@ from pairwright.plans.derived_inputs import (
     order_records,
 )
 from pairwright.plans.registry import query
+from pairwright.session import materialize
 from pairwright.specs import DOCUMENT, KNOWN_FIELDS, SPREADSHEET
 
 # --------------------------------------------------------------------------------------------
@@ -239,15 +240,9 @@ def one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, run_date, 'spreadsheet', s_locator FROM pairs WHERE d_ordinal IS NULL"""),
 )
 def union_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leftovers of the two sides, taken one by one and put together."""
-    pairs = order_pairs(spark, sf_dir, yearly=True)
-
-    def left_over(side: str, other: str) -> DataFrame:
-        return pairs.filter(F.col(other).isNull()).select(
-            *pg.RUN, F.lit(side).alias("side"), F.col(f"{side}.locator").alias("locator")
-        )
-
-    return left_over(DOCUMENT, SPREADSHEET).unionByName(left_over(SPREADSHEET, DOCUMENT))
+    """The leftovers of the two sides together, in one pass over the pairs."""
+    records = pg.records_for_side(order_pairs(spark, sf_dir, yearly=True))
+    return records.filter(F.col("outcome") == pg.ONE_SIDED).select(*pg.RUN, "side", "locator")
 
 
 @query(
@@ -262,9 +257,8 @@ def union_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pairs p LEFT JOIN firsts f USING (source, run_date, pair_key) WHERE NOT paired"""),
 )
 def sort_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normalised = pg.normalize_records(line_records(spark, sf_dir), LINES)
-    unmatched = pg.one_sided(pg.pair_records(normalised, LINES), LINES)
-    return pg.order_one_sided(unmatched, normalised).select(
+    pairs = materialize(line_pairs(spark, sf_dir), "pairs")
+    return pg.order_one_sided(pg.one_sided(pairs, LINES), pairs).select(
         *pg.RUN, "locator", "group_pos", "first_seen", "ordinal"
     )
 
@@ -274,23 +268,34 @@ def sort_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------
 
 
-@query(
-    "project_compare_fields",
-    """SELECT o_orderpriority AS source, count(*) AS orders,
-        'date,description,quantity,amount' AS compare_fields
-    FROM orders GROUP BY ALL""",
-)
+_COMPARED_SQL = f"""
+    WITH {order_sides_sql()}
+    SELECT source, ordinal, concat_ws('; ',
+        CASE WHEN source[1] NOT IN ('4') THEN 'date=' || date END,
+        CASE WHEN source[1] IN ('1', '2', '5') THEN 'description=' || description END,
+        CASE WHEN source[1] IN ('1', '4', '5') THEN 'quantity=' || quantity END,
+        CASE WHEN source[1] NOT IN ('5') THEN 'amount=' || amount END,
+        CASE WHEN source[1] = '5' THEN 'reference=' || reference END) AS compared
+    FROM doc"""
+
+
+@query("project_compare_fields", _COMPARED_SQL)
 def project_compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairwright.plans.derived_inputs import table
+    """What is compared of each statement line; every source compares other fields."""
+    from pairwright.plans.derived_inputs import DIFFERING_SOURCES, order_statements
 
-    counted = (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.col("o_orderpriority").alias("source"))
-        .agg(F.count("*").alias("orders"))
+    rows = pg.with_source_rules(
+        order_statements(spark, sf_dir), DIFFERING_SOURCES, "compare_fields"
     )
-    return pg.with_source_rules(counted, ORDERS, "compare_fields").withColumn(
-        "compare_fields", F.array_join("compare_fields", ",")
+    values = F.array(
+        *[
+            F.when(
+                F.array_contains("compare_fields", f), F.concat(F.lit(f"{f}="), pg.display(f))
+            )
+            for f in KNOWN_FIELDS
+        ]
     )
+    return rows.select("source", "ordinal", F.array_join(F.array_compact(values), "; ").alias("compared"))
 
 
 @query(
@@ -406,14 +411,9 @@ def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE s_ordinal IS NOT NULL"""),
 )
 def records_for_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = order_pairs(spark, sf_dir, yearly=True)
-
-    def of(side: str) -> DataFrame:
-        return pg.records_for_side(pairs, side).select(
-            *pg.RUN, "outcome", "locator", "reference", F.lit(side).alias("side")
-        )
-
-    return of(DOCUMENT).unionByName(of(SPREADSHEET))
+    return pg.records_for_side(order_pairs(spark, sf_dir, yearly=True)).select(
+        *pg.RUN, "outcome", "locator", "reference", "side"
+    )
 
 
 @query(
@@ -429,7 +429,7 @@ def records_for_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(document_quantity - spreadsheet_quantity, 6) AS quantity_difference FROM t"""),
 )
 def side_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rn.side_totals(line_pairs(spark, sf_dir))
+    return rn.side_totals(pg.normalize_records(line_records(spark, sf_dir), LINES))
 
 
 @query(
@@ -443,7 +443,8 @@ def side_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c WHERE s > 1 OR d > 1"""),
 )
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.repeated_keys(line_pairs(spark, sf_dir)).drop("pair_key")
+    normalised = pg.normalize_records(line_records(spark, sf_dir), LINES)
+    return pg.repeated_keys(normalised).drop("pair_key")
 
 
 @query(
@@ -532,12 +533,12 @@ def run_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(*) FILTER (o_orderstatus = 'O') = 0 AS nothing_read,
         CASE WHEN count(*) FILTER (o_orderstatus = 'O') = 0
              THEN 'nothing read from document, ' || count(*) || ' one-sided'
-             ELSE count(*) FILTER (o_orderstatus <> 'O') || ' one-sided' END AS reason
-    FROM orders GROUP BY ALL
-    HAVING count(*) FILTER (o_orderstatus <> 'O') > 0""",
+             WHEN count(*) FILTER (o_orderstatus <> 'O') > 0
+             THEN count(*) FILTER (o_orderstatus <> 'O') || ' one-sided' ELSE '' END AS reason
+    FROM orders GROUP BY ALL""",
 )
 def nothing_read_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which not one order is in the state the statement lists, next to mixed days.
+    """Every day judged; on some not one order is in the state the statement lists.
 
     The export lists all orders, the statement open ones only.
     """
@@ -557,7 +558,7 @@ def nothing_read_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unionByName(pg.as_records(orders, SPREADSHEET, **values))
     pairs = pg.pair_records(pg.normalize_records(records, ORDERS), ORDERS)
     results = rn.run_results(_runs(records), pairs, ORDERS)
-    return results.filter("NOT reconciled").select(
+    return results.select(
         *pg.RUN, "document_count", F.col("warning").isNotNull().alias("nothing_read"), "reason"
     )
 
@@ -579,15 +580,15 @@ def nothing_read_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
             {'pos': 1, 'label': 'Source', 'value': source},
             {'pos': 2, 'label': 'Folder', 'value': '/statements/' || source || '/' || source || ' '
                 || strftime(run_date, '%Y.%m.%d')},
-            {'pos': 3, 'label': 'Records paired by', 'value': 'composite key: ' || CASE source
+            {'pos': 3, 'label': 'Pairing basis', 'value': 'composite key: ' || CASE source
                 WHEN 'A' THEN 'description + quantity' WHEN 'N' THEN 'quantity + description'
                 ELSE 'date + description + amount + quantity' END},
-            {'pos': 4, 'label': 'Records in document', 'value': CAST(documents AS VARCHAR)},
-            {'pos': 5, 'label': 'Records in spreadsheet', 'value': CAST(sheets AS VARCHAR)},
-            {'pos': 6, 'label': 'Matched and agreeing', 'value': CAST(matched AS VARCHAR)},
-            {'pos': 8, 'label': 'One-sided (unmatched)', 'value': CAST(one_sided AS VARCHAR)},
-            {'pos': 9, 'label': 'Unread document lines', 'value': '0'},
-            {'pos': 11, 'label': 'Repeated keys (for information)',
+            {'pos': 4, 'label': 'Rows of document', 'value': CAST(documents AS VARCHAR)},
+            {'pos': 5, 'label': 'Rows of spreadsheet', 'value': CAST(sheets AS VARCHAR)},
+            {'pos': 6, 'label': 'Pairs that agree', 'value': CAST(matched AS VARCHAR)},
+            {'pos': 8, 'label': 'Without a counterpart', 'value': CAST(one_sided AS VARCHAR)},
+            {'pos': 9, 'label': 'Lines not understood', 'value': '0'},
+            {'pos': 11, 'label': 'Keys that repeat',
              'value': CAST(repeated AS VARCHAR)},
             {'pos': 13, 'label': 'Total amount (document)', 'value': printf('%.2f', d_amount)},
             {'pos': 14, 'label': 'Total amount (spreadsheet)', 'value': printf('%.2f', s_amount)},
@@ -604,8 +605,11 @@ def nothing_read_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals are shown with two decimals here, so that both engines print them alike."""
     records = line_records(spark, sf_dir)
-    pairs = line_pairs(spark, sf_dir)
-    lines = rn.run_summary(rn.run_results(_runs(records), pairs, LINES), pairs, LINES)
+    normalised = pg.normalize_records(records, LINES)
+    # read by the counts and by the list of ambiguous identifiers
+    pairs = materialize(pg.pair_records(normalised, LINES), "pairs")
+    results = rn.run_results(_runs(records), pairs, LINES)
+    lines = rn.run_summary(results, pairs, normalised, LINES)
     total = F.col("pos").between(13, 18)
     return lines.withColumn(
         "value",

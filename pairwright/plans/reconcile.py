@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.calendar import expected_runs
 from pairwright.operators.layout import document_records, read_lines, unread_lines
-from pairwright.operators.pairing import RUN, normalize_records, pair_records
+from pairwright.operators.pairing import (
+    RECORD_COLUMNS,
+    RUN,
+    normalize_records,
+    pair_records,
+)
 from pairwright.operators.runs import (
     file_count_errors,
     inventory,
@@ -19,11 +24,7 @@ from pairwright.operators.runs import (
     run_results,
 )
 from pairwright.session import materialize
-from pairwright.specs import Config, as_date
-
-
-#: So many runs (source and day, some 40 bytes each) may be broadcast.
-BROADCAST_RUNS = 500_000
+from pairwright.specs import DOCUMENT, Config, as_date
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,11 @@ class Outcome:
     unread: DataFrame
     results: DataFrame
     overview: DataFrame
+    records: DataFrame
+
+
+#: What of a statement line is read later on; its words are not.
+LINE_COLUMNS = [*RECORD_COLUMNS, "doc_id", "page", "line", "text", "is_record"]
 
 
 def compute_again(df: DataFrame, label: str) -> DataFrame:
@@ -61,15 +67,14 @@ def reconcile_range(
     config: Config,
     calendar: DataFrame,
     only: str | None = None,
-    days: int | None = None,
     stage: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> Outcome:
     """Reconcile every source on every day of ``calendar`` (``run_date``).
 
     Only runs holding exactly one document and one data file are read; a run that cannot be checked
-    becomes a row saying why and hides none of the others. ``days`` is the length of the calendar
-    where it is known: the list of runs is then known to be small enough to broadcast, and words
-    and records are matched with it without a shuffle.
+    becomes a row saying why and hides none of the others. Words are narrowed to the sources and
+    the calendar's span, which prunes what is read, and shuffled once, by page; the list of runs
+    that can be checked meets the lines they make.
 
     Lines, records and pairs are each read by several later steps, so ``stage`` writes them to the
     shared folder once; pass :func:`compute_again` to leave everything to one lazy plan instead.
@@ -82,13 +87,19 @@ def reconcile_range(
     checkable = (
         present.filter("complete").select(*RUN).join(errors, RUN, "left_anti")
     )
-    runs = checkable
-    if days is not None and days * len(config.sources) <= BROADCAST_RUNS:
-        runs = F.broadcast(checkable)
-    words = inputs.words.join(runs, RUN, "left_semi")
-    sheets = inputs.sheet_records.join(runs, RUN, "left_semi")
-
-    read = stage(read_lines(words, config), "lines")
+    first, last = calendar.agg(F.min("run_date"), F.max("run_date")).first()
+    in_span = F.col("source").isin([s.name for s in config.only(only)]) & F.col(
+        "run_date"
+    ).between(F.lit(first), F.lit(last))
+    sheets = inputs.sheet_records.filter(in_span).join(checkable, RUN, "left_semi")
+
+    lines = read_lines(inputs.words.filter(in_span), config)
+    read = stage(
+        lines.withColumn("side", F.lit(DOCUMENT))
+        .select(*LINE_COLUMNS)
+        .join(checkable, RUN, "left_semi"),
+        "lines",
+    )
     records = stage(
         normalize_records(document_records(read).unionByName(sheets), config), "records"
     )
@@ -99,6 +110,7 @@ def reconcile_range(
         pairs=pairs,
         unread=unread,
         results=results,
+        records=records,
         overview=overview(present, errors, results, config),
     )
 
@@ -121,4 +133,4 @@ def reconcile_run(
         arrivals=inputs.arrivals.filter(exact),
         errors=None if inputs.errors is None else inputs.errors.filter(exact),
     )
-    return reconcile_range(pruned, config, calendar, only=name, days=1, **options)
+    return reconcile_range(pruned, config, calendar, only=name, **options)

@@ -25,7 +25,7 @@ from pairwright.plans.reconcile import Inputs, Outcome
 from pairwright.plans.reconcile import reconcile_range as check_range
 from pairwright.plans.reconcile import reconcile_run as check_run
 from pairwright.plans.registry import query
-from pairwright.session import new_dir
+from pairwright.session import materialize, new_dir
 from pairwright.sources import delimited as dl
 from pairwright.sources import files as fl
 
@@ -316,6 +316,7 @@ def reconcile_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sink_report",
     f"""{_RANGE}
     SELECT 'summary' AS name, source, run_date, 1 AS rows FROM results
+    UNION ALL SELECT 'lines', source, run_date, 10 + (document_count = 0)::INT FROM results
     UNION ALL SELECT CASE outcome WHEN 'one_sided' THEN 'unmatched' ELSE outcome END, source,
         run_date, count(*) FROM judged WHERE outcome <> 'differing' GROUP BY ALL
     UNION ALL SELECT 'differences', source, run_date, sum(description_differs::INT
@@ -326,7 +327,9 @@ def reconcile_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All report tables written run by run and read back; rows per table and run."""
     outcome = _range(spark, sf_dir)
-    tables = fl.report_tables(outcome.results, outcome.pairs, outcome.unread, ORDERS)
+    tables = fl.report_tables(
+        outcome.results, outcome.pairs, outcome.unread, outcome.records, ORDERS
+    )
     root = new_dir(spark, "report")
     fl.write_report(tables, root, "r1")
     counted = None
@@ -365,11 +368,11 @@ _FILES = """
         FROM orders),
     headers AS (
         SELECT unnest([
-            {'source': '1-URGENT', 'header': 'Ref|Value Date|Details|Units|Value'},
-            {'source': '2-HIGH', 'header': '  reference |DATE|Description|Quantity|Amount'},
-            {'source': '3-MEDIUM', 'header': 'Reference|Date|Description|Quantity|Amount'},
-            {'source': '4-NOT SPECIFIED', 'header': 'Amount|Reference|Ref|Date|amount'},
-            {'source': '5-LOW', 'header': 'Reference|Date|Description|Quantity|Sum'}]) AS h),
+            {'source': '1-URGENT', 'header': 'Vch|Value Day|Text|Pcs|Total'},
+            {'source': '2-HIGH', 'header': '  voucher |BOOKED|Wording|Pieces|Sum'},
+            {'source': '3-MEDIUM', 'header': 'Voucher|Booked|Wording|Pieces|Sum'},
+            {'source': '4-NOT SPECIFIED', 'header': 'Sum|Voucher|Vch|Booked|sum'},
+            {'source': '5-LOW', 'header': 'Voucher|Booked|Wording|Pieces|Gross'}]) AS h),
     counted AS (
         SELECT source, run_date, part, -1 AS ordinal, 0 AS sub, h.header AS cells
         FROM (SELECT DISTINCT source, run_date, part FROM o) JOIN headers ON h.source = source
@@ -391,7 +394,9 @@ def _exports(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dl.scan_delimited(spark, _exports(spark, sf_dir), suffix=".txt", sep=",")
+    lines = dl.read_text_lines(spark, _exports(spark, sf_dir), ".txt")
+    # headers, cells and records are all read from the numbered lines
+    return dl.assemble_rows(materialize(dl.number_rows(lines, ","), "exports"), ",")
 
 
 @query("scan_delimited", f"{_FILES} SELECT source, run_date, part, row, cells FROM rowed")
@@ -412,14 +417,14 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
             {{'source': '4-NOT SPECIFIED', 'idx': [1, 3, NULL, NULL, 4]}},
             {{'source': '5-LOW', 'idx': [0, 1, 2, 3, NULL]}}]) AS f),
     fields AS (SELECT unnest([
-            {{'field': 'reference', 'tried': 'Reference, Ref', 'at': 1}},
-            {{'field': 'date', 'tried': 'Date, Value Date', 'at': 2}},
-            {{'field': 'description', 'tried': 'Description, Details', 'at': 3}},
-            {{'field': 'quantity', 'tried': 'Quantity, Units', 'at': 4}},
-            {{'field': 'amount', 'tried': 'Amount, Value', 'at': 5}}]) AS g)
+            {{'field': 'reference', 'tried': 'Voucher, Vch', 'at': 1}},
+            {{'field': 'date', 'tried': 'Booked, Value Day', 'at': 2}},
+            {{'field': 'description', 'tried': 'Wording, Text', 'at': 3}},
+            {{'field': 'quantity', 'tried': 'Pieces, Pcs', 'at': 4}},
+            {{'field': 'amount', 'tried': 'Sum, Total', 'at': 5}}]) AS g)
     SELECT k.source, k.run_date, k.part, g.field AS field, f.idx[g.at] AS idx,
-        CASE WHEN f.idx[g.at] IS NULL THEN 'No column found for ''' || g.field || '''. Tried: '
-            || g.tried || '. The file has: ' || replace(h.header, '|', ', ') END AS error
+        CASE WHEN f.idx[g.at] IS NULL THEN 'no header for ' || g.field || ' (' || g.tried
+            || ') in: ' || replace(h.header, '|', ', ') END AS error
     FROM (SELECT DISTINCT source, run_date, part FROM o) k
     JOIN headers ON h.source = k.source JOIN found ON f.source = k.source CROSS JOIN fields""",
 )

@@ -19,6 +19,7 @@ from pairwright.operators.pairing import (
     with_source_rules,
 )
 from pairwright.plans.derived_inputs import (
+    DIFFERING_SOURCES,
     EVENT_FILES,
     LINES,
     ORDERS,
@@ -29,7 +30,7 @@ from pairwright.plans.derived_inputs import (
     table,
 )
 from pairwright.plans.registry import query
-from pairwright.specs import DOCUMENT, KNOWN_FIELDS, SPREADSHEET
+from pairwright.specs import DOCUMENT, FIELD_KINDS, KNOWN_FIELDS, SPREADSHEET
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -218,7 +219,7 @@ def normalize_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.when(F.col("source") == "2-HIGH", nz.MONTH_FIRST).otherwise(nz.DAY_FIRST)
     return records.select(
         "ordinal",
-        *[nz.normalize_field(f, f, order).alias(f"n_{f}") for f in KNOWN_FIELDS],
+        *[nz.canonical(FIELD_KINDS.get(f, "text"), f, order).alias(f"n_{f}") for f in KNOWN_FIELDS],
         (F.col("source") == "2-HIGH").alias("is_high"),
     )
 
@@ -293,9 +294,9 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "side_label",
     """SELECT o_orderpriority AS source, count(*) AS orders,
-        CASE WHEN o_orderpriority LIKE '1%' THEN 'statement 1'
-             WHEN o_orderpriority LIKE '3%' THEN 'statement 3' ELSE 'document' END AS document,
-        CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '3%' THEN 'spreadsheet'
+        CASE o_orderpriority[1] WHEN '1' THEN 'statement 1' WHEN '4' THEN 'bank 4'
+             WHEN '5' THEN 'slip 5' ELSE 'document' END AS document,
+        CASE o_orderpriority[1] WHEN '2' THEN 'ledger 2' WHEN '4' THEN 'book 4'
              ELSE 'spreadsheet' END AS spreadsheet
     FROM orders GROUP BY ALL""",
 )
@@ -305,7 +306,9 @@ def labels_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_orderpriority").alias("source"))
         .agg(F.count("*").alias("orders"))
     )
-    rules = with_source_rules(counted, ORDERS, "label_document", "label_spreadsheet")
+    rules = with_source_rules(
+        counted, DIFFERING_SOURCES, "label_document", "label_spreadsheet"
+    )
     return rules.select(
         "source",
         "orders",

@@ -11,7 +11,9 @@ from pairwright.operators.pairing import (
     differences_worklist,
     matched_pairs,
     one_sided,
+    order_one_sided,
 )
+from pairwright.operators.runs import run_summary
 from pairwright.specs import Config
 
 WORD_COLUMNS = ["source", "run_date", "doc_id", "page", "seq", "text", "x0", "top"]
@@ -34,23 +36,39 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("filename", name).withColumn("suffix", suffix(F.col("filename")))
 
 
+#: Files a run's rows of one table are written to at most, so a large run is not one task.
+FILES_PER_RUN = 8
+
+
 def report_tables(
-    results: DataFrame, pairs: DataFrame, unread: DataFrame, config: Config
+    results: DataFrame,
+    pairs: DataFrame,
+    unread: DataFrame,
+    records: DataFrame,
+    config: Config,
 ) -> dict[str, DataFrame]:
-    """The tables of a report, by name."""
+    """The tables of a report, by name.
+
+    ``lines`` is the summary as it is read: folder, pairing basis, counts, totals and verdict, by
+    ``pos``. One-sided records are in reading order by ``group_pos, first_seen, ordinal``, unread
+    lines by ``doc_id, page, line``.
+    """
     return {
         "summary": results,
+        "lines": run_summary(results, pairs, records, config),
         "differences": differences_worklist(pairs),
-        "unmatched": one_sided(pairs, config),
-        "unread": unread.select(*RUN, "unread_line"),
+        "unmatched": order_one_sided(one_sided(pairs, config), pairs),
+        "unread": unread.select(*RUN, "doc_id", "page", "line", "unread_line"),
         "matched": matched_pairs(pairs),
     }
 
 
 def write_partitioned(df: DataFrame, path: str) -> None:
     """Write rows under their run, replacing what those runs had there before."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_RUN))
     (
-        df.write.mode("overwrite")
+        df.repartition(*RUN, part)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RUN)
         .parquet(path)

@@ -20,8 +20,11 @@ from pairwright.functions.normalize import DATE_ORDERS, DAY_FIRST
 
 #: The fields a record may have, in the order they are shown.
 KNOWN_FIELDS = ("date", "description", "quantity", "amount", "reference", "account")
+#: How a field is read where it is not plain text.
+FIELD_KINDS = {"date": "date", "quantity": "count", "amount": "number"}
 DOCUMENT = "document"
 SPREADSHEET = "spreadsheet"
+#: Suffixes of data files.
 DEFAULT_DATA_EXTENSIONS = (".csv", ".xlsx", ".xlsm", ".ods", ".tsv")
 DEFAULT_FOLDER_TEMPLATE = "{source}/{source} {date:%Y.%m.%d}"
 

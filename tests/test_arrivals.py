@@ -75,8 +75,8 @@ def test_filing_plan(spark):
         (2, 1): (True, f"{day2}/d.csv"),
         (4, 0): (True, "/out/T/T 2026.03.02/statement.pdf"),
     }
-    assert rows[1, 1].skipped_reason == "below min_attachment_bytes (300 bytes)"
-    assert rows[3, 0].skipped_reason == "identical file already filed"
+    assert rows[1, 1].skipped_reason == "under the least size (300 bytes)"
+    assert rows[3, 0].skipped_reason == "same content as an earlier file"
     assert rows[3, 0].duplicate_of == f"{day2}/st.pdf"
     s = ar.fetch_summary(m, plan, CONFIG).first()
     assert s.summary == "4 of 5 messages matched; saved 4 file(s), skipped 2."

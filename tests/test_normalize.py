@@ -68,7 +68,7 @@ def test_text_quantity_mask(spark):
                  nz.norm_text) == ["ALPHA WIDGET", "", "A B", "STRASSE"]
     assert apply(spark, ["12", "12.0", "v1x3.0"], nz.norm_quantity) == ["12", "12", "V1X3"]
     assert apply(spark, ["ABC-123 xy"], nz.mask_shape) == ["AAA-999 aa"]
-    assert apply(spark, [" x "], lambda c: nz.normalize_field("unknown", c)) == ["X"]
+    assert apply(spark, [" x "], lambda c: nz.canonical("anything else", c)) == ["X"]
 
 
 def test_typed_values(spark):

@@ -46,16 +46,16 @@ def test_pairing_by_key(spark, documents, sheets, matched, one_sided, reason):
 
 
 def test_repeated_keys_show_the_spreadsheet_count_when_both_repeat(spark):
-    pairs = pairs_of(spark, [rec()] * 2 + [rec(description="B")] * 2, [rec()] * 3)
-    assert sorted(r.shown for r in pg.repeated_keys(pairs).collect()) == [
+    rows = records(spark, [rec()] * 2 + [rec(description="B")] * 2, [rec()] * 3, "S")
+    normalised = pg.normalize_records(rows, KEYED)
+    assert sorted(r.shown for r in pg.repeated_keys(normalised).collect()) == [
         "2026-03-02 | ALPHA | 100 | 1 (x3)", "2026-03-02 | B | 100 | 1 (x2)"]
     assert result_of(spark, [rec()] * 2, [rec()] * 2).reconciled
 
 
 def test_totals_skip_what_is_no_number(spark):
-    t = rn.side_totals(
-        pairs_of(spark, [rec(amount="1,000.00"), rec(amount="n/a")], [rec(amount="1000")])
-    ).first()
+    rows = records(spark, [rec(amount="1,000.00"), rec(amount="n/a")], [rec(amount="1000")], "S")
+    t = rn.side_totals(pg.normalize_records(rows, KEYED)).first()
     assert (t.document_amount, t.spreadsheet_amount, t.amount_difference) == (1000.0, 1000.0, 0.0)
 
 
@@ -116,7 +116,7 @@ def test_first_in_first_out_like_a_loop(spark, monkeypatch):
         F.col("document.ordinal"), F.col("spreadsheet.ordinal")
     )
     assert sorted(tuple(r) for r in got.collect()) == sorted(together)
-    ordered = pg.order_one_sided(pg.one_sided(pairs, BY_ID), normalised).orderBy(
+    ordered = pg.order_one_sided(pg.one_sided(pairs, BY_ID), pairs).orderBy(
         "group_pos", "first_seen", "ordinal"
     )
     assert [(r.side, r.ordinal) for r in ordered.collect()] == alone

@@ -61,7 +61,7 @@ def test_range_shows_every_day_and_why(spark):
         (NAME, week[3], "statement.pdf"), (NAME, week[3], "ledger.csv"),
     ]
     data = inputs(spark, arrivals, [(NAME, week[3], "not a PDF")], shift=week[1:4])
-    out = reconcile_range(data, BY_ID, days(spark, *week), days=5)
+    out = reconcile_range(data, BY_ID, days(spark, *week))
     got = [(r.status, r.why) for r in out.overview.orderBy("run_date").collect()]
     assert got == [
         ("DIFFERENCES", "1 differing, 2 one-sided"),
@@ -99,7 +99,8 @@ def test_a_rerun_replaces_only_its_own_runs(spark, tmp_path):
 
     def report(data, calendar, report_id):
         out = reconcile_range(data, BY_ID, calendar)
-        write_report(report_tables(out.results, out.pairs, out.unread, BY_ID), root, report_id)
+        tables = report_tables(out.results, out.pairs, out.unread, out.records, BY_ID)
+        write_report(tables, root, report_id)
 
     report(data, days(spark, DAY, NEXT), "first")
     assert read_report(spark, root, "differences").count() == 2
