@@ -325,7 +325,8 @@ def labelled_sample(
         return []
     share = F.create_map(*[F.lit(x) for r in listed for x in (r.lang, most / r.n)])
     lot = F.pmod(F.xxhash64("id"), F.lit(10**6)) / 10.0**6
-    found = usable.filter(lot < share[F.col("lang")]).select("id", "text", "lang").collect()
+    chosen = usable.filter(lot < share[F.col("lang")]).dropDuplicates(["id"])
+    found = chosen.select("id", "text", "lang").collect()
     found.sort(key=lambda r: (r.id, r.lang, r.text))
     return [(r.text, r.lang) for r in found]
 

@@ -407,9 +407,15 @@ def labelled_sample(
     text_col: str = "text",
     most: int = SAMPLE,
 ) -> list[tuple[str, int]]:
-    """About ``most`` labelled texts of each label, chosen by a hash of their ids."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(
-        "y in (0, 1) and id is not null"
+    """About ``most`` labelled texts of each label, chosen by a hash of their ids.
+
+    An id with both labels counts as toxic; of repeated ids one row is taken.
+    """
+    marked = (
+        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+        .filter("y in (0, 1) and id is not null")
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
     )
     count = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") == 1, most / max(count.get(1, 0), 1)).otherwise(
@@ -419,9 +425,10 @@ def labelled_sample(
     chosen = marked.filter(lot < share)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = (
-        texts.join(chosen, "id")
-        .filter(F.octet_length("text") <= SAMPLE_BYTES)
-        .select("id", "text", "y")
+        # the ids chosen are about 2 * most rows, whatever the size of the tables
+        texts.filter(F.octet_length("text") <= SAMPLE_BYTES)
+        .join(F.broadcast(chosen), "id")
+        .dropDuplicates(["id"])
         .collect()
     )
     found.sort(key=lambda r: (r.id, r.text))
