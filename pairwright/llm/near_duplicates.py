@@ -365,7 +365,10 @@ def near_duplicates(
     return (
         signed.join(classes, "digest", "left")
         .join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component_id", F.coalesce("component", "rep", "id"))
+        .withColumn(
+            "component_id",
+            F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")),
+        )
         .select(
             F.col("id").alias(id_col),
             "n_shingles",
