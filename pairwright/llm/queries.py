@@ -14,6 +14,7 @@ from pairwright.llm import (
     line_dedup,
     mixing,
     near_duplicates,
+    oracles,
     pii,
     sharding,
     token_counts,
@@ -98,7 +99,7 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_personal_data")
+@query("op9_personal_data", oracles.OP9_SQL)
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
@@ -115,7 +116,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_decontaminate")
+@query("op3_decontaminate", oracles.OP3_SQL)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -129,7 +130,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_minhash_near_dedup")
+@query("op10_minhash_near_dedup", oracles.OP10_SQL)
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -159,7 +160,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_embedding_links")
+@query("op4_embedding_links", oracles.OP4_SQL)
 def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links.link_embeddings(table(spark, sf_dir, "embeddings"))
 
