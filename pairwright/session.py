@@ -59,3 +59,34 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Stages kept in a folder of their own, which goes when the work that reads them is done.
+
+    Give it as ``stage`` to a plan, use the plan's results inside the ``with`` block, and write what
+    is to stay before it ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str = "stages"):
+        self.spark = spark
+        self.root = new_dir(spark, label)
+        self.count = 0
+
+    def __call__(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete the folder, wherever it is kept."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(hadoop, True)
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

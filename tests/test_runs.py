@@ -2,13 +2,21 @@ import datetime as dt
 
 import pytest
 from helpers import BY_ID, DAY, WORD, golden_sheet, golden_words
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pairwright.operators import runs as rn
 from pairwright.operators.calendar import expected_runs, first_weekdays, weekdays_between
 from pairwright.operators.pairing import RUN, differences_worklist, one_sided
 from pairwright.plans.reconcile import Inputs, compute_again, reconcile_range, reconcile_run
-from pairwright.sources.files import list_files, read_report, report_tables, write_report
+from pairwright.session import Stages, shared_dir
+from pairwright.sources.files import (
+    list_files,
+    read_report,
+    report_tables,
+    write_overview,
+    write_report,
+)
 from pairwright.specs import Config, Source, SpecError
 
 NEXT = DAY + dt.timedelta(days=1)
@@ -144,3 +152,17 @@ def test_source_from_path(spark):
     got = [r[0] for r in df.select(rn.infer_source(F.col("p"), config)).collect()]
     assert got == ["ACME_SUPPLIES", None, None]
     assert df.select(rn.infer_source(F.col("p"), BY_ID)).distinct().count() == 1
+
+
+def test_stages_go_when_their_work_is_done(spark, tmp_path):
+    with Stages(spark) as stages:
+        out = reconcile_range(inputs(spark, BOTH), BY_ID, days(spark, DAY), stage=stages)
+        write_overview(out.overview, str(tmp_path / "overview"))
+        assert list_files(spark, stages.root).filter("suffix = '.parquet'").count() > 0
+    assert spark.read.parquet(str(tmp_path / "overview")).first().status == "DIFFERENCES"
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(stages.root + "/001-lines")
+
+
+def test_stage_folder_comes_from_the_session(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
