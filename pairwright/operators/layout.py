@@ -164,8 +164,15 @@ def unread_lines(read: DataFrame) -> DataFrame:
     )
 
 
-def layout_probe(words: DataFrame, mask: bool = False) -> DataFrame:
-    """Each line as its words with their positions, to find out where columns start."""
+def layout_probe(words: DataFrame, mask: bool = False, page: int | None = None) -> DataFrame:
+    """Each line as its words with their positions, to find out where columns start.
+
+    ``page`` looks at one page number only; it is an error if no document has it.
+    """
+    if page is not None:
+        words = words.filter(F.col("page") == page)
+        if words.isEmpty():
+            raise ValueError(f"no document has a page {page}")
 
     def shown(word: Column) -> Column:
         text = mask_shape(word["text"]) if mask else word["text"]

@@ -20,9 +20,10 @@ RECOMMENDED = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the recommended settings to an existing session."""
+    """Apply the recommended settings an existing session leaves open; those it has made stay."""
     for key, value in RECOMMENDED.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -86,6 +86,9 @@ def test_probe_can_hide_the_values(spark):
     words = spark.createDataFrame(words_of([[("ALPHA", 40.4), ("x1", 110)]], source="S"), WORD)
     assert ly.layout_probe(words).first().shown == "ALPHA@40  x1@110"
     assert ly.layout_probe(words, mask=True).first().shown == "AAAAA@40  a9@110"
+    assert ly.layout_probe(words, page=1).count() == ly.layout_probe(words).count()
+    with pytest.raises(ValueError, match="no document has a page 9"):
+        ly.layout_probe(words, page=9)
 
 
 def test_unmarked_statement_is_read_from_the_first_line(spark):
