@@ -275,26 +275,32 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], lis
     """
     toxic, clean = unlike(toxic), unlike(clean)
     there, here = word_counts(toxic), word_counts(clean)
+    part_toxic = len(toxic) / (len(toxic) + len(clean))
+    # so often at least must a sequence occur to have the evidence needed, and so must its start
+    least = max(4, int(LEAST_EVIDENCE / -np.log(part_toxic)))
     counts: dict[str, list[int]] = {}
-    inside: dict[str, set[str]] = {}
-    for word, n in there.items():
-        for size in range(4, LONGEST_MARK + 1):
-            for k in range(len(word) - size + 1):
-                part = word[k : k + size]
-                counts.setdefault(part, [0, 0])[0] += n
-                inside.setdefault(part, set()).add(word)
-    counts = {part: n for part, n in counts.items() if n[0] > 3}
-    for word, n in here.items():
-        for size in range(4, LONGEST_MARK + 1):
+    for size in range(4, LONGEST_MARK + 1):
+        found: Counter = Counter()
+        for word, n in there.items():
             for k in range(len(word) - size + 1):
-                if word[k : k + size] in counts:
-                    counts[word[k : k + size]][1] += n
-    part_toxic = len(toxic) / (len(toxic) + len(clean))
+                if size == 4 or word[k : k + size - 1] in counts:
+                    found[word[k : k + size]] += n
+        counts |= {part: [n, 0] for part, n in found.items() if n >= least}
+    inside: dict[str, set[str]] = {part: set() for part in counts}
+    for words, place in ((there, 0), (here, 1)):
+        for word, n in words.items():
+            for size in range(4, LONGEST_MARK + 1):
+                for k in range(len(word) - size + 1):
+                    if (part := word[k : k + size]) in counts:
+                        if place:
+                            counts[part][1] += n
+                        else:
+                            inside[part].add(word)
 
     def worth(part: str) -> float:
         """The log likelihood ratio of a sequence being as common in both, if it isn't."""
         a, b = counts[part]
-        if a <= 3 or a * (1 - part_toxic) < 4 * b * part_toxic:
+        if a < least or a * (1 - part_toxic) < 4 * b * part_toxic:
             return 0.0
         ratio = a * np.log(a / ((a + b) * part_toxic))
         if b:
