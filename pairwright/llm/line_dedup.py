@@ -35,7 +35,7 @@ EDITS, LEAST_LENGTH = 2, 40
 
 def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of lines of this length; later ones may be longer."""
-    base = F.floor(length / (edits + 1))
+    base = F.floor(length / (edits + 1)).cast("int")
     longer = length - base * (edits + 1)  # so many of the last segments have one more
     extra = F.greatest(longer - (edits - number) - 1, F.lit(0))
     size = base + F.when(longer > edits - number, 1).otherwise(0)
@@ -46,9 +46,8 @@ def entry(line: Column, length: Column, number: int, start: Column, size: Column
     return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, start + 1, size))
 
 
-def index_entries(line: Column, edits: int = EDITS) -> Column:
-    """The keys of a line's segments."""
-    length = F.length(line)
+def index_entries(line: Column, length: Column, edits: int = EDITS) -> Column:
+    """The keys of a line's segments; its length is a column, since it is used over and over."""
     return F.array(
         *[
             entry(line, length, k, *segment(length, k, edits))
@@ -57,25 +56,20 @@ def index_entries(line: Column, edits: int = EDITS) -> Column:
     )
 
 
-def probes(line: Column, edits: int = EDITS) -> Column:
+def probes(line: Column, length: Column, edits: int = EDITS) -> Column:
     """The keys a line looks for: segments of lines as long as it or up to ``edits`` shorter."""
-    length = F.length(line)
     wanted = []
     for shorter in range(edits + 1):
         other = length - shorter
         for k in range(edits + 1):
             start, size = segment(other, k, edits)
-            # k edits may be to the left of segment k, the rest to its right
+            # k edits may be to the left of segment k, the rest to its right; a line that gives
+            # each segment a character has room for that at either end
             low = max(-k, shorter - (edits - k))
             high = min(k, shorter + (edits - k))
             for move in range(low, high + 1):
-                at = start + move
-                wanted.append(
-                    F.when(
-                        (at >= 0) & (at + size <= length), entry(line, other, k, at, size)
-                    )
-                )
-    return F.array_compact(F.array(*wanted))
+                wanted.append(entry(line, other, k, start + move, size))
+    return F.array(*wanted)
 
 
 def within(one: str, two: str, edits: int = EDITS) -> bool:
@@ -166,13 +160,15 @@ def repeated_lines(
     classes = materialize(
         lines.groupBy("line")
         .agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .withColumn("number", F.monotonically_increasing_id()),
+        .withColumn("number", F.monotonically_increasing_id())
+        .withColumn("length", F.length("line")),
         "lines",
     )
-    long = classes.filter(F.length("line") >= LEAST_LENGTH)
-    index = long.select("number", F.explode(index_entries(F.col("line"), edits)).alias("key"))
+    long = classes.filter(F.col("length") >= LEAST_LENGTH)
+    line, length = F.col("line"), F.col("length")
+    index = long.select("number", F.explode(index_entries(line, length, edits)).alias("key"))
     probe = long.select(
-        F.col("number").alias("other"), F.explode(probes(F.col("line"), edits)).alias("key")
+        F.col("number").alias("other"), F.explode(probes(line, length, edits)).alias("key")
     )
     pairs = materialize(
         index.join(probe, "key")
