@@ -4,8 +4,8 @@ Lines within ``EDITS`` edits of each other are copies. A line is cut into one se
 that, so at least one segment of a copy is untouched. Segments go into an index by length of the
 line, number of the segment and content; a line probes it for its own length and the lengths it may
 have grown from, with the substrings at the places where the segment can stand (those reachable by
-the edits to its left, and by the edits to its right). Pairs that meet are verified by banded
-bit-parallel edit distance.
+the edits to its left, and by the edits to its right). Lines that meet are verified by banded
+bit-parallel edit distance, after a count of letter classes that links cannot change by much.
 
 Equal lines are one class first, however many there are. Lines of fewer than ``LEAST_LENGTH``
 characters are only compared for equality, since a few edits turn most short lines into each other.
@@ -21,7 +21,9 @@ columns named like the results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from pairwright.llm.graph import components
 from pairwright.session import materialize
 
 EDITS, LEAST_LENGTH = 2, 40
+#: Lines of a key compared in one piece, and classes of characters that are counted.
+TILE, CLASSES = 4096, 16
 
 
 def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
@@ -132,11 +136,53 @@ def within(one: str, two: str, edits: int = EDITS) -> bool:
     return value <= edits
 
 
-def verify(edits: int):
-    def check(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([within(a, b, edits) for a, b in zip(one, two, strict=True)], dtype=bool)
+def letter_counts(line: str) -> np.ndarray:
+    """How often characters of each of 16 classes occur; an edit changes this by two at most."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(codes % CLASSES, minlength=CLASSES)
 
-    return F.pandas_udf(check, "boolean")
+
+def links_of_tile(tile: pd.DataFrame, edits: int) -> list[tuple[int, int]]:
+    """Links between index and probe lines of a tile, without those their links already imply."""
+    number, line = tile.number.to_numpy(), tile.line.to_numpy()
+    counts = np.array([letter_counts(x) for x in line])
+    length = np.array([len(x) for x in line])
+    probing = tile.probing.to_numpy()
+    index, probe = np.flatnonzero(~probing), np.flatnonzero(probing)
+    group = {n: n for n in number}
+    found = []
+    for k in index:
+        near = np.abs(counts[probe] - counts[k]).sum(axis=1) <= 2 * edits
+        # lines of the same length probe each other: once is enough
+        near &= (length[probe] > length[k]) | (number[probe] > number[k])
+        for other in probe[near]:
+            a, b = number[k], number[other]
+            if a != b and group[a] != group[b] and within(line[k], line[other], edits):
+                found.append((int(min(a, b)), int(max(a, b))))
+                old, new = group[b], group[a]
+                group = {n: new if g == old else g for n, g in group.items()}
+    return found
+
+
+def links_of_tiles(edits: int):
+    def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last tile of a batch may go on in the next one
+        for batch in chain(batches, [None]):
+            frame = held if batch is None else batch if held is None else pd.concat([held, batch])
+            if frame is None:
+                continue
+            frame = frame.reset_index(drop=True)
+            tile = frame[["key", "i", "j"]].to_numpy()
+            cuts = (np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1).tolist()
+            bounds = [0, *cuts, len(frame)] if batch is None else [0, *cuts]
+            found = set()
+            for a, b in pairwise(bounds):
+                if b - a > 1:
+                    found.update(links_of_tile(frame.iloc[a:b], edits))
+            held = frame.iloc[bounds[-1] :]
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return of_partition
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,6 +197,49 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def connecting_links(
+    index: DataFrame, probe: DataFrame, text: DataFrame, edits: int
+) -> DataFrame:
+    """Links (a, b) that connect whatever lines are within so many edits.
+
+    Lines that meet others under a key are rows of that key, not pairs. They get their text and are
+    compared key by key, in tiles of bounded size, and a tile gives at most as many links as it has
+    lines.
+    """
+    one, two = index.alias("one"), probe.alias("two")
+    meets = (F.col("one.key") == F.col("two.key")) & (F.col("one.number") != F.col("two.number"))
+    # the many probes travel once; of the index, which is smaller, the keys that were hit follow
+    asking = materialize(two.join(one, meets, "leftsemi"), "asking")
+    asked = index.join(asking.select("key").distinct(), "key", "leftsemi").select("number", "key")
+    members = asking.withColumn("probing", F.lit(True)).union(
+        asked.withColumn("probing", F.lit(False))
+    )
+    members = materialize(members, "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    mine = F.pmod(F.xxhash64("number"), chunks).cast("int")
+    tiled = (
+        members.join(sizes, "key")
+        .join(text, "number")
+        .withColumn("own", mine)
+        .withColumn("all", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select(
+            "key",
+            F.when(F.col("probing"), F.col("all")).otherwise(F.col("own")).alias("i"),
+            F.when(F.col("probing"), F.col("own")).otherwise(F.col("all")).alias("j"),
+            "probing",
+            "number",
+            "line",
+        )
+    )
+    return materialize(
+        tiled.repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInPandas(links_of_tiles(edits), "a long, b long"),
+        "links",
+    )
+
+
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
 ) -> DataFrame:
@@ -167,23 +256,8 @@ def repeated_lines(
     long = classes.filter(F.col("length") >= LEAST_LENGTH)
     line, length = F.col("line"), F.col("length")
     index = long.select("number", F.explode(index_entries(line, length, edits)).alias("key"))
-    probe = long.select(
-        F.col("number").alias("other"), F.explode(probes(line, length, edits)).alias("key")
-    )
-    pairs = materialize(
-        index.join(probe, "key")
-        .filter("number <> other")
-        .select(F.least("number", "other").alias("a"), F.greatest("number", "other").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    text = long.select("number", "line")
-    links = (
-        pairs.join(text.select(F.col("number").alias("a"), F.col("line").alias("one")), "a")
-        .join(text.select(F.col("number").alias("b"), F.col("line").alias("two")), "b")
-        .filter(verify(edits)("one", "two"))
-        .select("a", "b")
-    )
+    probe = long.select("number", F.explode(probes(line, length, edits)).alias("key"))
+    links = connecting_links(index, probe, long.select("number", "line"), edits)
     grouped = components(links)
     joined = classes.join(grouped.withColumnRenamed("node", "number"), "number").select(
         "line", "first", "component"

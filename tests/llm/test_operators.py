@@ -317,7 +317,9 @@ def test_banded_distance():
         assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits)
 
 
-def test_lines_removed(spark):
+@pytest.mark.parametrize("tile", [line_dedup.TILE, 3])
+def test_lines_removed(spark, monkeypatch, tile):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
     rng = random.Random(7)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(38, 60))).strip() for _ in range(25)]
     rows = []
