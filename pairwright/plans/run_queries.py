@@ -430,7 +430,7 @@ def scan_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def resolve_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each field is in each file, and why a field was not found."""
-    headers = dl.header_cells(_scan(spark, sf_dir))
+    headers = materialize(dl.header_cells(_scan(spark, sf_dir)), "headers")
     resolved = dl.resolve_headers(headers, ORDERS)
     errors = dl.resolve_errors(resolved, headers, ORDERS).select(dl.FILE, "field", "error")
     return resolved.join(errors, [dl.FILE, "field"], "left").select(
@@ -448,7 +448,8 @@ def resolve_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rows_to_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all files whose headers were found."""
     rows = _scan(spark, sf_dir)
-    resolved = dl.resolve_headers(dl.header_cells(rows), ORDERS)
+    headers = materialize(dl.header_cells(rows), "headers")
+    resolved = dl.resolve_headers(headers, ORDERS)
     return dl.rows_to_records(rows, resolved).select(
         *RUN, "locator", "reference", "date", "description", "quantity", "amount"
     )

@@ -26,6 +26,8 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+#: Parts the rows of a file are dealt into when they meet its headers.
+PARTS_PER_FILE = 64
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 FILE = "file_path"
 _SPLIT = "split_start"
@@ -285,8 +287,8 @@ def blank_if_na(cell: Column) -> Column:
 def rows_to_records(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Records of every file whose headers were all found; all-blank rows are dropped.
 
-    A file's column positions reach its rows by (file, split), so the rows of one huge file stay
-    spread over its splits.
+    A file's column positions, one row each, are repeated for every part its rows are dealt into, so
+    the rows of one huge file never meet them in a single task.
     """
     positions = (
         resolved.groupBy(*RUN, FILE)
@@ -297,9 +299,11 @@ def rows_to_records(rows: DataFrame, resolved: DataFrame) -> DataFrame:
         .filter("_missing = 0")
         .select(FILE, "_idx")
     )
-    data = rows.filter("row > 1")
-    by_split = data.select(FILE, _SPLIT).distinct().join(positions, FILE)
-    placed = data.join(by_split, [FILE, _SPLIT])
+    parts = F.sequence(F.lit(0), F.lit(PARTS_PER_FILE - 1))
+    data = rows.filter("row > 1").withColumn(
+        "_part", F.pmod(F.col("row"), F.lit(PARTS_PER_FILE)).cast("int")
+    )
+    placed = data.join(positions.withColumn("_part", F.explode(parts)), [FILE, "_part"])
 
     def value(field: str) -> Column:
         idx = F.col("_idx")[field]
@@ -444,7 +448,7 @@ def read_exports(
                                F.lit(0).cast("bigint").alias("row"),
                                F.array().cast("array<string>").alias("cells")).limit(0)
         rows, unreadable = nothing, nothing.select(*RUN, FILE, F.lit("").alias("error"))
-    headers = header_cells(rows)
+    headers = stage(header_cells(rows), "headers")
     resolved = resolve_headers(headers, config)
     errors = (
         resolve_errors(resolved, headers, config)

@@ -36,10 +36,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumn("filename", name).withColumn("suffix", suffix(F.col("filename")))
 
 
-#: Files a run's rows of one table are written to at most, so a large run is not one task.
-FILES_PER_RUN = 8
-
-
 def report_tables(
     results: DataFrame,
     pairs: DataFrame,
@@ -64,10 +60,12 @@ def report_tables(
 
 
 def write_partitioned(df: DataFrame, path: str) -> None:
-    """Write rows under their run, replacing what those runs had there before."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_RUN))
+    """Write rows under their run, replacing what those runs had there before.
+
+    Rows of a run are brought together, small runs share a task and large ones are split.
+    """
     (
-        df.repartition(*RUN, part)
+        df.hint("rebalance", *RUN)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*RUN)
