@@ -5,7 +5,8 @@ and how many tokens are complete by then; both are worked out once, from shallow
 Counting a word then reads each byte once and never goes back, and no piece is built.
 
 Words are runs of anything but ASCII white space. Pieces that begin a word and pieces that go on in
-one are told apart: in a byte-level vocabulary those with a leading space begin a word.
+one are told apart: in a byte-level vocabulary those with a leading space begin a word. The space
+alone is one of them, so a word with no other beginning is that piece and pieces that go on.
 
 Defined results: NULL, empty and blank texts have no words and no tokens; a word that the vocabulary
 cannot spell is one unknown token; repeated rows count alike; an empty table gives no rows; a column
@@ -36,7 +37,10 @@ def byte_of_character() -> dict[str, int]:
 
 
 def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces that begin a word (without their space) and pieces that go on, of a tokenizer file."""
+    """Pieces that begin a word (without their space) and pieces that go on, of a tokenizer file.
+
+    The space alone is the empty beginning.
+    """
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     table = byte_of_character()
@@ -45,7 +49,7 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
         if not all(c in table for c in piece):
             continue
         plain = bytes(table[c] for c in piece)
-        if plain[:1] == b" " and plain.split() == [plain[1:]]:
+        if plain == b" " or plain[:1] == b" " and plain.split() == [plain[1:]]:
             begin.append(plain[1:])
         elif plain.split() == [plain]:
             go_on.append(plain)
@@ -103,6 +107,8 @@ def build(begin: Iterable[bytes], go_on: Iterable[bytes]) -> Automaton:
                 node = child
             if piece:
                 complete.add(node)
+            elif root == 0:  # a token of no bytes of the word, taken where no other beginning fits
+                made.failure[0], made.popped[0] = 1, 1
     for level in depth:
         for node in level:
             if node in complete:

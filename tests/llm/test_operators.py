@@ -25,7 +25,7 @@ from pairwright.llm import (
     token_counts,
     toxicity,
 )
-from pairwright.llm.queries import QUERIES
+from pairwright.llm.queries import QUERIES, VOCABULARY
 
 
 @pytest.fixture(scope="module")
@@ -420,6 +420,27 @@ def test_token_counts_equal_greedy_matching():
             assert made.count(word) == tokens
 
 
+def test_token_counts_of_words_without_a_beginning_of_their_own():
+    """Such words are the bare space and pieces that go on, as in a greedy count of ' ' + word."""
+    begin, go_on = token_counts.byte_level_pieces(VOCABULARY)
+    made = token_counts.build(begin, go_on)
+    known = {b" ", *go_on, *(b" " + x for x in begin)}
+    words = "собака рыба я это ярко 中文 你好 한국 ไทย the house naïve Übermut 😀 ﷺ".split()
+    words += ["中文没有空格的一句话" * 20, "대한민국" * 20, *map(chr, range(0x100, 0x3000, 41))]
+    for word in words:
+        spelled = b" " + word.encode()
+        at, tokens = 0, 0
+        while at < len(spelled):
+            ends = range(min(len(spelled), at + 200), at, -1)
+            at = next(e for e in ends if spelled[at:e] in known)
+            tokens += 1
+        assert made.count(word.encode()) == tokens, word
+    assert made.count(("中文没有空格的一句话" * 20).encode()) > 100
+    # a vocabulary without the bare space spells fewer words
+    assert token_counts.build({b"a"}, {b"b"}).count(b"bb") == 1
+    assert token_counts.build({b"a", b""}, {b"b"}).count(b"bb") == 3
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
