@@ -1,15 +1,15 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``EDITS`` edits of each other are copies. A line is cut into one segment more than
-that, so at least one segment of a copy is untouched. Segments go into an index by length of the
+Lines within so many edits of each other are copies as ``BUDGETS`` gives for the length of the
+shorter one. A line is cut into one segment more than that, so at least one segment of a copy is untouched. Segments go into an index by length of the
 line, number of the segment and content; a line probes it for its own length and the lengths it may
 have grown from, with the substrings at the places where the segment can stand (those reachable by
 the edits to its left, and by the edits to its right). Lines that meet are verified by banded
 bit-parallel edit distance, after a count of letter classes that links cannot change by much.
 
-Equal lines are one class first, however many there are. Lines of fewer than ``LEAST_LENGTH``
-characters are only compared for equality, since a few edits turn most short lines into each other.
-Blank lines are never removed. Of each component of copies the first line, by document id and
+Equal lines are one class first, however many there are. Lines below the first length in
+``BUDGETS`` are only compared for equality: there one edit turns chance words into each other (the
+README has figures). Blank lines are never removed. Of each component of copies the first line, by document id and
 place, stays.
 
 Defined results: NULL and empty texts have no lines that could be removed; repeated rows share an id
@@ -21,6 +21,7 @@ columns named like the results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, pairwise
 
 import numpy as np
@@ -32,7 +33,10 @@ from pairwright.llm.frames import put
 from pairwright.llm.graph import components
 from pairwright.session import materialize
 
-EDITS, LEAST_LENGTH = 2, 40
+EDITS, LEAST_LENGTH = 2, 15
+#: From how many characters on how many edits are allowed; a length must be above its edits.
+Budgets = tuple[tuple[int, int], ...]
+BUDGETS: Budgets = ((8, 1), (LEAST_LENGTH, EDITS), (300, 3))
 #: Lines of a key compared in one piece, and classes of characters that are counted.
 TILE, CLASSES = 4096, 16
 
@@ -50,6 +54,11 @@ def entry(line: Column, length: Column, number: int, start: Column, size: Column
     return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, start + 1, size))
 
 
+def allowed(length: int, budgets: Budgets = BUDGETS) -> int:
+    """The edits that a line may be apart from one as long or longer."""
+    return max((edits for least, edits in budgets if length >= least), default=0)
+
+
 def index_entries(line: Column, length: Column, edits: int = EDITS) -> Column:
     """The keys of a line's segments; its length is a column, since it is used over and over."""
     return F.array(
@@ -76,6 +85,22 @@ def probes(line: Column, length: Column, edits: int = EDITS) -> Column:
     return F.array(*wanted)
 
 
+def keyed(lines: DataFrame, budgets: Budgets, keys, growth: bool) -> DataFrame:
+    """(number, key) of the lines, or of those they may be copies of, by the edits of each length.
+
+    Lines a little longer than a budget goes also probe it. Keys of lengths beyond it find nothing,
+    or lines that are verified as all others.
+    """
+    found = []
+    for (least, edits), above in zip(budgets, [*budgets[1:], None], strict=True):
+        some = F.col("length") >= least
+        if above:
+            some &= F.col("length") < above[0] + (edits if growth else 0)
+        key = F.explode(keys(F.col("line"), F.col("length"), edits)).alias("key")
+        found.append(lines.filter(some).select("number", key))
+    return reduce(DataFrame.union, found)
+
+
 def within(one: str, two: str, edits: int = EDITS) -> bool:
     """Whether two strings are within so many edits.
 
@@ -142,29 +167,31 @@ def letter_counts(line: str) -> np.ndarray:
     return np.bincount(codes % CLASSES, minlength=CLASSES)
 
 
-def links_of_tile(tile: pd.DataFrame, edits: int) -> list[tuple[int, int]]:
+def links_of_tile(tile: pd.DataFrame, budgets: Budgets) -> list[tuple[int, int]]:
     """Links between index and probe lines of a tile, without those their links already imply."""
     number, line = tile.number.to_numpy(), tile.line.to_numpy()
     counts = np.array([letter_counts(x) for x in line])
     length = np.array([len(x) for x in line])
+    budget = np.array([allowed(n, budgets) for n in length])
     probing = tile.probing.to_numpy()
     index, probe = np.flatnonzero(~probing), np.flatnonzero(probing)
     group = {n: n for n in number}
     found = []
     for k in index:
+        edits = np.minimum(budget[probe], budget[k])  # that of the shorter line
         near = np.abs(counts[probe] - counts[k]).sum(axis=1) <= 2 * edits
         # lines of the same length probe each other: once is enough
         near &= (length[probe] > length[k]) | (number[probe] > number[k])
-        for other in probe[near]:
+        for other, most in zip(probe[near], edits[near].tolist(), strict=True):
             a, b = number[k], number[other]
-            if a != b and group[a] != group[b] and within(line[k], line[other], edits):
+            if a != b and group[a] != group[b] and within(line[k], line[other], most):
                 found.append((int(min(a, b)), int(max(a, b))))
                 old, new = group[b], group[a]
                 group = {n: new if g == old else g for n, g in group.items()}
     return found
 
 
-def links_of_tiles(edits: int):
+def links_of_tiles(budgets: Budgets):
     def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the last tile of a batch may go on in the next one
         for batch in chain(batches, [None]):
@@ -178,7 +205,7 @@ def links_of_tiles(edits: int):
             found = set()
             for a, b in pairwise(bounds):
                 if b - a > 1:
-                    found.update(links_of_tile(frame.iloc[a:b], edits))
+                    found.update(links_of_tile(frame.iloc[a:b], budgets))
             held = frame.iloc[bounds[-1] :]
             yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
@@ -198,9 +225,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def connecting_links(
-    index: DataFrame, probe: DataFrame, text: DataFrame, edits: int
+    index: DataFrame, probe: DataFrame, text: DataFrame, budgets: Budgets
 ) -> DataFrame:
-    """Links (a, b) that connect whatever lines are within so many edits.
+    """Links (a, b) that connect whatever lines are within their edits.
 
     Lines that meet others under a key are rows of that key, not pairs. They get their text and are
     compared key by key, in tiles of bounded size, and a tile gives at most as many links as it has
@@ -235,13 +262,13 @@ def connecting_links(
     return materialize(
         tiled.repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInPandas(links_of_tiles(edits), "a long, b long"),
+        .mapInPandas(links_of_tiles(budgets), "a long, b long"),
         "links",
     )
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budgets: Budgets = BUDGETS
 ) -> DataFrame:
     """(id, place) of the lines to remove, each once."""
     lines = lines_of(docs, id_col, text_col)
@@ -253,11 +280,10 @@ def repeated_lines(
         .withColumn("length", F.length("line")),
         "lines",
     )
-    long = classes.filter(F.col("length") >= LEAST_LENGTH)
-    line, length = F.col("line"), F.col("length")
-    index = long.select("number", F.explode(index_entries(line, length, edits)).alias("key"))
-    probe = long.select("number", F.explode(probes(line, length, edits)).alias("key"))
-    links = connecting_links(index, probe, long.select("number", "line"), edits)
+    long = classes.filter(F.col("length") >= budgets[0][0])
+    index = keyed(long, budgets, index_entries, growth=False)
+    probe = keyed(long, budgets, probes, growth=True)
+    links = connecting_links(index, probe, long.select("number", "line"), budgets)
     grouped = components(links)
     joined = classes.join(grouped.withColumnRenamed("node", "number"), "number").select(
         "line", "first", "component"
@@ -279,14 +305,14 @@ def repeated_lines(
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budgets: Budgets = BUDGETS
 ) -> DataFrame:
     """All documents with n_lines, n_removed, removed (places from 0) and the text that stays.
 
     The text column holds what stays; a NULL text stays NULL.
     """
     removed = (
-        repeated_lines(docs, id_col, text_col, edits)
+        repeated_lines(docs, id_col, text_col, budgets)
         .groupBy(F.col("id").alias("_line_owner"))
         .agg(F.array_sort(F.collect_set("place")).alias("_line_places"))
     )

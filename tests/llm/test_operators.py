@@ -353,6 +353,29 @@ def test_lines_removed(spark, monkeypatch, tile):
     assert sum(map(len, removed.values())) > 20
 
 
+def test_lines_of_all_lengths_have_an_edit_budget(spark):
+    """Near the lengths at which the budget changes, too; a line of 300 may have three edits."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    lines = ["Are, is anwh reenen.", "Are. Is anwh reenen.", "With and.", "With, and.", "St.", "Sr."]
+    for size in [*range(6, 19), *range(38, 42), *range(298, 302)] * 2:
+        base = "x" + "".join(rng.choices(letters, k=size - 2)) + "y"
+        lines += [base, *(edited(rng, base, k, letters) for k in (1, 2, 3, 4))]
+    lines = list(dict.fromkeys(x for x in lines if x.strip()))
+    groups = corpus.Groups(range(len(lines)))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        least = min(len(lines[a]), len(lines[b]))
+        edits = 3 if least >= 300 else 2 if least >= 15 else 1 if least >= 8 else 0
+        one, two = Counter(lines[a]), Counter(lines[b])
+        unlike = max((one - two).total(), (two - one).total())  # at most the distance
+        if unlike <= edits and distance(lines[a], lines[b]) <= edits:
+            groups.link(a, b)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.without_repeats(docs).collect() if r.n_removed}
+    assert got == {k for k in range(len(lines)) if groups.find(k) != k}
+    assert {lines.index("Are. Is anwh reenen."), lines.index("With, and.")} <= got
+
+
 # -- embeddings ------------------------------------------------------------------------------
 
 
