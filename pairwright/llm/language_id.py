@@ -4,7 +4,9 @@ Each word is a node. Its features are the character sequences of one to four let
 with its ends marked, so affixes are among them, and the word itself where it is in the lexicon, the
 commonest words of each language in the training texts. Transitions between the languages of
 neighbouring words are learned, from training lines in which pieces of texts of different languages
-follow each other. Forward-backward gives each word its probabilities, over the chain of a whole
+follow each other. A run of more than ``PIECE`` letters,
+as in scripts without spaces, is several nodes: pieces of it, whose inner cuts are not marked as
+ends. Forward-backward gives each word its probabilities, over the chain of a whole
 text, and a text gets the language with the highest mean probability; that mean is its score.
 
 A chain is long and the states are few, so forward-backward runs over the texts of a batch at once:
@@ -26,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,8 +42,8 @@ SAMPLE, SAMPLE_BYTES, MOST_LANGUAGES = 400, 20_000, 200
 FEATURES, LEXICON, SEQUENCE = 2**15, 500, 4
 #: Training lines a language, their words, and rounds over them.
 LINES, LINE_WORDS, ROUNDS = 400, 24, 4
-#: Characters of a word that make features from its start and from its end.
-HALF = 16
+#: The most characters of a word that are one node, and the mark of a cut inside a word.
+PIECE, CUT = 32, "\0"
 #: Words of a block, words a worker remembers, and words handled at a time.
 BLOCK, REMEMBERED, AT_A_TIME = 128, 200_000, 500_000
 
@@ -48,12 +51,26 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Lower-cased words; of a longer one than a piece its pieces, marked where it was cut."""
+    found = WORD.findall((text or "").lower())
+    if max(map(len, found), default=0) <= PIECE:
+        return found
+    return [piece for word in found for piece in pieces(word)]
+
+
+def pieces(word: str) -> list[str]:
+    count = -(-len(word) // PIECE)
+    bounds = [len(word) * k // count for k in range(count + 1)]
+    return [
+        (CUT if a else "") + word[a:b] + (CUT if b < len(word) else "")
+        for a, b in pairwise(bounds)
+    ]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character sequences of words: feature numbers, and where each word's begin."""
-    marked = [f"^{w}$" if len(w) <= 2 * HALF else f"^{w[:HALF]}\0{w[-HALF:]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
+    marked = [w.replace(f"^{CUT}", "").replace(f"{CUT}$", "") if CUT in w else w for w in marked]
     width = max(map(len, marked))
     rows = np.array(marked, f"U{width}").view(np.uint32).reshape(len(words), width)
     rows = np.pad(rows, ((0, 0), (0, SEQUENCE)))

@@ -109,6 +109,20 @@ def test_language_of_texts_and_of_words_in_mixed_text():
     assert Counter(tags[-10:]).most_common(1)[0][0] == "es"
 
 
+def test_long_letter_runs_are_read_whole():
+    rows, _ = corpus.documents(seed=4, count=300)
+    model = language_id.fit([(r[1], r[2]) for r in rows[:200] if "changed" not in r[1]])
+    known = language_id.Emissions(model)
+    rng = random.Random(9)
+    german, spanish = ("".join(rng.choices(corpus.SYLLABLES[g], k=200)) for g in ("de", "es"))
+    # German in the middle, Spanish only at the ends
+    run = spanish[:20] + german + spanish[-20:]
+    words = language_id.words_of(run)
+    assert "".join(words).replace(language_id.CUT, "") == run and len(words) > 10
+    assert language_id.label_texts(model, [run], known)[0][0] == "de"
+    assert language_id.words_of("x" * 32) == ["x" * 32]
+
+
 # -- mixing and sharding ---------------------------------------------------------------------
 
 
