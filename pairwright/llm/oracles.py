@@ -135,3 +135,155 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for
   coalesce(spans, '') AS spans
 FROM d LEFT JOIN per_doc USING (doc_id)
 """
+
+
+def crc32_sql(key: str) -> str:
+    """crc32 of a text of ASCII characters: eight steps of the polynomial for each of them."""
+    return f"""(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+        range(1, length({key}) + 1),
+        lambda k: list_concat([ord(substr({key}, k::INT, 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda c, e: CASE WHEN e >= 0 THEN xor(c, e)
+                          ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295))"""
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, {crc32_sql("cast(doc_id AS VARCHAR)")} AS h,
+    CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[^ 	-
+]+') END AS ws
+  FROM documents
+), e AS (
+  SELECT *, len(ws)::BIGINT AS n, h // 10 AS g FROM d
+), f AS (
+  SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e
+), g AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f
+), w AS (
+  SELECT doc_id, n, unnest(range(0, n)) AS i,
+    unnest(CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+                ELSE ws END) AS word
+  FROM g WHERE n > 0
+), m AS (
+  SELECT x.doc_id, x.i, x.i - y.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i > y.i
+), s AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+  GROUP BY doc_id, q, island HAVING count(*) >= 6 AND count(*) >= q AND count(*) + q >= 12
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length
+), c AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS collapsed
+  FROM w LEFT JOIN (
+    SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r) gone
+    ON w.doc_id = gone.doc_id AND w.i = gone.i
+  WHERE gone.i IS NULL GROUP BY w.doc_id
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, min({{'l': -length, 's': start, 'p': period}}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, (-best.l)::BIGINT AS length,
+  best.p::BIGINT AS period, (1000 * (-best.l) // best.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def _least_way(*ways: str) -> str:
+    """The cheapest of (cost, audit, lines), then the one with the least audit."""
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _op12_sql() -> str:
+    never = "{'cost': 1000000, 'audit': '', 'lines': ''}"
+
+    def step(way: str, cost: str, letter: str, line: str = "''") -> str:
+        """A way with one more edit."""
+        return (
+            f"{{'cost': {way}.cost + {cost}, 'audit': {way}.audit || '{letter}',"
+            f" 'lines': {way}.lines || {line}}}"
+        )
+
+    def put_in(way: str, role: str) -> str:
+        return step(way, "2", "I", f"'{role}:' || chr(10)")
+
+    def only(condition: str, way: str) -> str:
+        return f"CASE WHEN {condition} THEN {way} ELSE {never} END"
+
+    kept = "r.role || ':' || r.text || chr(10)"
+    states = {"n": "", "s": "s", "u": "u", "a": "a"}
+    # ways to each state: by the row itself, before anything is put in
+    row = {}
+    for state in states:
+        ways = [step(f"p.{state}", "3", "D")]
+        if state == "s":
+            ways.append(only("NOT r.forced AND r.ini = 's'", step("p.n", "r.cut", "K", kept)))
+        if state in "ua":
+            role = {"u": "user", "a": "assistant"}[state]
+            for before in ("n", "s", "a") if state == "u" else ("u",):
+                ways.append(
+                    only(f"NOT r.forced AND r.ini = '{state}'", step(f"p.{before}", "r.cut", "K", kept))
+                )
+                line = f"'{role}:' || r.text || chr(10)"
+                ways.append(only("NOT r.forced", step(f"p.{before}", "2 + r.cut", "R", line)))
+        row[state] = f"{_least_way(*ways)} AS {state}"
+    # then what may be put in behind it
+    user = _least_way("u", put_in("n", "user"), put_in("s", "user"), put_in("a", "user"))
+    assistant = _least_way("a", put_in("u", "assistant"))
+    start = "{'cost': 0, 'audit': '', 'lines': ''}"
+    key = "(coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' '))"
+    return rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql(key)} % 20 AS kind
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM c WHERE kind <> 0
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text, role) AS k,
+    role[1] AS ini, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open_end
+  FROM d
+), f AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY k) AS ini_before
+  FROM e
+), g AS (
+  SELECT *, blank OR dup AS forced, CASE WHEN NOT blank AND NOT dup AND open_end THEN 1 ELSE 0 END AS cut
+  FROM f
+), w AS (
+  SELECT conv_id, 0::BIGINT AS k, {start} AS n, {never} AS s, {put_in(start, "user")} AS u, {never} AS a
+  FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, k, n, s, {_least_way("u", put_in("a", "user"))} AS u, a FROM (
+    SELECT conv_id, k, n, s, u, {assistant} AS a FROM (
+      SELECT conv_id, k, n, s, {user} AS u, a FROM (
+        SELECT r.conv_id, r.k, {row["n"]}, {row["s"]}, {row["u"]}, {row["a"]}
+        FROM w p JOIN g r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = p.k + 1)))
+), z AS (
+  SELECT conv_id, list_sort([n, a, {put_in("u", "assistant")}])[1] AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS last FROM w) WHERE last = 1
+), m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, sum(cut) AS truncated,
+    count(*) FILTER (ini_before IS NOT NULL AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id
+), x AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit,
+  sha256(coalesce(regexp_replace(best.lines, '
+\z', ''), '')) AS repaired_sha256
+FROM x LEFT JOIN m ON x.conv_id IS NOT DISTINCT FROM m.conv_id
+  LEFT JOIN z ON x.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import (
+    conversation_repair,
     decontamination,
     embedding_links,
     language_id,
@@ -15,12 +16,14 @@ from pairwright.llm import (
     mixing,
     near_duplicates,
     oracles,
+    periodic_runs,
     pii,
+    sentence_pieces,
     sharding,
     token_counts,
     toxicity,
 )
-from pairwright.llm.frames import fold, table
+from pairwright.llm.frames import SPACED_WORD, count_words, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +190,131 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
     )
+
+
+def with_repetition(text: Column, doc_id: Column) -> Column:
+    """The text as op13 reads it: of some documents the words from one on repeat with a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = count_words(text).cast("int")
+    words = F.regexp_extract_all(text, F.lit(f"({SPACED_WORD})"), F.lit(1))
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    periods = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    repeated = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(periods), F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+
+
+@query("op13_periodic_runs", oracles.OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", with_repetition(F.col("text"), F.col("doc_id")).alias("text")
+    )
+    runs = F.col("repeats.runs")
+    # the greatest length, then the smallest start and period
+    best = F.array_min(
+        F.transform(
+            runs,
+            lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")),
+        )
+    )
+    listed = F.transform(
+        runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return periodic_runs.mark_runs(docs).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        best["s"].alias("start"),
+        (-best["l"]).alias("length"),
+        best["p"].alias("period"),
+        F.floor(-best["l"] * 1000 / best["p"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("repeats.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op11_sentence_pieces")
+def op11_sentence_pieces(
+    spark: SparkSession, sf_dir: str, model: str | None = None
+) -> DataFrame:
+    """``model``: the file of a piece model; a public one unless given."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = sentence_pieces.read_pieces(model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentence_pieces.encode_texts(docs, pieces).select("doc_id", "ids")
+    return sentence_pieces.decode_ids(encoded, pieces).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the damage op12 repairs."""
+
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(shown("text"), "[.!?]", ""))
+    times = F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))
+    return (
+        turns.filter(kind != 0)
+        .withColumn("_time", F.explode(times))
+        .select(
+            "conv_id",
+            "turn",
+            F.when(kind == 4, "user").otherwise(shown("role")).alias("role"),
+            text.otherwise(shown("text")).alias("text"),
+        )
+    )
+
+
+@query("op12_conversation_repair", oracles.OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.repair_rows(damaged(turns))
+    copies, fault = F.col("copies"), F.col("fault")
+    again = F.when(fault == "blank", 0).otherwise(copies - 1)
+    in_order = F.sort_array(
+        F.collect_list(
+            F.struct(
+                "piece",
+                "pos",
+                conversation_repair.audit().alias("audit"),
+                F.transform(
+                    conversation_repair.messages(), lambda m: F.concat_ws(":", m["role"], m["text"])
+                ).alias("lines"),
+            )
+        )
+    )
+    per_conversation = rows.groupBy("conv_id").agg(
+        F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).alias("gaps"),
+        F.coalesce(F.sum(F.when(fault == "blank", copies)), F.lit(0)).alias("blank"),
+        F.sum(again + F.when(fault == "duplicate", 1).otherwise(0)).alias("duplicate"),
+        F.count_if(fault == "truncated").alias("truncated"),
+        F.sum("illegal").alias("illegal"),
+        F.sum("cost").alias("cost"),
+        in_order.alias("rows"),
+    )
+    repaired = per_conversation.select(
+        F.col("conv_id").alias("_conv"),
+        *[c for c in per_conversation.columns if c not in ("conv_id", "rows")],
+        F.array_join(F.col("rows.audit"), "").alias("audit"),
+        F.array_join(F.flatten(F.col("rows.lines")), "\n").alias("repaired"),
+    )
+    every = turns.select("conv_id").distinct()
+    joined = every.join(repaired, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return joined.select(
+        "conv_id",
+        *[
+            F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+            for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+        ],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"),
+    )

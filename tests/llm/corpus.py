@@ -4,6 +4,7 @@ import random
 import re
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+TURN = "conv_id long, turn long, role string, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = {
     "en": ["the", "ing", "er", "on", "wh", "st", "ea", "nd", "th", "ou"],
@@ -71,11 +72,12 @@ def odd_documents():
     ]
 
 
-def write_tables(spark, root, rows, toxic=(), benchmark=(), vectors=(), extra=True):
+def write_tables(spark, root, rows, toxic=(), benchmark=(), vectors=(), turns=(), extra=True):
     """The tables the queries read; documents get columns named like results."""
     docs = spark.createDataFrame(rows, DOCUMENT)
     if extra:
-        for name in ("score", "size", "SLOT", "shard", "taken", "hits", "spans", "tokens", "drawn"):
+        for name in ("score", "size", "SLOT", "shard", "taken", "hits", "spans", "tokens", "drawn",
+                     "repeats", "IDS", "decoded"):
             docs = docs.selectExpr("*", f"'kept' AS {name}")
     docs.write.parquet(f"{root}/documents.parquet")
     marks = [(r[0], 1, int(r[0] in toxic)) for r in rows] + [(10**6, None, None), (None, 0, 1)]
@@ -88,6 +90,9 @@ def write_tables(spark, root, rows, toxic=(), benchmark=(), vectors=(), extra=Tr
     spark.createDataFrame(
         list(vectors), "vec_id long, embedding array<float>, label int"
     ).write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame(list(turns), TURN).selectExpr("*", "'kept' AS edit").write.parquet(
+        f"{root}/conversations.parquet"
+    )
     return str(root)
 
 

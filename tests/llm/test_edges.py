@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from pairwright.llm.queries import QUERIES
 
-PER_DOCUMENT = [n for n in QUERIES if not n.startswith("op4_")]
+PER_DOCUMENT = [n for n in QUERIES if not n.startswith(("op4_", "op12_"))]
 NOT_FINITE = float("nan"), float("inf"), 0.0
 
 
