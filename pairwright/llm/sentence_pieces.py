@@ -28,8 +28,8 @@ import codecs
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from itertools import chain
 
 import pyarrow as pa
@@ -40,7 +40,10 @@ from pairwright.llm.frames import put
 
 MARK = "▁"
 #: Chunks a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Characters of a chunk whose best pair is found by looking at all pairs.
+FEW = 48
+NONE = float("-inf")
 #: Characters that are chunks of their own where no longer piece contains them.
 APART = "0123456789\n\t"
 #: Fixed value: what an id without a meaning decodes to.
@@ -66,22 +69,62 @@ class Pieces:
     unknown: int
     end: int
     apart: str
+    shown: list[str | None] = field(init=False, default_factory=list)  # by id, if it can be alone
 
     def __post_init__(self) -> None:
+        for text, kind in zip(self.texts, self.kinds):
+            if kind == 98:  # b
+                byte = int(text[1:-1], 16)
+                self.shown.append(chr(byte) if byte < 128 else None)
+            elif kind == 99:  # c
+                self.shown.append("")
+            else:
+                self.shown.append(text.replace(MARK, " ") if kind == 112 else UNKNOWN_TEXT)
         crossing = next((p for p in self.ids if MARK in p.lstrip(MARK)), None)
         if crossing is not None:
             raise ValueError(f"the piece {crossing!r} crosses a marker: words cannot be cut apart")
 
     def chunks(self):
-        """A pattern that takes a marked text apart."""
+        """A pattern that takes a text apart; spaces stand for markers."""
         if not self.apart:
-            return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+            return re.compile(" +[^ ]*|[^ ]+")
         apart = re.escape(self.apart)
-        return re.compile(f"{MARK}+[^{MARK}{apart}]*|[{apart}]|[^{MARK}{apart}]+")
+        return re.compile(f" +[^ {apart}]*|[{apart}]|[^ {apart}]+")
 
     def segment(self, chunk: str) -> list[int]:
-        """The ids of one chunk."""
-        symbols = list(chunk)
+        """The ids of one chunk; spaces stand for markers."""
+        symbols = list(chunk.replace(" ", MARK))
+        symbols = self.merge_few(symbols) if len(symbols) <= FEW else self.merge_many(symbols)
+        out: list[int] = []
+        for symbol in symbols:
+            known = self.ids.get(symbol)
+            if known is not None:
+                out.append(known)
+            elif self.byte_ids:
+                out.extend(self.byte_ids[b] for b in symbol.encode("utf-8"))
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return out
+
+    def merge_few(self, symbols: list[str]) -> list[str]:
+        """The best pair, then the leftmost, is found by looking at all."""
+        get = self.scores.get
+        pairs = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == NONE:
+                break
+            k = pairs.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(symbols[k] + symbols[k + 1], NONE)
+            if k:
+                pairs[k - 1] = get(symbols[k - 1] + symbols[k], NONE)
+        return symbols
+
+    def merge_many(self, symbols: list[str]) -> list[str]:
+        """The same by a queue of pairs, for chunks of any length."""
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         scores = self.scores
@@ -110,49 +153,31 @@ class Pieces:
             if before[left] >= 0:
                 offer(before[left])
             offer(left)
-        out: list[int] = []
-        for symbol in symbols:
-            if not symbol:
-                continue
-            known = self.ids.get(symbol)
-            if known is not None:
-                out.append(known)
-            elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in symbol.encode("utf-8"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
-        texts, kinds = self.texts, self.kinds
+        return [symbol for symbol in symbols if symbol]
+
+    def decode(self, ids: Sequence[int]) -> str:
+        try:
+            text = "".join(map(self.shown.__getitem__, ids))
+        except TypeError:  # a byte that is no character by itself
+            text = self.decode_bytes(ids)
+        # the marker before the first piece that says anything goes
+        first = next((i for i in ids if self.kinds[i] != 99), None)
+        marked = first is not None and self.kinds[first] == 112 and self.shown[first][:1] == " "
+        return text[1:] if marked else text
+
+    def decode_bytes(self, ids: Sequence[int]) -> str:
         out: list[str] = []
         raw = bytearray()
-        empty, marked = True, False
-
-        def flush() -> None:
-            nonlocal empty
+        for i in ids:
+            if self.kinds[i] == 98:
+                raw.append(int(self.texts[i][1:-1], 16))
+                continue
             if raw:
                 out.append(raw.decode("utf-8", "pairwright_each_byte"))
                 raw.clear()
-                empty = False
-
-        for i in ids:
-            kind = kinds[i]
-            if kind == 98:  # b
-                raw.append(int(texts[i][1:-1], 16))
-                continue
-            flush()
-            if kind == 99:  # c
-                continue
-            text = texts[i] if kind == 112 else UNKNOWN_TEXT
-            if empty and not marked and text[:1] == MARK:
-                marked = True
-                text = text[1:]
-            if text:
-                out.append(text)
-                empty = False
-        flush()
-        return "".join(out).replace(MARK, " ")
+            out.append(self.shown[i])
+        out.append(raw.decode("utf-8", "pairwright_each_byte"))
+        return "".join(out)
 
 
 def read_pieces(path: str) -> Pieces:
@@ -193,41 +218,41 @@ def read_pieces(path: str) -> Pieces:
 
 
 class ChunkTable(dict):
-    """Ids of the distinct chunks met so far, by chunk."""
+    """Ids of the distinct chunks met so far, by chunk, as the bytes of 32-bit numbers."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
         self.pattern = pieces.chunks()
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[chunk] = tuple(self.pieces.segment(chunk))
+        ids = self[chunk] = array("i", self.pieces.segment(chunk)).tobytes()
         return ids
 
-    def encode(self, text: str | None) -> array:
+    def encode(self, text: str | None) -> bytes:
         """The ids of a text: those of its chunks, joined back by place."""
-        ids = array("i")
-        if text:
-            marked = MARK + text.replace(" ", MARK)
-            ids.extend(chain.from_iterable(map(self.__getitem__, self.pattern.findall(marked))))
-        return ids
+        if not text:
+            return b""
+        chunks = self.pattern.findall(" " + text.replace(MARK, " "))
+        return b"".join(map(self.__getitem__, chunks))
 
 
 def encoder(pieces: Pieces, with_end: bool):
-    end = [pieces.end] if with_end else []
+    end = array("i", [pieces.end] if with_end else []).tobytes()
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(pieces)
         for texts in batches:
-            flat, places = array("i"), array("i", [0])
-            for text in texts.to_pylist():
-                flat.extend(table.encode(text))
-                flat.extend(end)
-                places.append(len(flat))
+            flat, places = bytearray(), array("i", [0])
+            for text in texts:
+                flat += table.encode(text.as_py())
+                flat += end
+                places.append(len(flat) // 4)
             yield pa.ListArray.from_arrays(
-                pa.array(memoryview(places), pa.int32()), pa.array(memoryview(flat), pa.int32())
+                pa.array(memoryview(places), pa.int32()),
+                pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]),
             )
 
     return F.arrow_udf(encode, "array<int>")
@@ -236,7 +261,12 @@ def encoder(pieces: Pieces, with_end: bool):
 def decoder(pieces: Pieces):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([pieces.decode(ids or ()) for ids in lists.to_pylist()], pa.string())
+            # one list at a time: all numbers of a batch as objects would fill the memory
+            yield pa.array(
+                (pieces.decode(ids.values.to_numpy().tolist() if ids.is_valid else ()) for ids in lists),
+                pa.string(),
+                size=len(lists),
+            )
 
     return F.arrow_udf(decode, "string")
 

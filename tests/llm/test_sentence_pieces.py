@@ -29,6 +29,10 @@ def pieces():
     return read_pieces(MODEL)
 
 
+def numbers(ids):
+    return list(memoryview(ids).cast("i"))
+
+
 def test_random_texts_encode_and_decode_as_in_the_library(library, pieces):
     rng = random.Random(3)
     table = ChunkTable(pieces)
@@ -37,7 +41,7 @@ def test_random_texts_encode_and_decode_as_in_the_library(library, pieces):
     texts += [r[1] for r in corpus.documents()[0]]
     for text in texts:
         ids = library.encode(text, add_eos=True)
-        assert [*table.encode(text), pieces.end] == ids, text
+        assert [*numbers(table.encode(text)), pieces.end] == ids, text
         assert pieces.decode(ids) == library.decode(ids), text
 
 
@@ -55,7 +59,7 @@ def test_a_table_that_is_full_starts_again(library, pieces, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "REMEMBERED", 3)
     table = ChunkTable(pieces)
     text = "one two three four five six one two"
-    assert list(table.encode(text)) == library.encode(text)
+    assert numbers(table.encode(text)) == library.encode(text)
     assert len(table) <= 3
 
 
