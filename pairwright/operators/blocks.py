@@ -11,7 +11,7 @@ one before it and must not decrease along ``order``. Keys and blocks must not be
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +21,12 @@ BLOCK_BITS = 20
 #: Parts an unordered key is cut into.
 SALTS = 1024
 
+Stage = Callable[[DataFrame, str], DataFrame]
 
-def block_of(ordinal: Column | str, bits: int = BLOCK_BITS) -> Column:
+
+def block_of(ordinal: Column | str, bits: int | None = None) -> Column:
     """The block a row number falls into."""
+    bits = BLOCK_BITS if bits is None else bits
     return F.shiftright(F.col(ordinal) if isinstance(ordinal, str) else ordinal, bits)
 
 
@@ -39,8 +42,14 @@ def running_total(
     amount: Column,
     blocks: Sequence[str],
     out: str,
+    stage: Stage | None = None,
 ) -> DataFrame:
-    """Sum of ``amount`` over the rows of a key up to and including this one."""
+    """Sum of ``amount`` over the rows of a key up to and including this one.
+
+    With a ``stage`` the sums inside blocks are written once, and a block's total is the last of its
+    sums; what the rows are made from is then worked out once. Without one a block is added up from
+    the rows, which is cheaper where they are at hand.
+    """
     inside = (
         Window.partitionBy(*keys, *blocks[:1])
         .orderBy(*order)
@@ -50,8 +59,13 @@ def running_total(
     if not blocks:
         return local
     block, coarser = blocks[0], list(blocks[1:])
-    per_block = df.groupBy(*keys, block).agg(
-        F.sum(amount).alias("_block_total"), *[F.first(c).alias(c) for c in coarser]
+    if stage is None:
+        rows, total = df, F.sum(amount)
+    else:
+        rows = local = stage(local, "blocks")
+        total = F.max_by(out, F.struct(*order))
+    per_block = rows.groupBy(*keys, block).agg(
+        total.alias("_block_total"), *[F.first(c).alias(c) for c in coarser]
     )
     before = (
         running_total(per_block, keys, [block], F.col("_block_total"), coarser, "_through")
@@ -71,9 +85,10 @@ def occurrence_number(
     order: Sequence[str],
     blocks: Sequence[str],
     out: str = "n",
+    stage: Stage | None = None,
 ) -> DataFrame:
     """1 for the first row of a key, 2 for the second, and so on."""
-    return running_total(df, keys, order, F.lit(1).cast("long"), blocks, out)
+    return running_total(df, keys, order, F.lit(1).cast("long"), blocks, out, stage)
 
 
 def running_state(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.normalize import KEY_SEPARATOR, canonical
+from pairwright.operators import blocks
 from pairwright.operators.blocks import (
+    Stage,
     attach_group_value,
     block_of,
     occurrence_number,
     salt_of,
 )
+from pairwright.session import materialize
 from pairwright.specs import DOCUMENT, FIELD_KINDS, KNOWN_FIELDS, SPREADSHEET, Config
 
 RUN = ["source", "run_date"]
@@ -91,28 +94,79 @@ def normalize_records(records: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def number_occurrences(normalised: DataFrame) -> DataFrame:
-    """Number the records that share a key on a side, in file order.
+def key_counts(normalised: DataFrame) -> DataFrame:
+    """How often each key of a run occurs on either side: runs of equal keys with their lengths.
 
-    Pairing basis identifier whose identifier is blank are left out: they pair with nothing.
+    Records are added up before they are shuffled, so a key of any size is a few rows. Records that
+    pair with nothing are left out.
     """
-    pairable = normalised.filter(~F.col("unidentified")).withColumn(
-        "_block", block_of("ordinal")
+    on_side = {side: F.count_if(F.col("side") == side).alias(side) for side in (DOCUMENT, SPREADSHEET)}
+    return (
+        normalised.filter(~F.col("unidentified"))
+        .groupBy(*RUN, "by_id", "pair_key")
+        .agg(*on_side.values())
     )
+
+
+def large_runs(records: DataFrame) -> DataFrame:
+    """Runs with more records on a side than a block has: only they can have a key of that size.
+
+    Records are counted by what they are filed under, so nothing of them is read or normalised.
+    """
+    sizes = records.groupBy(*RUN, "side").agg(F.count("*").alias("records"))
+    return sizes.filter(F.col("records") > F.lit(1 << blocks.BLOCK_BITS)).select(*RUN).distinct()
+
+
+def _number_in_place(pairable: DataFrame) -> DataFrame:
+    """Numbers for runs of ordinary size, whose records meet by key and stay where they are."""
+    own = Window.partitionBy(*RUN, "side", "pair_key").orderBy("ordinal", "locator")
+    return pairable.repartition(*RUN, "pair_key").withColumn(
+        "n", F.row_number().over(own).cast("long")
+    )
+
+
+def _number_by_blocks(pairable: DataFrame, stage: Stage) -> DataFrame:
+    """Numbers for runs of any size: a key is numbered block by block."""
+    cut = pairable.withColumn("_block", block_of("ordinal"))
     return occurrence_number(
-        pairable, [*RUN, "side", "pair_key"], ["ordinal", "locator"], ["_block"]
+        cut, [*RUN, "side", "pair_key"], ["ordinal", "locator"], ["_block"], stage=stage
     ).drop("_block")
 
 
-def pair_records(normalised: DataFrame, config: Config) -> DataFrame:
+def _numbered_parts(normalised: DataFrame, stage: Stage) -> list[DataFrame]:
+    """Pairable records with their numbers: those of ordinary runs, and those of large ones if any."""
+    pairable = normalised.filter(~F.col("unidentified"))
+    large = large_runs(normalised)
+    if large.isEmpty():
+        return [_number_in_place(pairable)]
+    large = stage(large, "large_runs")
+    return [
+        _number_in_place(pairable.join(large, RUN, "left_anti")),
+        _number_by_blocks(pairable.join(large, RUN, "left_semi"), stage),
+    ]
+
+
+def number_occurrences(normalised: DataFrame, stage: Stage = materialize) -> DataFrame:
+    """Number the records that share a key on a side, in file order.
+
+    Records paired by identifier whose identifier is blank are left out: they pair with nothing.
+    """
+    parts = _numbered_parts(normalised, stage)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def pair_records(
+    normalised: DataFrame, config: Config, stage: Stage = materialize
+) -> DataFrame:
     """One row per pair or one-sided record of every run.
 
-    The n-th record with a key on one side goes with the n-th on the other, so records meet by key
-    and occurrence number, two at most, and a key that repeats without end still spreads out. Columns:
-    run, ``pair_key``, ``n``, ``by_id``, the two sides as structs (NULL where missing),
-    ``differences`` and ``outcome``.
+    The n-th record with a key on one side goes with the n-th on the other. Records of a run of
+    ordinary size are shuffled once, by run and key: there they are numbered and there the two
+    halves meet. A run with more than a block of records on a side may have a key that is too much
+    for one task, so its keys are numbered by blocks (``stage`` keeps them) and records meet by key
+    and number, two at most. Columns: run, ``pair_key``, ``n``, ``by_id``, the two sides as structs
+    (NULL where missing), ``differences`` and ``outcome``.
     """
-    numbered = number_occurrences(normalised)
     on = [*RUN, "pair_key", "n"]
 
     def packed(side: str) -> Column:
@@ -120,8 +174,6 @@ def pair_records(normalised: DataFrame, config: Config) -> DataFrame:
         here = F.when(F.col("side") == side, F.struct(*_SIDE_COLUMNS))
         return F.first(here, ignorenulls=True).alias(side)
 
-    joined = numbered.groupBy(*on).agg(packed(DOCUMENT), packed(SPREADSHEET))
-
     unidentified = normalised.filter("unidentified").select(
         *RUN,
         "pair_key",
@@ -131,7 +183,12 @@ def pair_records(normalised: DataFrame, config: Config) -> DataFrame:
             for side in (DOCUMENT, SPREADSHEET)
         ],
     )
-    return classify_pairs(joined.unionByName(unidentified), config)
+    joined = unidentified
+    for numbered in _numbered_parts(normalised, stage):
+        joined = joined.unionByName(
+            numbered.groupBy(*on).agg(packed(DOCUMENT), packed(SPREADSHEET))
+        )
+    return classify_pairs(joined, config)
 
 
 def differences_column() -> Column:
@@ -273,22 +330,25 @@ def ambiguous_ids(pairs: DataFrame) -> DataFrame:
     )
 
 
+def repeats(counts: DataFrame) -> DataFrame:
+    """Of :func:`key_counts` the keys that occur more than once on a side."""
+    return counts.filter((F.col(DOCUMENT) >= 2) | (F.col(SPREADSHEET) >= 2))
+
+
+def ambiguous_keys(counts: DataFrame) -> DataFrame:
+    """Identifiers that occur more than once on a side, without any pairing."""
+    return repeats(counts).filter("by_id").select(*RUN, F.col("pair_key").alias("identifier"))
+
+
 def repeated_keys(normalised: DataFrame) -> DataFrame:
     """Composite keys that occur more than once on a side, with how often.
 
     When both sides repeat a key the spreadsheet's count is the one shown. Keys are only counted,
     so records are added up before they are shuffled and nothing is paired.
     """
-    on_document, on_sheet = F.col("_document"), F.col("_sheet")
-    counted = (
-        normalised.filter(~F.col("by_id"))
-        .groupBy(*RUN, "pair_key")
-        .agg(
-            F.count_if(F.col("side") == DOCUMENT).alias("_document"),
-            F.count_if(F.col("side") == SPREADSHEET).alias("_sheet"),
-        )
-        .filter((on_document >= 2) | (on_sheet >= 2))
-        .withColumn("occurrences", F.when(on_sheet >= 2, on_sheet).otherwise(on_document))
+    on_sheet = F.col(SPREADSHEET)
+    counted = repeats(key_counts(normalised.filter(~F.col("by_id")))).withColumn(
+        "occurrences", F.when(on_sheet >= 2, on_sheet).otherwise(F.col(DOCUMENT))
     )
     return counted.select(
         *RUN,

@@ -175,7 +175,7 @@ def line_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_LINES} SELECT source, run_date, doc_id, page, line, in_section, keep FROM final",
 )
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = ly.mark_sections(_lines(spark, sf_dir), ORDERS)
+    marked = ly.marked_lines(order_words(spark, sf_dir), ORDERS)
     return marked.select(*ly.PAGE, "line", "in_section", "keep")
 
 

@@ -164,12 +164,34 @@ def reconcile_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyed_lines_sql(units: str) -> str:
+    """Line items of one side with their key and its occurrence number, and nothing else."""
+    return f"""
+        SELECT source, run_date, locator, pair_key,
+            row_number() OVER (PARTITION BY source, run_date, pair_key ORDER BY ordinal, locator) AS n
+        FROM (
+            SELECT l_returnflag AS source, CAST(date_trunc('year', l_shipdate) AS DATE) AS run_date,
+                concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS locator,
+                l_orderkey * 8 + l_linenumber AS ordinal,
+                CASE l_returnflag
+                    WHEN 'A' THEN concat('STATUS ', l_linestatus, ' | ', {units})
+                    WHEN 'N' THEN concat({units}, ' | STATUS ', l_linestatus)
+                    ELSE concat(strftime(l_shipdate, '%Y-%m-%d'), ' | STATUS ', l_linestatus, ' | ',
+                        rtrim(rtrim(printf('%.2f', l_extendedprice), '0'), '.'), ' | ', {units})
+                END AS pair_key
+            FROM lineitem)"""
+
+
 @query(
     "reconcile_by_key",
-    line_pairs_sql(body="""
+    f"""
     SELECT source, run_date, pair_key, n,
-        CASE WHEN paired THEN 'matched' ELSE 'one_sided' END AS outcome,
-        d_locator AS document_locator, s_locator AS spreadsheet_locator FROM pairs"""),
+        CASE WHEN d.locator IS NULL OR s.locator IS NULL THEN 'one_sided' ELSE 'matched' END
+            AS outcome,
+        d.locator AS document_locator, s.locator AS spreadsheet_locator
+    FROM ({keyed_lines_sql("CAST(l_quantity AS INT)")}) d
+    FULL JOIN ({keyed_lines_sql("CAST(l_quantity AS INT) + (l_tax > 0.075)::INT")}) s
+        USING (source, run_date, pair_key, n)""",
 )
 def reconcile_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_pairs(spark, sf_dir).select(
@@ -398,7 +420,9 @@ _ORDER_COUNTS = """
     FROM pairs GROUP BY source, run_date"""),
 )
 def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rn.side_counts(line_pairs(spark, sf_dir))
+    """Counts of each run of line items, from counts of their keys."""
+    normalised = pg.normalize_records(line_records(spark, sf_dir), LINES)
+    return rn.side_counts(rn.parts_of_keys(pg.key_counts(normalised)))
 
 
 @query(
@@ -507,6 +531,28 @@ def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "run_verdict_by_key",
+    line_pairs_sql(body="""
+    , c AS (SELECT source, run_date, count(d_locator) AS document_count,
+            count(s_locator) AS spreadsheet_count, count(*) FILTER (paired) AS matched,
+            count(*) FILTER (NOT paired) AS one_sided, count(DISTINCT pair_key) FILTER (n > 1)
+                AS repeated
+        FROM pairs GROUP BY source, run_date)
+    SELECT *, CASE WHEN one_sided = 0 THEN 'FULLY RECONCILED' ELSE 'DIFFERENCES FOUND' END AS verdict,
+        CASE WHEN one_sided > 0 THEN one_sided || ' one-sided' ELSE '' END AS reason FROM c"""),
+)
+def run_verdict_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of runs whose records are recognised by their own values: nothing is paired."""
+    records = line_records(spark, sf_dir)
+    normalised = pg.normalize_records(records, LINES)
+    results = rn.run_results_by_key(_runs(records), normalised, LINES)
+    return results.select(
+        *pg.RUN, "document_count", "spreadsheet_count", "matched", "one_sided", "repeated",
+        "verdict", "reason",
+    )
+
+
 @query(
     "run_reason",
     line_pairs_sql(by_id=True, body="""
@@ -575,43 +621,39 @@ def nothing_read_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
         CAST(sum(d_units) AS DOUBLE) AS d_units,
         CAST(sum(CAST(s_quantity AS INT)) AS DOUBLE) AS s_units
         FROM pairs GROUP BY source, run_date)
-    SELECT source, run_date, l.pos AS pos, l.label AS label, l.value AS value FROM (
-        SELECT source, run_date, unnest([
-            {'pos': 1, 'label': 'Source', 'value': source},
-            {'pos': 2, 'label': 'Folder', 'value': '/statements/' || source || '/' || source || ' '
-                || strftime(run_date, '%Y.%m.%d')},
-            {'pos': 3, 'label': 'Pairing basis', 'value': 'composite key: ' || CASE source
+    SELECT source, run_date, l.measure AS measure, l.side AS side, l.value AS value FROM (
+        SELECT source, run_date, repeated, unnest([
+            {'measure': 'folder', 'side': NULL, 'value': '/statements/' || source || '/' || source
+                || ' ' || strftime(run_date, '%Y.%m.%d')},
+            {'measure': 'pairing', 'side': NULL, 'value': 'composite key: ' || CASE source
                 WHEN 'A' THEN 'description + quantity' WHEN 'N' THEN 'quantity + description'
                 ELSE 'date + description + amount + quantity' END},
-            {'pos': 4, 'label': 'Rows of document', 'value': CAST(documents AS VARCHAR)},
-            {'pos': 5, 'label': 'Rows of spreadsheet', 'value': CAST(sheets AS VARCHAR)},
-            {'pos': 6, 'label': 'Pairs that agree', 'value': CAST(matched AS VARCHAR)},
-            {'pos': 8, 'label': 'Without a counterpart', 'value': CAST(one_sided AS VARCHAR)},
-            {'pos': 9, 'label': 'Lines not understood', 'value': '0'},
-            {'pos': 11, 'label': 'Keys that repeat',
-             'value': CAST(repeated AS VARCHAR)},
-            {'pos': 13, 'label': 'Total amount (document)', 'value': printf('%.2f', d_amount)},
-            {'pos': 14, 'label': 'Total amount (spreadsheet)', 'value': printf('%.2f', s_amount)},
-            {'pos': 15, 'label': 'Difference in amount',
-             'value': printf('%.2f', d_amount - s_amount)},
-            {'pos': 16, 'label': 'Total quantity (document)', 'value': printf('%.2f', d_units)},
-            {'pos': 17, 'label': 'Total quantity (spreadsheet)', 'value': printf('%.2f', s_units)},
-            {'pos': 18, 'label': 'Difference in quantity',
-             'value': printf('%.2f', d_units - s_units)},
-            {'pos': 20, 'label': 'Verdict', 'value': CASE WHEN one_sided = 0
-                THEN 'FULLY RECONCILED' ELSE 'DIFFERENCES FOUND' END}]) AS l, repeated FROM t)
-    WHERE (l.pos NOT IN (13, 14, 15) OR source = 'R') AND (l.pos <> 11 OR repeated > 0)"""),
+            {'measure': 'records', 'side': 'document', 'value': CAST(documents AS VARCHAR)},
+            {'measure': 'records', 'side': 'spreadsheet', 'value': CAST(sheets AS VARCHAR)},
+            {'measure': 'matched', 'side': NULL, 'value': CAST(matched AS VARCHAR)},
+            {'measure': 'one_sided', 'side': NULL, 'value': CAST(one_sided AS VARCHAR)},
+            {'measure': 'unread', 'side': NULL, 'value': '0'},
+            {'measure': 'repeated_keys', 'side': NULL, 'value': CAST(repeated AS VARCHAR)},
+            {'measure': 'total_amount', 'side': 'document', 'value': printf('%.2f', d_amount)},
+            {'measure': 'total_amount', 'side': 'spreadsheet', 'value': printf('%.2f', s_amount)},
+            {'measure': 'excess_amount', 'side': NULL, 'value': printf('%.2f', d_amount - s_amount)},
+            {'measure': 'total_quantity', 'side': 'document', 'value': printf('%.2f', d_units)},
+            {'measure': 'total_quantity', 'side': 'spreadsheet', 'value': printf('%.2f', s_units)},
+            {'measure': 'excess_quantity', 'side': NULL, 'value': printf('%.2f', d_units - s_units)},
+            {'measure': 'verdict', 'side': NULL, 'value': CASE WHEN one_sided = 0
+                THEN 'FULLY RECONCILED' ELSE 'DIFFERENCES FOUND' END}]) AS l FROM t)
+    WHERE (l.measure NOT IN ('total_amount', 'excess_amount') OR source = 'R')
+        AND (l.measure <> 'repeated_keys' OR repeated > 0)"""),
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals are shown with two decimals here, so that both engines print them alike."""
     records = line_records(spark, sf_dir)
-    normalised = pg.normalize_records(records, LINES)
-    # read by the counts and by the list of ambiguous identifiers
-    pairs = materialize(pg.pair_records(normalised, LINES), "pairs")
-    results = rn.run_results(_runs(records), pairs, LINES)
-    lines = rn.run_summary(results, pairs, normalised, LINES)
-    total = F.col("pos").between(13, 18)
-    return lines.withColumn(
+    # read by the counts, the totals and the list of ambiguous identifiers
+    normalised = materialize(pg.normalize_records(records, LINES), "records")
+    results = rn.run_results_by_key(_runs(records), normalised, LINES)
+    measures = rn.run_summary(results, normalised, LINES)
+    total = F.col("measure").rlike("^(total|excess)_")
+    return measures.withColumn(
         "value",
         F.when(total, F.format_string("%.2f", F.when(total, F.col("value")).cast("double")))
         .otherwise(F.col("value")),

@@ -53,6 +53,8 @@ class Outcome:
     records: DataFrame
 
 
+#: Runs whose list is sent to all tasks: some 10 MB at most.
+FEW_RUNS = 100_000
 #: What of a statement line is read later on; its words are not.
 LINE_COLUMNS = [*RECORD_COLUMNS, "doc_id", "page", "line", "text", "is_record"]
 
@@ -73,37 +75,41 @@ def reconcile_range(
 
     Only runs holding exactly one document and one data file are read; a run that cannot be checked
     becomes a row saying why and hides none of the others. Words are narrowed to the sources and
-    the calendar's span, which prunes what is read, and shuffled once, by page; the list of runs
-    that can be checked meets the lines they make.
+    the calendar's span, which prunes what is read, and shuffled once, by page.
 
-    Lines, records and pairs are each read by several later steps, so ``stage`` writes them to the
-    shared folder once; pass :func:`compute_again` to leave everything to one lazy plan instead.
+    The runs, and lines, records and pairs are each read by several later steps, so ``stage``
+    writes them to the shared folder once; pass :func:`compute_again` to leave everything to one
+    lazy plan instead. A list of runs that is short by count is sent to where the words are read, a
+    longer one meets the lines. Records are shuffled once to be paired, and pairs, unread lines and
+    the runs themselves once to be counted.
     """
     expected = expected_runs(calendar, config, only)
-    present = inventory(expected, inputs.arrivals, config)
     errors = file_count_errors(inputs.arrivals, config).select(*RUN, "error")
     if inputs.errors is not None:
         errors = errors.unionByName(inputs.errors.select(*RUN, "error"))
-    checkable = (
-        present.filter("complete").select(*RUN).join(errors, RUN, "left_anti")
+    one_error = errors.groupBy(*RUN).agg(F.min("error").alias("error"))
+    runs = stage(
+        inventory(expected, inputs.arrivals, config).join(one_error, RUN, "left"), "runs"
     )
+    checkable = runs.filter(F.col("complete") & F.col("error").isNull()).select(*RUN)
+    few = runs.limit(FEW_RUNS + 1).count() <= FEW_RUNS
     first, last = calendar.agg(F.min("run_date"), F.max("run_date")).first()
     in_span = F.col("source").isin([s.name for s in config.only(only)]) & F.col(
         "run_date"
     ).between(F.lit(first), F.lit(last))
-    sheets = inputs.sheet_records.filter(in_span).join(checkable, RUN, "left_semi")
-
-    lines = read_lines(inputs.words.filter(in_span), config)
-    read = stage(
-        lines.withColumn("side", F.lit(DOCUMENT))
-        .select(*LINE_COLUMNS)
-        .join(checkable, RUN, "left_semi"),
-        "lines",
-    )
+
+    def to_check(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(checkable) if few else checkable, RUN, "left_semi")
+
+    words = inputs.words.filter(in_span)
+    lines = read_lines(to_check(words) if few else words, config, stage)
+    wanted = lines.withColumn("side", F.lit(DOCUMENT)).select(*LINE_COLUMNS)
+    read = stage(wanted if few else to_check(wanted), "lines")
+    sheets = to_check(inputs.sheet_records.filter(in_span))
     records = stage(
         normalize_records(document_records(read).unionByName(sheets), config), "records"
     )
-    pairs = stage(pair_records(records, config), "pairs")
+    pairs = stage(pair_records(records, config, stage), "pairs")
     unread = unread_lines(read)
     results = run_results(checkable, pairs, config, unread)
     return Outcome(
@@ -111,7 +117,9 @@ def reconcile_range(
         unread=unread,
         results=results,
         records=records,
-        overview=overview(present, errors, results, config),
+        overview=overview(
+            runs.drop("error"), runs.filter("error IS NOT NULL"), results, config
+        ),
     )
 
 

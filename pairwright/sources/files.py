@@ -51,7 +51,7 @@ def report_tables(
     """
     return {
         "summary": results,
-        "lines": run_summary(results, pairs, records, config),
+        "lines": run_summary(results, records, config),
         "differences": differences_worklist(pairs),
         "unmatched": order_one_sided(one_sided(pairs, config), pairs),
         "unread": unread.select(*RUN, "doc_id", "page", "line", "unread_line"),

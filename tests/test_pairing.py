@@ -53,6 +53,62 @@ def test_repeated_keys_show_the_spreadsheet_count_when_both_repeat(spark):
     assert result_of(spark, [rec()] * 2, [rec()] * 2).reconciled
 
 
+def random_sides(seed, count=120):
+    rng = random.Random(seed)
+    return [
+        [rec(description=rng.choice("AAABC"), quantity=str(rng.randrange(4))) for _ in range(count)]
+        for _ in range(2)
+    ]
+
+
+def test_counts_of_keys_say_what_pairs_say(spark):
+    documents, sheets = random_sides(4)
+    rows = records(spark, documents[:90], sheets, "S")
+    normalised = pg.normalize_records(rows, KEYED)
+    by_pairs = rn.side_counts(rn.parts_of_pairs(pg.pair_records(normalised, KEYED))).first()
+    by_keys = rn.side_counts(rn.parts_of_keys(pg.key_counts(normalised))).first()
+    assert by_pairs == by_keys and by_keys.repeated > 1 and by_keys.one_sided >= 30
+    runs = rows.select(*pg.RUN).distinct()
+    assert rn.run_results_by_key(runs, normalised, KEYED).first() == rn.run_results(
+        runs, pg.pair_records(normalised, KEYED), KEYED).first()
+    plan = rn.run_results_by_key(runs, normalised, KEYED)._jdf.queryExecution().executedPlan()
+    assert "Window" not in plan.toString()
+
+
+def test_large_runs_are_numbered_by_blocks(spark, monkeypatch):
+    documents, sheets = random_sides(5)
+    rows = records(spark, documents, sheets, "S")
+    small = records(spark, documents[:3], sheets[:3], "S").withColumn(
+        "run_date", F.lit("2026-05-05").cast("date"))
+    normalised = pg.normalize_records(rows.unionByName(small), KEYED)
+
+    def paired():
+        return {
+            (r.run_date, r.pair_key, r.n, r.document and r.document.ordinal,
+             r.spreadsheet and r.spreadsheet.ordinal)
+            for r in pg.pair_records(normalised, KEYED).collect()
+        }
+
+    whole, calls = paired(), []
+    monkeypatch.setattr(blocks, "BLOCK_BITS", 3)
+    by_blocks = pg._number_by_blocks
+    monkeypatch.setattr(
+        pg, "_number_by_blocks", lambda df, stage: calls.append(df) or by_blocks(df, stage))
+    assert pg.large_runs(normalised).count() == 1
+    assert paired() == whole and len(calls) == 1
+    numbers = pg.number_occurrences(normalised).collect()
+    assert len(numbers) == 246 and {r.n for r in numbers} >= {1, 2, 3, 9}
+
+
+def test_records_are_normalised_once(spark):
+    rows = records(spark, [rec()] * 2, [rec()], "S")
+    plan = pg.pair_records(pg.normalize_records(rows, KEYED), KEYED)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # the branch of pairable records reads the rows once and shuffles them once
+    assert text.count("Window [") == 1
+    assert text.count("Exchange hashpartitioning(source") == 1
+
+
 def test_totals_skip_what_is_no_number(spark):
     rows = records(spark, [rec(amount="1,000.00"), rec(amount="n/a")], [rec(amount="1000")], "S")
     t = rn.side_totals(pg.normalize_records(rows, KEYED)).first()
