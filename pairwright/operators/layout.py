@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.naming import document_locator
 from pairwright.functions.normalize import mask_shape
-from pairwright.operators.blocks import Stage, running_state
+from pairwright.operators.blocks import running_state
 from pairwright.operators.pairing import RECORD_COLUMNS, RUN
-from pairwright.session import materialize
 from pairwright.specs import DOCUMENT, KNOWN_FIELDS, Config
 
 PAGE = [*RUN, "doc_id", "page"]
@@ -61,34 +60,10 @@ def contains_any(text: Column, markers: Column | str) -> Column:
     return F.exists(markers, lambda m: F.contains(lowered, m))
 
 
-def long_documents(words: DataFrame) -> DataFrame:
-    """Documents that lie in more than one block of pages."""
-    block = F.shiftright("page", PAGE_BLOCK_BITS)
-    spans = words.groupBy(*RUN, "doc_id").agg(F.min(block).alias("_a"), F.max(block).alias("_b"))
-    return spans.filter("_a <> _b").select(*RUN, "doc_id")
-
-
-def marked_lines(words: DataFrame, config: Config, stage: Stage = materialize) -> DataFrame:
-    """All lines of the documents, numbered, with their section state.
-
-    Only a document of several blocks has a state to carry from one to the next; the lines of all
-    others are marked where they were put together, in one pass.
-    """
-    lines = number_lines(group_lines(words))
-    long = long_documents(words)
-    if long.isEmpty():
-        return mark_sections(lines, config, in_one_block=True)
-    long, document = stage(long, "long_documents"), [*RUN, "doc_id"]
-    return mark_sections(
-        lines.join(long, document, "left_anti"), config, in_one_block=True
-    ).unionByName(mark_sections(lines.join(long, document, "left_semi"), config))
-
-
-def mark_sections(lines: DataFrame, config: Config, in_one_block: bool = False) -> DataFrame:
+def mark_sections(lines: DataFrame, config: Config) -> DataFrame:
     """Add ``in_section`` (the state a line is reached in) and ``keep`` (it is a record line).
 
     Every line consumed as a marker, skipped or outside the section has ``keep`` false.
-    ``in_one_block``: no document has lines in two blocks of pages.
     """
     layout = config.layout_table(lines.sparkSession)
     marked = (
@@ -104,12 +79,12 @@ def mark_sections(lines: DataFrame, config: Config, in_one_block: bool = False)
     from_on = (~F.col("is_stop") | blank).cast("int")
     stated = running_state(
         marked,
-        _BLOCK if in_one_block else [*RUN, "doc_id"],
+        [*RUN, "doc_id"],
         ["page", "line_top"],
         from_off,
         from_on,
         F.col("opens_at_once"),
-        [] if in_one_block else ["page_block"],
+        ["page_block"],
         "state_in",
     )
     return (
@@ -153,12 +128,13 @@ def assign_columns(lines: DataFrame) -> DataFrame:
     return placed.withColumns({f: value(f) for f in KNOWN_FIELDS}).drop("placed")
 
 
-def read_lines(words: DataFrame, config: Config, stage: Stage = materialize) -> DataFrame:
+def read_lines(words: DataFrame, config: Config) -> DataFrame:
     """Record lines of all documents, split into fields, with their locators.
 
     ``is_record`` tells lines that gave a value from lines nobody could read.
     """
-    read = assign_columns(marked_lines(words, config, stage).filter("keep"))
+    lines = mark_sections(number_lines(group_lines(words)), config).filter("keep")
+    read = assign_columns(lines)
     any_value = F.concat_ws("", *[F.trim(f) for f in KNOWN_FIELDS]) != ""
     return (
         read.withColumn("locator", document_locator(F.col("page"), F.col("line")))

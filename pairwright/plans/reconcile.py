@@ -102,7 +102,7 @@ def reconcile_range(
         return rows.join(F.broadcast(checkable) if few else checkable, RUN, "left_semi")
 
     words = inputs.words.filter(in_span)
-    lines = read_lines(to_check(words) if few else words, config, stage)
+    lines = read_lines(to_check(words) if few else words, config)
     wanted = lines.withColumn("side", F.lit(DOCUMENT)).select(*LINE_COLUMNS)
     read = stage(wanted if few else to_check(wanted), "lines")
     sheets = to_check(inputs.sheet_records.filter(in_span))

@@ -82,24 +82,6 @@ def test_sections_like_a_loop(spark, monkeypatch, start):
     assert [r.locator for r in got.collect()] == expected
 
 
-def test_short_and_long_documents_together(spark, monkeypatch):
-    rows = []
-    for page in range(1, 9):
-        rows += words_of([[("open", 110)], [("x", 110)]], source="S", page=page)
-    frame = spark.createDataFrame(rows, WORD)
-    short = frame.filter("page = 1").withColumn("doc_id", F.lit("short"))
-    markers = config(start_markers=("OPEN",))
-
-    def lines():
-        got = ly.read_lines(frame.unionByName(short), markers).collect()
-        return sorted((r.doc_id, r.locator, r.is_record) for r in got)
-
-    whole = lines()
-    monkeypatch.setattr(ly, "PAGE_BLOCK_BITS", 1)
-    assert ly.long_documents(frame.unionByName(short)).count() == 1
-    assert lines() == whole and len(whole) == 9
-
-
 def test_probe_can_hide_the_values(spark):
     words = spark.createDataFrame(words_of([[("ALPHA", 40.4), ("x1", 110)]], source="S"), WORD)
     assert ly.layout_probe(words).first().shown == "ALPHA@40  x1@110"
