@@ -21,8 +21,6 @@ DATE_ORDERS = (DAY_FIRST, MONTH_FIRST)
 
 # Whitespace: what has the Unicode property, and the four separator control characters.
 _WS = r"[\s\x1c-\x1f]"
-_WS_NO_NL = r"(?:(?!\n)[\s\x1c-\x1f])"
-_NOT_WS = r"[^\s\x1c-\x1f]"
 # Any run of whitespace but a single plain space, which is already as it should be.
 _UNTIDY_SPACE = rf"(?U)[\s\x1c-\x1f&&[^ ]]{_WS}*| {_WS}+"
 
@@ -62,11 +60,23 @@ _PLAIN_NUMBER = (
     rf"(?: ?{_CURRENCY})?\z"
 )
 
-# What is left after clean-up is a number when it is one of: digits with dots, digits with commas,
-# dot groups then a decimal comma, comma groups then a decimal dot. Anything else becomes 'x'.
-_NOT_A_NUMBER = (
-    r"(?s)^(?![\x01\x02]?[+-]?(?=.*[0-9])"
-    r"(?:[0-9.]*|[0-9,]*|[0-9.]*,[0-9]*|[0-9,]*\.[0-9]*)\z).*$"
+# A number as it is written: words or a currency in front, a sign, digits with their separators, and
+# behind the last digit either separators alone or a unit; a sign may close a single line. Groups:
+# brackets (marked \x01 before), nothing (set on a single line only), the sign in front, the digits,
+# separators at the end, the closing sign behind them, the closing sign behind a unit.
+_FRONT = r"[^\p{Nd}+\-(.]*+"
+_DIGITS = r"[0-9., '’]*[0-9]"
+_UNIT = r"[^\p{Nd}.,)]*"
+_WRITTEN_NUMBER = (
+    rf"(?s)^(\x01?)(?:(?!.*\n)())?+{_FRONT}([+-]?)[ '’]*({_DIGITS})"
+    rf"(?:([., '’]*)(?:(?U){_WS}*\2([+-]))?|{_UNIT}?\2([+-])|{_UNIT})\z"
+)
+_UNDERSTOOD, _NEGATIVE = "\x02", "\x03"
+
+# Digits with separators are a number when they are one of: digits with dots, digits with commas,
+# dot groups then a decimal comma, comma groups then a decimal dot.
+_NUMBER_SHAPE = (
+    rf"{_NEGATIVE}?(?=.*[0-9])(?:[0-9.]*|[0-9,]*|[0-9.]*,[0-9]*|[0-9,]*\.[0-9]*)\z"
 )
 
 
@@ -76,28 +86,19 @@ def format_number_text(number: Column) -> Column:
     return F.replace(_rr(text, "^-0$", "0"), F.lit("∞"), F.lit("inf"))
 
 
-# Grammar of a number: it opens with a digit, a sign, a decimal dot or an accounting bracket. After
-# its last digit or bracket only separators and brackets may follow; a currency or a unit, which is
-# whatever else stands at either end, is no part of it.
-_OPENS_NUMBER = r"\d.(+\-"
-_ENDS_DIGITS = r"\d)"
-_IN_NUMBER = r"\d),."
-
-
 def _number_body(text: Column) -> Column:
-    """Currency, accounting signs and grouping spaces removed.
+    r"""Digits and separators of a written number, \x03 before them if it is negative; else 'x'.
 
-    A leading \\x01 or \\x02 in the result marks a value known to be negative; \\x02 says the sign
-    was a trailing one, so that no second trailing sign is looked for.
+    Brackets around all of it, a minus in front and a minus behind each make it negative.
     """
-    t = F.translate(text, "\x01\x02", "~~")
+    t = F.translate(text, f"\x01{_UNDERSTOOD}{_NEGATIVE}", "~~~")
     t = _rr(t, f"(?U)^{_WS}+|{_WS}+$", "")
     t = _rr(t, rf"(?sU)^\({_WS}*(.*?){_WS}*\)$", "\x01$1")
-    t = _rr(t, rf"(?U)^\x01?([^\n\x01]*{_NOT_WS}){_WS_NO_NL}*-$", "\x02$1")
-    t = _rr(t, rf"(?U)^(\x01?)([^\n\x01\x02]*{_NOT_WS}){_WS_NO_NL}*\+$", "$1$2")
-    t = _rr(t, rf"(?U)^([\x01\x02]?+)[^{_OPENS_NUMBER}]+", "$1")
-    t = _rr(t, rf"(?U)(?<=[{_ENDS_DIGITS}])[^{_IN_NUMBER}]+$", "")
-    return F.translate(t, " '’", "")
+    t = _rr(t, _WRITTEN_NUMBER, f"{_UNDERSTOOD}$1$3$4$5$6$7")
+    t = _rr(t, rf"(?s)^(?!{_UNDERSTOOD}).*$", "x")
+    t = _rr(t, rf"^{_UNDERSTOOD}(?=.*[\x01\-])", _NEGATIVE)
+    t = F.translate(t, f"\x01{_UNDERSTOOD}+- '’", "")
+    return _rr(t, rf"(?s)^(?!{_NUMBER_SHAPE}).*$", "x")
 
 
 def unify_separator(body: Column) -> Column:
@@ -112,8 +113,7 @@ def unify_separator(body: Column) -> Column:
 def norm_number(value: Column | str) -> Column:
     """Canonical decimal text with at most six decimals, or the cleaned text if not a number."""
     text = F.coalesce(_col(value).cast("string"), F.lit(""))
-    body = _rr(_number_body(text), _NOT_A_NUMBER, "x")
-    signed = _rr(unify_separator(body), r"^[\x01\x02][+-]?", "-")
+    signed = F.replace(unify_separator(_number_body(text)), F.lit(_NEGATIVE), F.lit("-"))
     plain = F.replace(F.regexp_extract(text, _PLAIN_NUMBER, 1), F.lit(","), F.lit(""))
     return F.coalesce(
         format_number_text(plain.try_cast("double")),

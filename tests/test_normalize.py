@@ -7,35 +7,57 @@ from pyspark.sql import functions as F
 from pairwright.functions import normalize as nz
 from pairwright.functions.naming import numbered_name, safe_filename, suffix
 
+#: Values by the rule that decides how they are read.
 NUMBERS = {
-    "1,234.50": "1234.5", "1.234,50": "1234.5", "1 234.50": "1234.5", "1'234.50": "1234.5",
-    "1’234": "1234", "10.50": "10.5", "10": "10", "(99.00)": "-99", "( 5 )": "-5",
-    "99.00-": "-99", "5 -": "-5", "-99.00": "-99", "EUR 1,234.50": "1234.5",
-    "1,234.50 EUR": "1234.5", "EUR -5": "-5", "5%": "5", "0": "0", "0.00": "0", "-0": "0",
-    "-0.0000001": "0", "": "", None: "", "n/a": "N/A", "1,234": "1234", "1,23": "1.23",
-    "1.234.567": "1234567", "1,234,567": "1234567", "1.234.567,89": "1234567.89",
-    "1,234,567.89": "1234567.89", "EUR (1,234.50)": "EUR (1,234.50)", "Rs.500": "0.5", ",5": "5",
-    "99CR": "99", "99 DR": "99", "100.-": "-100", "-EUR 99": "-EUR 99", "1,2345": "1.2345",
-    "0,125": "125", "0.1234565": "0.123456", "5+-": "-5", "5-+": "5", "5.+-": "5.+-",
-    "--": "--", "()": "()", "(-5)": "-5", "1.2,3.4": "1.2,3.4", "1.234,567": "1234.567",
-    "1e5": "1E5", "$5": "5", "12.0": "12", "+5": "5", "5\n-": "5", "  7 ": "7", "007": "7",
-    "1d": "1", "1.": "1", ".5": "0.5", "-(5)": "-(5)", "12 EUR-": "-12", ",": ",", "V1.0": "1",
+    # nothing there, or no number at all
+    None: "", "": "", " \t ": "", "tba": "TBA", "-": "-", ".": ".", ";": ";", "( )": "( )",
+    "7-8": "7-8", "6e2": "6E2", "3x4": "3X4", "(7": "(7", "7)": "7)", "++4": "++4",
+    # spaces around, leading zeros, no more than six decimals
+    "\t81 ": "81", "0042": "42", "3.10": "3.1", "2.7182818": "2.718282", "-0.00": "0",
+    "-0.0000004": "0", "8.": "8", ".25": "0.25",
+    # one kind of separator: groups if it repeats; a lone comma before three digits is a group
+    "62,5": "62.5", "62,50": "62.5", "62,500": "62500", "62,5000": "62.5", "0,875": "875",
+    "9,062,500": "9062500", "9.062.500": "9062500", "62.500": "62.5", ",75": "75",
+    # both kinds: the last one is the decimal point, and stands once
+    "9,062.75": "9062.75", "9.062,75": "9062.75", "9.062.500,25": "9062500.25",
+    "9,062,500.25": "9062500.25", "9.062,500": "9062.5", "9,0.6,2": "9,0.6,2",
+    # spaces and apostrophes group
+    "9 062.75": "9062.75", "9'062.75": "9062.75", "9’062": "9062",
+    # signs in front, behind and as brackets
+    "+17": "17", "-17": "-17", "17-": "-17", "17 -": "-17", "17+": "17", "(17)": "-17",
+    "( 17.50 )": "-17.5", "(-17)": "-17", "-(17)": "-(17)", "17+-": "-17", "17-+": "17",
+    "17.-": "-17", "17.+-": "17.+-", "17\n-": "17",
+    # words and currencies at either end are no part of it
+    "CHF 9,062.75": "9062.75", "9,062.75 CHF": "9062.75", "£17": "17", "17%": "17",
+    "CHF -17": "-17", "-CHF 17": "-CHF 17", "17 CHF-": "-17", "17DR": "17", "17 CR": "17",
+    "CHF (17)": "CHF (17)", "(CHF 17)": "-17", "No.17": "0.17", "w2.0": "2", "4f": "4",
+    "17. CHF": "17. CHF", "٣7": "٣7",
 }
 
+#: Dates read day first, by the kind of spelling.
 DAY_FIRST_DATES = {
-    "02/03/2026": "2026-03-02", "02.03.2026": "2026-03-02", "02-Mar-2026": "2026-03-02",
-    "2 March 2026": "2026-03-02", "20260302": "2026-03-02", "2026302": "2026-03-02",
-    "202611": "2026-01-01", "2026-03-02 00:00:00": "2026-03-02", "not a date": "NOT A DATE",
-    "": "", None: "", "12/31/2026": "2026-12-31", "31/02/2026": "31/02/2026",
-    "31.04.2026": "31.04.2026", "29/02/2024": "2024-02-29", "00/01/2026": "00/01/2026",
-    "1-Jan-75": "1975-01-01", "1-Jan-68": "2068-01-01", "Mar 2, 2026": "2026-03-02",
-    "mar 2, 26": "2026-03-02", "March 2, 26": "MARCH 2, 26", "2-March-26": "2-MARCH-26",
-    "02/03/26": "2026-03-02", "02.03.26": "02.03.26", "2026/3/2": "2026-03-02",
-    "2026-3/2": "2026-3/2", "02 Mar 2026 00:00:00": "02 MAR 2026 00:00:00",
-    "2026-03-02 10:00:00": "2026-03-02 10:00:00", "Sept 2, 2026": "SEPT 2, 2026",
-    "002/03/2026": "002/03/2026", "0000-01-01": "0000-01-01", "2026-03- 2": "2026-03-02",
-    "2-MAY-2026": "2026-05-02", "y69-01-01": "Y69-01-01", "2026-mar-5": "2026-MAR-5",
-    "26-03-02": "2002-03-26", "03/ 4/2026": "2026-03-04", "2026-03-002": "2026-03-002",
+    None: "", "": "", "soon": "SOON", "tomorrow  12": "TOMORROW 12",
+    # year first
+    "2024-07-09": "2024-07-09", "2024/7/9": "2024-07-09", "2024.07.09": "2024-07-09",
+    "20240709": "2024-07-09", "2024-07- 9": "2024-07-09", "2024-7/9": "2024-7/9",
+    "202479": "2024-07-09", "2024-07-009": "2024-07-009", "0000-07-09": "0000-07-09",
+    # months by name, in any case, with two or four digits of the year
+    "9-Jul-2024": "2024-07-09", "09 jul 2024": "2024-07-09", "9 July 2024": "2024-07-09",
+    "9-JULY-2024": "2024-07-09", "Jul 9, 2024": "2024-07-09", "July 9, 2024": "2024-07-09",
+    "9-Jul-24": "2024-07-09", "jul 9, 24": "2024-07-09", "9-July-24": "9-JULY-24",
+    "July 9, 24": "JULY 9, 24", "Juli 9, 2024": "JULI 9, 2024", "2024-jul-9": "2024-JUL-9",
+    # two digits from 69 on are of the last century
+    "9-Jul-69": "1969-07-09", "9-Jul-68": "2068-07-09", "24-07-09": "2009-07-24",
+    # numbers alone: the other order is tried where the first cannot be
+    "09/07/2024": "2024-07-09", "9.7.2024": "2024-07-09", "9-7-2024": "2024-07-09",
+    "9/7/24": "2024-07-09", "9.7.24": "9.7.24", "07/21/2024": "2024-07-21",
+    "21/07/2024": "2024-07-21", " 7/ 9/2024": "2024-07-09", "009/07/2024": "009/07/2024",
+    # days there are not
+    "30/02/2024": "30/02/2024", "29/02/2023": "29/02/2023", "31.06.2024": "31.06.2024",
+    "00/07/2024": "00/07/2024", "29/02/2028": "2028-02-29",
+    # a time at midnight is no time
+    "2024-07-09 00:00:00": "2024-07-09", "2024-07-09 11:30:00": "2024-07-09 11:30:00",
+    "09 Jul 2024 00:00:00": "09 JUL 2024 00:00:00",
 }
 
 
@@ -56,11 +78,11 @@ def test_value_tables(spark, build, table):
 
 
 def test_month_first_reading(spark):
-    values = ["03/04/2026", "3-4-26", "31/12/2026", "2026-04-03"]
+    values = ["07/09/2024", "7-9-24", "21/07/2024", "2024-09-07"]
     assert apply(spark, values, lambda c: nz.norm_date(c, "month_first")) == [
-        "2026-03-04", "2026-03-04", "2026-12-31", "2026-04-03"]
+        "2024-07-09", "2024-07-09", "2024-07-21", "2024-09-07"]
     assert apply(spark, values, lambda c: nz.norm_date(c, F.lit("day_first"))) == [
-        "2026-04-03", "2026-04-03", "2026-12-31", "2026-04-03"]
+        "2024-09-07", "2024-09-07", "2024-07-21", "2024-09-07"]
 
 
 def test_text_quantity_mask(spark):
