@@ -9,12 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.naming import is_data, safe_filename
 from pairwright.operators.blocks import look_up, salt_of
 from pairwright.operators.file_names import number_names
+from pairwright.operators.fragments import FragmentIndex
 from pairwright.session import materialize
 from pairwright.specs import Config, Source, as_date
 
@@ -61,15 +62,59 @@ def _holds(fragment: str) -> Callable[[Column], Column]:
     )
 
 
-def classify(config: Config, subject: Column, names: Column) -> Column:
-    """The first configured source whose rule matches; NULL for none.
+def rule_index(spark: SparkSession, config: Config) -> FragmentIndex:
+    """The fragments of all rules; the owner of a rule is its source's place in the configuration."""
+    return FragmentIndex(
+        spark,
+        [("subject", f, k) for k, s in enumerate(config.sources) for f in s.subject_all]
+        + [("name", f, k) for k, s in enumerate(config.sources) for f in s.attachment_contains],
+    )
+
+
+def classify(messages: DataFrame, config: Config) -> DataFrame:
+    """Messages with the first configured source whose rule matches; NULL for none.
 
-    The rules are conditions tried in order, so a message is read once and never multiplied.
+    What a message is classified by, its subject and file names, is looked up once however many
+    messages share it, and in one join however many sources there are.
     """
-    first = F.lit(None).cast("string")
-    for source in reversed(list(config.sources)):
-        first = F.when(rule_matches(source, subject, names), F.lit(source.name)).otherwise(first)
-    return first
+    spark = messages.sparkSession
+    subject, names = F.coalesce("subject", F.lit("")), attachment_names()
+    keyed = messages.withColumn("_key", F.md5(F.to_json(F.struct(subject.alias("s"), names.alias("n")))))
+    distinct = keyed.select(
+        F.col("_key").alias("key"), subject.alias("subject"), names.alias("names")
+    ).dropDuplicates(["key"])
+    texts = distinct.select(
+        "key",
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.lit("subject").alias("kind"), F.col("subject").alias("text"))),
+                F.transform(
+                    F.array_distinct("names"),
+                    lambda n: F.struct(
+                        F.lit("name").alias("kind"), F.coalesce(n, F.lit("")).alias("text")
+                    ),
+                ),
+            )
+        ).alias("t"),
+    ).select("key", "t.*")
+    needed = [(k, s.name, len({f.lower() for f in s.subject_all})) for k, s in enumerate(config.sources)]
+    rules = spark.createDataFrame(needed, "owner int, source string, subject_needs int")
+    found = (
+        rule_index(spark, config)
+        .find(texts)
+        .groupBy("key", "owner")
+        .agg(
+            F.count_if(F.col("kind") == "subject").alias("in_subject"),
+            F.count_if(F.col("kind") == "name").alias("in_names"),
+        )
+        .join(F.broadcast(rules), "owner")
+        .filter(
+            (F.col("in_names") > 0)
+            | ((F.col("subject_needs") > 0) & (F.col("in_subject") == F.col("subject_needs")))
+        )
+    )
+    first = found.groupBy(F.col("key").alias("_key")).agg(F.min_by("source", "owner").alias("source"))
+    return keyed.join(first, "_key", "left").drop("_key")
 
 
 def classified(messages: DataFrame, config: Config, only: str | None = None) -> DataFrame:
@@ -78,9 +123,7 @@ def classified(messages: DataFrame, config: Config, only: str | None = None) ->
     ``only`` is applied after classification, so that asking for one source never moves a message
     to it that an earlier rule claims.
     """
-    found = messages.withColumn(
-        "source", classify(config, F.col("subject"), attachment_names())
-    ).filter("source IS NOT NULL")
+    found = classify(messages, config).filter("source IS NOT NULL")
     return found if not only else found.filter(F.lower("source") == only.lower())
 
 

@@ -113,9 +113,7 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("classify_messages", f"{_MAIL} SELECT msg_id, source FROM sorted")
 def classify_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_messages(spark, sf_dir).select(
-        "msg_id", ar.classify(MAIL, F.col("subject"), ar.attachment_names()).alias("source")
-    )
+    return ar.classify(document_messages(spark, sf_dir), MAIL).select("msg_id", "source")
 
 
 @query(

@@ -168,7 +168,7 @@ def infer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_format("run_date", "yyyy.MM.dd"),
         ).alias("path")
     )
-    return paths.distinct().withColumn("source", rn.infer_source(F.col("path"), ORDERS))
+    return rn.infer_source(paths.distinct(), ORDERS)
 
 
 # --------------------------------------------------------------------------------------------

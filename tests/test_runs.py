@@ -145,13 +145,17 @@ def test_folder_templates(spark):
 
 
 def test_source_from_path(spark):
-    other = Source(**{**BY_ID.sources[0].__dict__, "name": "OTHER"})
-    config = Config(sources=[BY_ID.sources[0], other])
-    df = spark.createDataFrame(
-        [("/x/acme_supplies/d",), ("/x/d",), ("/other/acme_supplies",)], "p string")
-    got = [r[0] for r in df.select(rn.infer_source(F.col("p"), config)).collect()]
-    assert got == ["ACME_SUPPLIES", None, None]
-    assert df.select(rn.infer_source(F.col("p"), BY_ID)).distinct().count() == 1
+    config = Config(sources=[
+        Source(**{**BY_ID.sources[0].__dict__, "name": n}) for n in ("Mill", "Windmill", "qx", "a b")
+    ])
+    expected = {
+        "/in/MILL 2024/x": "Mill", "/in/old qx": "qx", "/in/A B/c": "a b", "/in/windmill/x": None,
+        "/in/qx/mill": None, "/in/mil/l": None, "/qx/qx": "qx", "/": None, None: None, "q/x": None,
+    }
+    df = spark.createDataFrame([(p,) for p in expected] * 2, "path string")
+    got = rn.infer_source(df, config).collect()
+    assert len(got) == 2 * len(expected) and {r.path: r.source for r in got} == expected
+    assert {r.source for r in rn.infer_source(df, BY_ID).collect()} == {NAME}
 
 
 def test_stages_go_when_their_work_is_done(spark, tmp_path):
