@@ -79,7 +79,7 @@ def classify(messages: DataFrame, config: Config) -> DataFrame:
     """
     spark = messages.sparkSession
     subject, names = F.coalesce("subject", F.lit("")), attachment_names()
-    keyed = messages.withColumn("_key", F.md5(F.to_json(F.struct(subject.alias("s"), names.alias("n")))))
+    keyed = messages.drop("source").withColumn("_key", F.md5(F.to_json(F.struct(subject.alias("s"), names.alias("n")))))
     distinct = keyed.select(
         F.col("_key").alias("key"), subject.alias("subject"), names.alias("names")
     ).dropDuplicates(["key"])
@@ -319,9 +319,7 @@ def fetch_summary(
     matched = F.col("_source").isNotNull()
     if only:
         matched = matched & (F.lower("_source") == only.lower())
-    classes = messages.select(
-        classify(config, F.col("subject"), attachment_names()).alias("_source")
-    )
+    classes = classify(messages, config).select(F.col("source").alias("_source"))
     zero = F.lit(0).cast("long")
     seen = classes.agg(
         F.count("*").alias("messages_seen"),

@@ -31,6 +31,7 @@ PARTS_PER_FILE = 64
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 FILE = "file_path"
 _SPLIT = "split_start"
+_DECODABLE = "is_utf8"
 
 # The inside of a quoted value up to its closing quote; a doubled quote is part of the value.
 _QUOTED = r'[^"]*+(?:""[^"]*+)*+'
@@ -67,6 +68,8 @@ def read_text_lines(
             "*",
             F.col("_metadata.file_path").alias(FILE),
             F.col("_metadata.file_block_start").alias(_SPLIT),
+            # as read: later steps replace what cannot be decoded
+            F.is_valid_utf8("value").alias(_DECODABLE),
             F.monotonically_increasing_id().alias("pos"),
         )
     )
@@ -167,7 +170,7 @@ def assemble_rows(numbered: DataFrame, sep: str = ",") -> DataFrame:
     a stray quote in a large file does not gather the rest of it. Such a file yields only what came
     before the quote.
     """
-    keep = [c for c in numbered.columns if c not in ("value", "pos", "continues", "open")]
+    keep = [c for c in numbered.columns if c not in ("value", "pos", "continues", "open", _DECODABLE)]
     group = [c for c in keep if c != _SPLIT]
     single = numbered.filter("NOT continues AND NOT open").select(*keep, "value")
     pieces = numbered.filter("continues OR open")
@@ -349,6 +352,12 @@ def unterminated_errors(numbered: DataFrame) -> DataFrame:
     )
 
 
+def undecodable_errors(numbered: DataFrame) -> DataFrame:
+    """Files with bytes that are not UTF-8 text: their values would not be what was written."""
+    files = numbered.filter(~F.col(_DECODABLE)).select(*RUN, FILE).distinct()
+    return files.withColumn("error", F.lit("the file is not UTF-8 text"))
+
+
 def data_files(
     spark: SparkSession, path: str | list[str], config: Config, suffix_only: str | None = None
 ) -> DataFrame:
@@ -441,6 +450,7 @@ def read_exports(
         numbered = stage(number_rows(read_text_lines(spark, path, kind), separator), "exports")
         of_kind = assemble_rows(numbered, separator).select(*RUN, FILE, _SPLIT, "row", "cells")
         wrong = too_wide_errors(of_kind).unionByName(unterminated_errors(numbered))
+        wrong = wrong.select(*columns).unionByName(undecodable_errors(numbered).select(*columns))
         rows = of_kind if rows is None else rows.unionByName(of_kind)
         unreadable = wrong if unreadable is None else unreadable.unionByName(wrong)
     if rows is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,7 @@ def report_tables(
 ) -> dict[str, DataFrame]:
     """The tables of a report, by name.
 
-    ``lines`` is the summary as it is read: folder, pairing basis, counts, totals and verdict, by
-    ``pos``. One-sided records are in reading order by ``group_pos, first_seen, ordinal``, unread
+    ``lines`` is the summary as measures: folder, pairing, counts, totals and verdict. One-sided records are in reading order by ``group_pos, first_seen, ordinal``, unread
     lines by ``doc_id, page, line``.
     """
     return {
@@ -59,39 +60,96 @@ def report_tables(
     }
 
 
-def write_partitioned(df: DataFrame, path: str) -> None:
-    """Write rows under their run, replacing what those runs had there before.
+#: Under the root of a report: the lists of current runs, and the name of the one that counts.
+MANIFEST, POINTER = "manifest", "CURRENT"
 
-    Rows of a run are brought together, small runs share a task and large ones are split.
-    """
-    (
-        df.hint("rebalance", *RUN)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN)
-        .parquet(path)
-    )
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """The runs of a report with the version their rows are in; NULL before the first commit."""
+    pointer = f"{root}/{POINTER}"
+    if not _file_system(spark, pointer).exists(_hadoop_path(spark, pointer)):
+        return None
+    version = spark.read.text(pointer).first().value
+    return spark.read.parquet(f"{root}/{MANIFEST}/{version}")
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Swap the pointer in one step: it names the old version or the new one, never neither."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    draft, pointer = _hadoop_path(spark, f"{root}/{POINTER}-{version}"), _hadoop_path(spark, f"{root}/{POINTER}")
+    stream = draft.getFileSystem(conf).create(draft)
+    stream.write(bytearray(version, "utf-8"))
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, options)
 
 
 def write_report(tables: dict[str, DataFrame], root: str, report_id: str) -> dict[str, str]:
     """Write every table of a report; returns where each one is.
 
-    A rerun replaces the runs it covers and no others. A run that no longer has, say, differences
-    writes none, so rows carry the report they belong to and :func:`read_report` shows only those
-    of the run's current one. The summary, which has a row for every run, is written last.
+    A rerun replaces the runs it covers and no others. Its rows go into a version of their own, and
+    so does the list of all runs with the version each is in; then one pointer is swapped to that
+    list. Whatever stops before, the report stays as it was, all of it. Rows of a run are brought
+    together, small runs share a task and large ones are split.
     """
-    paths = {name: f"{root.rstrip('/')}/{name}" for name in tables}
-    for name in sorted(tables, key=lambda n: n == "summary"):
-        write_partitioned(tables[name].withColumn("report_id", F.lit(report_id)), paths[name])
+    root = root.rstrip("/")
+    spark = tables["summary"].sparkSession
+    version = f"{report_id}-{uuid.uuid4().hex}"
+    paths = {name: f"{root}/{name}" for name in tables}
+    for name, rows in tables.items():
+        rows.hint("rebalance", *RUN).write.partitionBy(*RUN).parquet(f"{paths[name]}/version={version}")
+    runs = tables["summary"].select(*RUN).distinct()
+    current = runs.select(*RUN, F.lit(report_id).alias("report_id"), F.lit(version).alias("version"))
+    before = _manifest(spark, root)
+    if before is not None:
+        current = current.unionByName(before.join(runs, RUN, "left_anti"))
+    current.write.parquet(f"{root}/{MANIFEST}/{version}")
+    _point_to(spark, root, version)
     return paths
 
 
 def read_report(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of the current report of every run."""
     root = root.rstrip("/")
-    current = spark.read.parquet(f"{root}/summary").select(*RUN, "report_id")
+    current = _manifest(spark, root)
+    if current is None:
+        raise FileNotFoundError(f"no report has been completed under {root}")
     rows = spark.read.parquet(f"{root}/{name}")
-    return rows.join(current, [*RUN, "report_id"], "left_semi").drop("report_id")
+    return rows.join(current, [*RUN, "version"], "left_semi").drop("version")
+
+
+def drop_old_versions(spark: SparkSession, root: str) -> int:
+    """Delete versions no run is in any more, also those of reports that were never completed.
+
+    Not while a report is being written. Returns how many folders went.
+    """
+    root = root.rstrip("/")
+    current = _manifest(spark, root)
+    # one row a version that is still read, at most one a report
+    used = {r.version for r in current.select("version").distinct().collect()}
+    listed = spark.read.text(f"{root}/{POINTER}").first().value
+    files, gone = _file_system(spark, root), 0
+    for table in files.listStatus(_hadoop_path(spark, root)):
+        if not table.isDirectory():
+            continue
+        for folder in files.listStatus(table.getPath()):
+            name = folder.getPath().getName().removeprefix("version=")
+            stays = name == listed if table.getPath().getName() == MANIFEST else name in used
+            if folder.isDirectory() and not stays:
+                files.delete(folder.getPath(), True)
+                gone += 1
+    return gone
 
 
 def write_overview(overview: DataFrame, path: str) -> None:

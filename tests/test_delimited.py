@@ -176,6 +176,20 @@ def test_every_data_file_gives_records_or_an_error(spark, tmp_path):
     }
 
 
+def test_bytes_that_are_no_text_are_an_error(spark, tmp_path):
+    text = "Date,Description,Quantity,Amount\n" + "1,Käse,3,4\n" * 3
+    put(tmp_path, "2026-03-02", "good.csv", text)
+    for day, encoding in (("2026-03-03", "latin-1"), ("2026-03-04", "utf-16")):
+        put(tmp_path, day, "bad.csv", "")
+        (tmp_path / "source=S" / f"run_date={day}" / "bad.csv").write_bytes(text.encode(encoding))
+    records, errors = read_exports(spark, str(tmp_path), CONFIG)
+    assert {(str(r.run_date), r.description) for r in records.collect()} == {("2026-03-02", "Käse")}
+    found = {(str(e.run_date), e.error) for e in errors.collect()}
+    for day in ("2026-03-03", "2026-03-04"):
+        assert (day, "the file is not UTF-8 text") in found
+    assert all(day != "2026-03-02" for day, _ in found)
+
+
 def test_separators_are_taken_literally(spark, tmp_path):
     put(tmp_path, "2026-03-02", "a.csv", 'Date|Description|Quantity|Amount\n1|"b|c"|3|4\n')
     rows = scan_delimited(spark, str(tmp_path), sep="|").orderBy("row").collect()

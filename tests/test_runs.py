@@ -11,6 +11,7 @@ from pairwright.operators.pairing import RUN, differences_worklist, one_sided
 from pairwright.plans.reconcile import Inputs, compute_again, reconcile_range, reconcile_run
 from pairwright.session import Stages, shared_dir
 from pairwright.sources.files import (
+    drop_old_versions,
     list_files,
     read_report,
     report_tables,
@@ -125,6 +126,35 @@ def test_a_rerun_replaces_only_its_own_runs(spark, tmp_path):
     assert files.filter("suffix = '.parquet'").count() > 0
 
 
+def test_a_report_that_fails_midway_leaves_the_old_one(spark, tmp_path):
+    root = str(tmp_path / "report")
+    out = reconcile_range(inputs(spark, BOTH), BY_ID, days(spark, DAY))
+    tables = report_tables(out.results, out.pairs, out.unread, out.records, BY_ID)
+    with pytest.raises(FileNotFoundError, match="no report"):
+        read_report(spark, root, "summary")
+    write_report(tables, root, "first")
+
+    def shown():
+        return {n: read_report(spark, root, n).orderBy(*tables[n].columns).collect()
+                for n in ("summary", "lines", "matched", "differences", "unmatched")}
+
+    before = shown()
+    assert all(before.values())
+    broken = {
+        "summary": tables["summary"].withColumn("matched", F.lit(99).cast("long")),
+        "differences": tables["differences"].limit(0),
+        "matched": tables["matched"].withColumn("date", F.raise_error(F.lit("disk full"))),
+    }
+    with pytest.raises(Exception, match="disk full"):
+        write_report(broken, root, "second")
+    assert shown() == before
+    write_report({**tables, "summary": broken["summary"]}, root, "third")
+    assert [r.matched for r in read_report(spark, root, "summary").collect()] == [99]
+    # the folders of the first report, and those the second one had begun
+    assert drop_old_versions(spark, root) >= 7
+    assert shown() == before | {"summary": read_report(spark, root, "summary").collect()}
+
+
 def test_weekdays(spark):
     friday = F.lit(dt.date(2026, 3, 6))
     got = spark.range(1).select(first_weekdays(friday, 3), weekdays_between(friday, friday)).first()
