@@ -180,6 +180,21 @@ def attachments_of(messages: DataFrame, config: Config) -> DataFrame:
     )
 
 
+#: Keys of new attachments that are sent to all tasks: some 20 MB at most.
+FEW_KEYS = 100_000
+
+
+def narrowed(archive: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of an archive that share their key with something new.
+
+    The archive has everything ever filed, what is new is often one day. When its keys are few, by
+    count, they go to where the archive is read, and the rest of the archive is not shuffled.
+    """
+    keys = new.select(*on).distinct()
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return archive.join(F.broadcast(keys) if few else keys, list(on), "left_semi")
+
+
 def first_with_content(
     candidates: DataFrame, filed: DataFrame | None = None
 ) -> DataFrame:
@@ -213,8 +228,9 @@ def first_with_content(
             F.lit(None).cast(kinds["pos"]).alias("pos"),
             F.col("path"),
         )
+        known = filed.filter("content_hash IS NOT NULL")
         parts = parts.unionByName(
-            filed.filter("content_hash IS NOT NULL")
+            narrowed(known, candidates, ["root", "content_hash"])
             .groupBy("root", F.col("content_hash").alias("_content"))
             .agg(F.min_by(old, "path").alias("_first"))
             .withColumn("_salt", F.lit(-1))
@@ -262,8 +278,12 @@ def filing_plan(
     """
     arrived = attachments_of(classified(messages, config, only), config)
     kept = arrived.filter("skipped_reason IS NULL")
+    names_there = None
+    if filed is not None:
+        # read for its keys and to be judged
+        kept = stage(kept, "kept")
+        names_there = narrowed(filed.select("folder", "filename"), kept, ["folder"])
     judged = stage(first_with_content(kept, filed), "judged")
-    names_there = None if filed is None else filed.select("folder", "filename")
     stored = stage(
         number_names(judged.filter("is_first"), names_there, stage).withColumn(
             "path", F.concat_ws("/", "folder", "stored_name")

@@ -188,3 +188,38 @@ def column_start_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("source", F.rint("x0").cast("long").alias("x0")).agg(
         F.count("*").alias("words")
     )
+
+
+#: Positions further apart than this, in points, do not belong to one column.
+COLUMN_GAP = 3
+#: A proposed column has at least one word in so many of the fullest one.
+COLUMN_SHARE = 20
+
+
+def propose_columns(words: DataFrame) -> DataFrame:
+    """Columns a source's statements seem to have: ``start``, ``stop``, ``words``, ``permille``.
+
+    The positions words start at fall into segments with gaps between them; a segment is a column
+    if it has enough words. ``permille`` compares it with the fullest segment of the source. Positions
+    are whole points of a page, so few rows are left to be put in order per source.
+    """
+    by_source = Window.partitionBy("source")
+    along = by_source.orderBy("x0")
+    before = F.lag("x0").over(along)
+    starts = column_start_counts(words).withColumn(
+        "_opens", (before.isNull() | (F.col("x0") - before > COLUMN_GAP)).cast("int")
+    )
+    segments = (
+        starts.withColumn("_segment", F.sum("_opens").over(along))
+        .groupBy("source", "_segment")
+        .agg(
+            F.min("x0").alias("start"), F.max("x0").alias("stop"), F.sum("words").alias("words")
+        )
+    )
+    fullest = F.max("words").over(by_source)
+    return (
+        segments.withColumn("permille", F.floor(F.col("words") * 1000 / fullest))
+        .withColumn("_enough", F.col("words") * COLUMN_SHARE >= fullest)
+        .filter("_enough")
+        .select("source", "start", "stop", "words", "permille")
+    )

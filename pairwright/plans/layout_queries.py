@@ -238,6 +238,25 @@ def layout_start_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.column_start_counts(order_words(spark, sf_dir))
 
 
+@query(
+    "layout_proposal",
+    f"""{_WORDS},
+    starts AS (SELECT source, CAST(round_even(w.x0, 0) AS BIGINT) AS x0, count(*) AS words
+        FROM words GROUP BY ALL),
+    gaps AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY source ORDER BY x0) <= 3 THEN 0
+        ELSE 1 END AS opens FROM starts),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY x0) AS segment FROM gaps),
+    segments AS (SELECT source, min(x0) AS start, max(x0) AS stop, CAST(sum(words) AS BIGINT) AS words
+        FROM numbered GROUP BY source, segment),
+    compared AS (SELECT *, max(words) OVER (PARTITION BY source) AS fullest FROM segments)
+    SELECT source, start, stop, words, words * 1000 // fullest AS permille FROM compared
+    WHERE words * 20 >= fullest""",
+)
+def layout_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the columns of each source's statements seem to start."""
+    return ly.propose_columns(order_words(spark, sf_dir))
+
+
 @query(
     "marker_predicate",
     """SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'the of')

@@ -126,6 +126,19 @@ def test_files_already_filed_come_first(spark):
     assert rows["n.pdf"].path == "/out/S/S 2026.03.02/n (2).pdf"
 
 
+def test_the_archive_is_narrowed_before_it_is_shuffled(spark, monkeypatch):
+    new = spark.createDataFrame([("/out/S", "a"), ("/out/S", "b")], "root string, content_hash string")
+    archive = spark.range(1000).selectExpr(
+        "'/out/S' AS root", "if(id % 500 = 0, 'a', cast(id AS string)) AS content_hash", "id")
+    small = ar.narrowed(archive, new, ["root", "content_hash"])
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.id for r in small.collect()) == [0, 500]
+    # beyond the bound the keys are not sent around, and the rows are the same
+    monkeypatch.setattr(ar, "FEW_KEYS", 1)
+    assert sorted(r.id for r in ar.narrowed(archive, new, ["root", "content_hash"]).collect()) == [0, 500]
+
+
 def test_unknown_content_equals_nothing(spark):
     files = [("x.pdf", 20000, None), ("y.pdf", None, None), ("z.pdf", None, "a"), ("w.pdf", 9000, "a")]
     m = messages(spark, ("Weekly Ledger", 2, files))

@@ -94,3 +94,12 @@ def test_probe_can_hide_the_values(spark):
 def test_unmarked_statement_is_read_from_the_first_line(spark):
     rows = words_of([[("x", 110)]] * 3, source="S")
     assert read(spark, rows).filter(F.col("is_record")).count() == 3
+
+
+def test_columns_are_proposed_where_words_start(spark):
+    lines = [[("x", 40 + k % 3), ("y", 110.4), ("z", 300 if k else 215)] for k in range(60)]
+    lines[0].append(("stray", 500))
+    words = spark.createDataFrame(words_of(lines, source="S"), WORD)
+    got = sorted(tuple(r) for r in ly.propose_columns(words).collect())
+    assert got == [("S", 40, 42, 60, 1000), ("S", 110, 110, 60, 1000), ("S", 300, 300, 59, 983)]
+    assert ly.propose_columns(words.limit(0)).count() == 0
