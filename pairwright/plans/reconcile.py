@@ -92,8 +92,8 @@ def reconcile_range(
         inventory(expected, inputs.arrivals, config).join(one_error, RUN, "left"), "runs"
     )
     checkable = runs.filter(F.col("complete") & F.col("error").isNull()).select(*RUN)
-    few = runs.limit(FEW_RUNS + 1).count() <= FEW_RUNS
-    first, last = calendar.agg(F.min("run_date"), F.max("run_date")).first()
+    many, first, last = runs.agg(F.count("*"), F.min("run_date"), F.max("run_date")).first()
+    few = many <= FEW_RUNS
     in_span = F.col("source").isin([s.name for s in config.only(only)]) & F.col(
         "run_date"
     ).between(F.lit(first), F.lit(last))
