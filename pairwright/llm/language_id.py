@@ -24,7 +24,6 @@ rows get the same result; an empty table gives no rows; a column named like the
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +31,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +47,8 @@ PIECE, CUT = 32, "\0"
 #: Words of a block, words a worker remembers, and words handled at a time.
 BLOCK, REMEMBERED, AT_A_TIME = 128, 200_000, 500_000
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+# Letters with the marks that stand on them; numerals such as ½, ² or Ⅷ are none.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+")
 
 
 def words_of(text: str | None) -> list[str]:

@@ -95,6 +95,12 @@ def test_forward_backward_equals_enumeration(monkeypatch):
         np.testing.assert_allclose(language_id.marginals(emit, begins, moves, first), expected)
 
 
+def test_words_are_letters_with_their_marks():
+    assert language_id.words_of("½ ① ² Ⅷ 12 _ '’") == []
+    assert language_id.words_of("x² हिन्दी o’clock d'’y") == ["x", "हिन्दी", "o’clock", "d", "y"]
+    assert language_id.words_of("e\u0301te\u0301") == ["e\u0301te\u0301"]
+
+
 def test_language_of_texts_and_of_words_in_mixed_text():
     rows, _ = corpus.documents(seed=4, count=300)
     model = language_id.fit([(r[1], r[2]) for r in rows[:200] if "changed" not in r[1]])
