@@ -12,8 +12,9 @@ Equal lines are one class first, however many there are. Lines below the first l
 README has figures). Blank lines are never removed. Of each component of copies the first line, by document id and
 place, stays.
 
-Defined results: NULL and empty texts have no lines that could be removed; repeated rows share an id
-and a place, so both keep or lose a line together; rows without an id take no part and keep all
+Defined results: NULL and empty texts have no lines that could be removed; repeated rows share an id,
+a text and a place, so both keep or lose a line together; different texts under one id are documents
+of their own; rows without an id take no part and keep all
 lines; an empty table gives no rows; texts of any length are cut into lines and compared whole;
 columns named like the results are replaced.
 """
@@ -213,11 +214,12 @@ def links_of_tiles(budgets: Budgets):
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, line) of all lines that are not blank."""
+    """(id, version, place, line) of all lines that are not blank; a version is a text of an id."""
     return (
         docs.filter(F.col(f"`{id_col}`").isNotNull())
         .select(
             F.col(f"`{id_col}`").alias("id"),
+            F.xxhash64(F.col(f"`{text_col}`")).alias("version"),
             F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("place", "line"),
         )
         .filter(F.length(F.trim("line")) > 0)
@@ -270,36 +272,35 @@ def connecting_links(
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budgets: Budgets = BUDGETS
 ) -> DataFrame:
-    """(id, place) of the lines to remove, each once."""
+    """(id, version, place) of the lines to remove, each once."""
     lines = lines_of(docs, id_col, text_col)
-    hashed = lines.select("id", "place", F.md5("line").alias("digest"))
+    digest = F.unhex(F.md5("line")).alias("digest")
+    hashed = lines.select("id", "version", "place", digest)
     classes = materialize(
         lines.groupBy("line")
-        .agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("id", "version", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
         .withColumn("number", F.monotonically_increasing_id())
-        .withColumn("length", F.length("line")),
+        .withColumn("length", F.length("line"))
+        .withColumn("digest", digest),
         "lines",
     )
     long = classes.filter(F.col("length") >= budgets[0][0])
     index = keyed(long, budgets, index_entries, growth=False)
     probe = keyed(long, budgets, probes, growth=True)
     links = connecting_links(index, probe, long.select("number", "line"), budgets)
-    grouped = components(links)
-    joined = classes.join(grouped.withColumnRenamed("node", "number"), "number").select(
-        "line", "first", "component"
+    grouped = components(links).withColumnRenamed("node", "number")
+    # from here on lines are their digests: no text is shuffled again
+    named = classes.select("number", "digest", "first", "n")
+    joined = named.join(grouped, "number", "left")
+    joined = joined.filter("n > 1 or component is not null").withColumn(
+        "component", F.coalesce("component", "number")
     )
     heads = joined.groupBy("component").agg(F.min("first").alias("head"))
-    near = joined.join(heads, "component").select(F.md5("line").alias("digest"), "head")
-    alone = (
-        classes.filter("n > 1")
-        .join(grouped.withColumnRenamed("node", "number"), "number", "leftanti")
-        .select(F.md5("line").alias("digest"), F.col("first").alias("head"))
-    )
-    kept = near.union(alone)
+    kept = joined.join(heads, "component").select("digest", "head")
     return (
         hashed.join(kept, "digest")
-        .filter(F.struct("id", "place") != F.col("head"))
-        .select("id", "place")
+        .filter(F.struct("id", "version", "place") != F.col("head"))
+        .select("id", "version", "place")
         .distinct()
     )
 
@@ -313,7 +314,7 @@ def without_repeats(
     """
     removed = (
         repeated_lines(docs, id_col, text_col, budgets)
-        .groupBy(F.col("id").alias("_line_owner"))
+        .groupBy(F.col("id").alias("_line_owner"), F.col("version").alias("_line_version"))
         .agg(F.array_sort(F.collect_set("place")).alias("_line_places"))
     )
     text = F.col(f"`{text_col}`")
@@ -322,9 +323,15 @@ def without_repeats(
     stays = F.filter(lines, lambda x, k: ~F.array_contains(places, k))
     counted = put(
         docs,
-        {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")},
+        {
+            "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            "_line_text": F.xxhash64(text),
+        },
+    )
+    same = (F.col(f"`{id_col}`") == F.col("_line_owner")) & (
+        F.col("_line_text") == F.col("_line_version")
     )
-    joined = counted.join(removed, F.col(f"`{id_col}`") == F.col("_line_owner"), "left")
+    joined = counted.join(removed, same, "left")
     return put(
         joined,
         {
@@ -332,4 +339,4 @@ def without_repeats(
             "removed": places,
             text_col: F.when(F.size(places) == 0, text).otherwise(F.array_join(stays, "\n")),
         },
-    ).drop("_line_owner", "_line_places")
+    ).drop("_line_owner", "_line_version", "_line_text", "_line_places")

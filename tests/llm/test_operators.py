@@ -396,6 +396,27 @@ def test_lines_of_all_lengths_have_an_edit_budget(spark):
     assert {lines.index("Are. Is anwh reenen."), lines.index("With, and.")} <= got
 
 
+def test_lines_of_different_texts_under_one_id(spark):
+    """Only the text that has the repeated line at a place loses it."""
+    shared = "a line that several of the documents have in common"
+    rows = [
+        (1, f"{shared}\nsomething of the first document alone"),
+        (2, f"an opening that is found nowhere else at all\n{shared}"),
+        (2, f"{shared}\nan ending that is found nowhere else, either"),
+        (2, f"{shared}\nan ending that is found nowhere else, either"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in line_dedup.without_repeats(docs).collect())
+    assert got == sorted(
+        [
+            rows[0],
+            (2, "an opening that is found nowhere else at all"),
+            (2, "an ending that is found nowhere else, either"),
+            (2, "an ending that is found nowhere else, either"),
+        ]
+    )
+
+
 # -- embeddings ------------------------------------------------------------------------------
 
 
