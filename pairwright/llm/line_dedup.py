@@ -21,13 +21,12 @@ columns named like the results are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.frames import put
@@ -40,19 +39,18 @@ Budgets = tuple[tuple[int, int], ...]
 BUDGETS: Budgets = ((8, 1), (LEAST_LENGTH, EDITS), (300, 3))
 #: Lines of a key compared in one piece, and classes of characters that are counted.
 TILE, CLASSES = 4096, 16
+#: Characters whose keys are made at a time, and the base of the hashes of substrings (odd).
+AT_A_TIME, BASE = 100_000, 0xD1342543DE82EF95
 
 
-def segment(length: Column, number: int, edits: int = EDITS) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment of lines of this length; later ones may be longer."""
-    base = F.floor(length / (edits + 1)).cast("int")
+def segment(
+    length: np.ndarray, number: np.ndarray, edits: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Start (from 0) and size of a segment of lines of these lengths; later ones may be longer."""
+    base = length // (edits + 1)
     longer = length - base * (edits + 1)  # so many of the last segments have one more
-    extra = F.greatest(longer - (edits - number) - 1, F.lit(0))
-    size = base + F.when(longer > edits - number, 1).otherwise(0)
-    return base * number + extra, size
-
-
-def entry(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), F.substring(line, start + 1, size))
+    extra = np.maximum(longer - (edits - number) - 1, 0)
+    return base * number + extra, base + (longer > edits - number)
 
 
 def allowed(length: int, budgets: Budgets = BUDGETS) -> int:
@@ -60,46 +58,110 @@ def allowed(length: int, budgets: Budgets = BUDGETS) -> int:
     return max((edits for least, edits in budgets if length >= least), default=0)
 
 
-def index_entries(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys of a line's segments; its length is a column, since it is used over and over."""
-    return F.array(
-        *[
-            entry(line, length, k, *segment(length, k, edits))
-            for k in range(edits + 1)
-        ]
-    )
+#: What a line is looked up by: how much shorter the other line is, which of its segments, and how
+#: far that has moved.
+Place = tuple[int, int, int]
+
+
+def index_places(edits: int) -> list[Place]:
+    """The segments of a line itself."""
+    return [(0, k, 0) for k in range(edits + 1)]
 
 
-def probes(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys a line looks for: segments of lines as long as it or up to ``edits`` shorter."""
-    wanted = []
+def probe_places(edits: int) -> list[Place]:
+    """Segments of lines as long as a line or up to ``edits`` shorter, wherever they can stand."""
+    found = []
     for shorter in range(edits + 1):
-        other = length - shorter
         for k in range(edits + 1):
-            start, size = segment(other, k, edits)
             # k edits may be to the left of segment k, the rest to its right; a line that gives
             # each segment a character has room for that at either end
             low = max(-k, shorter - (edits - k))
             high = min(k, shorter + (edits - k))
-            for move in range(low, high + 1):
-                wanted.append(entry(line, other, k, start + move, size))
-    return F.array(*wanted)
+            found += [(shorter, k, move) for move in range(low, high + 1)]
+    return found
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
 
+def powers(base: int, count: int) -> np.ndarray:
+    """The first powers of a number modulo 2^64."""
+    found = np.full(count, base, np.uint64)
+    found[:1] = 1
+    return np.multiply.accumulate(found, out=found)
 
-def keyed(lines: DataFrame, budgets: Budgets, keys, growth: bool) -> DataFrame:
-    """(number, key) of the lines, or of those they may be copies of, by the edits of each length.
+
+class Substrings:
+    """Hashes of substrings of lines, each from two prefix sums.
+
+    A prefix sum adds the character at place k times ``BASE`` to the k, modulo 2^64, so the
+    difference of two sums divided by the power of the start depends on the substring alone.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.length = np.array([len(x) for x in lines], np.int64)
+        self.begins = np.cumsum(self.length) - self.length
+        longest = int(self.length.max(initial=0)) + 1
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        places = np.arange(len(codes)) - np.repeat(self.begins, self.length)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        values = (codes + np.uint64(1)) * powers(BASE, longest)[places]
+        np.cumsum(values, out=self.sums[1:])
+        self.inverse = powers(pow(BASE, -1, 2**64), longest)
+
+    def hashes(self, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        length, begins = self.length[which], self.begins[which]
+        start = np.clip(start, 0, length)
+        end = np.minimum(start + size, length)
+        return (self.sums[begins + end] - self.sums[begins + start]) * self.inverse[start]
+
+
+def keys_of(
+    lines: list[str], budgets: Budgets, places: Callable[[int], list[Place]], growth: bool
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(line, key) for all places of the lines, or of those they may be copies of, by the edits of
+    each length.
 
     Lines a little longer than a budget goes also probe it. Keys of lengths beyond it find nothing,
     or lines that are verified as all others.
     """
+    text = Substrings(lines)
     found = []
     for (least, edits), above in zip(budgets, [*budgets[1:], None], strict=True):
-        some = F.col("length") >= least
+        some = text.length >= least
         if above:
-            some &= F.col("length") < above[0] + (edits if growth else 0)
-        key = F.explode(keys(F.col("line"), F.col("length"), edits)).alias("key")
-        found.append(lines.filter(some).select("number", key))
-    return reduce(DataFrame.union, found)
+            some &= text.length < above[0] + (edits if growth else 0)
+        which = np.flatnonzero(some)
+        shorter, number, move = np.array(places(edits))[:, :, None].transpose(1, 0, 2)
+        other = text.length[which] - shorter  # a row for each place, a column for each line
+        start, size = segment(other, number, edits)
+        kind = spread(((other << 8) + number).astype(np.uint64))
+        key = spread(text.hashes(which, start + move, size) ^ kind).view(np.int64)
+        found.append((np.broadcast_to(which, key.shape).ravel(), key.ravel()))
+    return found
+
+
+def keyed(lines: DataFrame, budgets: Budgets, places, growth: bool) -> DataFrame:
+    """(number, key) of the lines, or of those they may be copies of."""
+
+    def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            number, line = batch.number.to_numpy(), batch.line.tolist()
+            ends = np.cumsum([len(x) for x in line]) // AT_A_TIME
+            cuts = (np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist()
+            for a, b in pairwise([0, *cuts, len(line)]):
+                found = keys_of(line[a:b], budgets, places, growth)
+                yield pd.DataFrame(
+                    {
+                        "number": np.concatenate([number[a:b][which] for which, _ in found]),
+                        "key": np.concatenate([key for _, key in found]),
+                    }
+                )
+
+    return lines.select("number", "line").mapInPandas(of_partition, "number long, key long")
 
 
 def within(one: str, two: str, edits: int = EDITS) -> bool:
@@ -285,8 +347,8 @@ def repeated_lines(
         "lines",
     )
     long = classes.filter(F.col("length") >= budgets[0][0])
-    index = keyed(long, budgets, index_entries, growth=False)
-    probe = keyed(long, budgets, probes, growth=True)
+    index = keyed(long, budgets, index_places, growth=False)
+    probe = keyed(long, budgets, probe_places, growth=True)
     links = connecting_links(index, probe, long.select("number", "line"), budgets)
     grouped = components(links).withColumnRenamed("node", "number")
     # from here on lines are their digests: no text is shuffled again
