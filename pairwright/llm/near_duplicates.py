@@ -18,9 +18,10 @@ copies thus gives as many rows as it has members. Keys with many members are cut
 bounded size.
 
 Defined results: NULL, empty and blank texts have an empty set and link with nothing; a text of
-fewer than five words is one shingle; copies and texts with equal sets are linked; rows that share
-an id are one document; a row without an id has no component and is kept; an empty table gives no
-rows; other columns of the input play no part.
+fewer than five words is one shingle; copies and texts with equal sets are linked; different texts
+under one id are documents of their own, and of those that are linked one is kept; equal rows get
+equal results; a row without an id has no component and is kept; an empty table gives no rows; other
+columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sizes, digests, least = [], [], []
         for values in sets:
             sizes.append(len(values))
-            digests.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
+            digests.append(digest_of(values))
             least.append(minima(values))
         least = np.array(least, np.uint32).reshape(-1, PERMUTATIONS)
         yield pd.DataFrame(
@@ -144,10 +145,17 @@ def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         )
 
 
-def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def digest_of(values: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None
+
+
+def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for texts in batches:
-        yield pd.Series([shingles(t, hashes).view(np.int64) for t in texts], dtype=object)
+        sets = [shingles(t, hashes) for t in texts]
+        yield pd.DataFrame(
+            {"digest": [digest_of(x) for x in sets], "set": [x.view(np.int64) for x in sets]}
+        )
 
 
 def forest(rows: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -297,22 +305,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: int = 75,
+    version: str | None = None,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ids are whole numbers.
 
-    ``threshold`` is the similarity in percent.
+    ``threshold`` is the similarity in percent. With ``version`` there is a column of that name, a
+    hash of the row's text, which with the id tells the rows of one id apart.
     """
     least = threshold / 100 - MARGIN
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = materialize(
-        texts.select("id", F.pandas_udf(signatures, SIGNATURE)("text").alias("s")).select("id", "s.*"), "signatures"
+        texts.select(
+            "id",
+            F.xxhash64("text").alias("version"),
+            F.pandas_udf(signatures, SIGNATURE)("text").alias("s"),
+        ).select("id", "version", "s.*"),
+        "signatures",
     )
     usable = signed.filter("digest is not null and id is not null")
-    classes = materialize(usable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    # equal sets are one class, whatever their ids; from here on a document is its class's number
+    classes = materialize(
+        usable.groupBy("digest")
+        .agg(F.min(F.struct("id", "version")).alias("first"))
+        .select("digest", "first", "first.id", F.monotonically_increasing_id().alias("rep")),
+        "classes",
+    )
     reps = materialize(
-        usable.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"])
-        .select(F.col("id").alias("rep"), "signature", "bands")
+        usable.join(classes, ["digest", "id"])
+        .select("rep", "signature", "bands")
         .dropDuplicates(["rep"]),
         "reps",
     )
@@ -327,13 +351,18 @@ def near_duplicates(
         .distinct(),
         "pairs",
     )
-    wanted = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
+    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
+    wanted = materialize(classes.join(wanted.hint("merge"), "rep", "leftsemi"), "wanted")
     # every document of a later candidate pair has a pair here as well; the ids grow with the
     # documents, so they are never broadcast, however few they are
+    found = F.pandas_udf(shingle_sets, "digest binary, set array<bigint>")
     sets = materialize(
-        texts.join(wanted.hint("merge"), "id", "leftsemi")
-        .dropDuplicates(["id"])
-        .select("id", F.pandas_udf(shingle_sets, "array<bigint>")("text").alias("set")),
+        texts.join(wanted.select("id").distinct().hint("merge"), "id", "leftsemi")
+        .select("id", found("text").alias("s"))
+        .select("id", "s.*")
+        .join(wanted.hint("merge"), ["id", "digest"])
+        .dropDuplicates(["rep"])
+        .select(F.col("rep").alias("id"), "set"),
         "sets",
     )
     links = materialize(confirmed(first, sets, threshold), "links")
@@ -362,17 +391,20 @@ def near_duplicates(
         )
         if not more.isEmpty():
             grouped = components(links.union(more))
-    return (
-        signed.join(classes, "digest", "left")
-        .join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn(
-            "component_id",
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")),
-        )
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            "component_id",
-            F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-        )
+    # of each component the first id, and of different texts under it the one of the least hash
+    placed = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    headed = placed.join(heads, "component").select("digest", "head")
+    return signed.join(headed, "digest", "left").select(
+        F.col("id").alias(id_col),
+        *([F.col("version").alias(version)] if version else []),
+        "n_shingles",
+        F.when(F.col("id").isNotNull(), F.coalesce("head.id", "id")).alias("component_id"),
+        (
+            F.col("id").isNull()
+            | F.col("head").isNull()
+            | (F.struct("id", "version") == F.col("head"))
+        ).alias("kept"),
     )

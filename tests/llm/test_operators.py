@@ -337,6 +337,29 @@ def test_banded_distance():
         assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits)
 
 
+def test_different_texts_under_one_id(spark):
+    """No link is lost, no clean text goes, and of linked texts one stays, in every run."""
+    rng = random.Random(29)
+    one, two, three = (corpus.prose(rng, "en", 60) for _ in range(3))
+    rows = [
+        (1, one), (1, two), (3, two + " more"), (4, three), (4, three), (4, three.upper()),
+        (4, three + " end"), (5, three), (5, one), (6, None), (6, ""), (None, three),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.lit(0))
+    got = [tuple(r) for r in near_duplicates.near_duplicates(docs.repartition(3)).collect()]
+    assert sorted((i, c) for i, _, c, _ in got if i) == [
+        (1, 1), (1, 1), (3, 1), (4, 4), (4, 4), (4, 4), (4, 4), (5, 1), (5, 4), (6, 6), (6, 6),
+    ]
+    stay = [
+        sorted(str(tuple(r)) for r in corpus_pipeline.drop_near_copies(spark, d, "").collect())
+        for d in (docs, docs.orderBy(F.desc("text")).repartition(4))
+    ]
+    assert stay[0] == stay[1]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} >= {(1, one), (1, two), (6, None), (6, ""), (None, three)}
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "1", "4", "6", "6", "None"]
+
+
 @pytest.mark.parametrize("tile", [line_dedup.TILE, 3])
 def test_lines_removed(spark, monkeypatch, tile):
     monkeypatch.setattr(line_dedup, "TILE", tile)
