@@ -35,11 +35,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_duplicates.near_duplicates(docs)
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "leftanti").select(docs.columns)
-    named = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.filter("doc_id is null"))
+    """A document is an id with its text; of rows equal in both the least one stays."""
+    version = fresh(docs, "version")
+    judged = near_duplicates.near_duplicates(docs, version=version)
+    gone = judged.filter(~F.col("kept")).select("doc_id", version).distinct()
+    rest = docs.withColumn(version, F.xxhash64("text")).join(gone, ["doc_id", version], "leftanti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    named = rest.filter("doc_id is not null").groupBy("doc_id", version).agg(
+        F.min(whole).alias("doc")
+    )
+    return named.select("doc.*").unionByName(rest.filter("doc_id is null").select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
