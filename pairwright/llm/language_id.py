@@ -14,8 +14,9 @@ the chain is cut into blocks, the product of a block's transitions is computed f
 together, the blocks are chained by these products, and then all blocks are filled in together. This
 is exact, and the time does not depend on how long the single texts are.
 
-Training sees a bounded sample (``SAMPLE`` texts a language, of at most ``SAMPLE_BYTES``, and of at
-most ``MOST_LANGUAGES``); prediction reads whole texts.
+Training sees a bounded sample (about ``SAMPLE`` texts a language, of at most ``SAMPLE_BYTES``; of a
+language that has longer texts only, about ``LONG_SAMPLE`` of those, whole); prediction reads whole
+texts. All languages are learned. Texts are handled in batches that shrink as the languages grow.
 
 Defined results: a NULL text and a text without letters are ``und`` with score 0; rows with a NULL
 language are not learned from; if there is nothing to learn from, all texts are ``und``; repeated
@@ -37,15 +38,17 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.frames import put
 
-SAMPLE, SAMPLE_BYTES, MOST_LANGUAGES = 400, 20_000, 200
+SAMPLE, SAMPLE_BYTES, LONG_SAMPLE = 400, 20_000, 10
 #: Hashed features, lexicon words of each language, and the longest character sequence.
 FEATURES, LEXICON, SEQUENCE = 2**15, 500, 4
 #: Training lines a language, their words, and rounds over them.
 LINES, LINE_WORDS, ROUNDS = 400, 24, 4
 #: The most characters of a word that are one node, and the mark of a cut inside a word.
 PIECE, CUT = 32, "\0"
-#: Words of a block, words a worker remembers, and words handled at a time.
+#: Words of a block, and the most words a worker remembers and handles at a time.
 BLOCK, REMEMBERED, AT_A_TIME = 128, 200_000, 500_000
+#: The most numbers, a word's for each language, that it remembers or handles at a time.
+NUMBERS = 4_000_000
 
 # Letters with the marks that stand on them; numerals such as ½, ² or Ⅷ are none.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+")
@@ -119,7 +122,23 @@ def scaled(x: np.ndarray) -> np.ndarray:
 def marginals(
     emissions: np.ndarray, begins: np.ndarray, moves: np.ndarray, first: np.ndarray
 ) -> np.ndarray:
-    """Forward-backward over chains laid end to end; ``begins`` marks their first words."""
+    """The probability of each state for each word of chains laid end to end."""
+    return forward_backward(emissions, begins, moves, first)[0]
+
+
+def forward_backward(
+    emissions: np.ndarray,
+    begins: np.ndarray,
+    moves: np.ndarray,
+    first: np.ndarray,
+    with_pairs: bool = False,
+) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities of words, and how often each state is expected to follow each other.
+
+    Chains are laid end to end; ``begins`` marks their first words. The probability of a pair of
+    states is forward weight, transition, emission and backward weight, over their sum. Pairs are
+    only added up if asked for.
+    """
     count, states = emissions.shape
     blocks = -(-count // BLOCK)
     extra = blocks * BLOCK - count
@@ -155,14 +174,20 @@ def marginals(
         state = scaled(step * seen[:, k])
         ahead[:, k] = state
     state = after
+    pairs = np.zeros((states, states))
     for k in range(BLOCK - 1, -1, -1):
         ahead[:, k] = scaled(ahead[:, k] * state)
         step = seen[:, k] * state
-        state = step @ move.T
         fresh = begins[:, k]
+        if with_pairs and not fresh.all():
+            # the forward weights of the word before are not yet joined with the backward ones
+            left = (ahead[:, k - 1] if k else before)[~fresh]
+            joint = left[:, :, None] * move * step[~fresh][:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        state = step @ move.T
         state[fresh] = (step[fresh] @ start)[:, None]
         state = scaled(state)
-    return ahead.reshape(-1, states)[:count]
+    return ahead.reshape(-1, states)[:count], pairs
 
 
 def training_lines(
@@ -224,7 +249,7 @@ def fit(texts: list[tuple[str, str]]) -> Model | None:
             begins = np.zeros(len(words), bool)
             begins[np.cumsum([0, *[len(line) for line, _ in batch[:-1]]])] = True
             emit = model.emissions(words)
-            likely = marginals(emit, begins, model.moves, model.first)
+            likely, pull = forward_backward(emit, begins, model.moves, model.first, True)
             wrong = likely.copy()
             wrong[np.arange(len(words)), tags] -= 1
             number, starts = word_features(words)
@@ -236,13 +261,8 @@ def fit(texts: list[tuple[str, str]]) -> Model | None:
             np.add.at(slope, FEATURES + known[known >= 0], wrong[known >= 0])
             weight_power += slope**2
             model.weights -= rate * slope / np.sqrt(weight_power)
-            # pairs of neighbours: expected by the model less seen; the pair's probability comes
-            # from its words' own, joined by the transition
+            # pairs of neighbours: expected by the model less seen
             inner = np.flatnonzero(~begins)
-            left, right = likely[inner - 1], likely[inner]
-            joint = left[:, :, None] * softened(model.moves)[None] * right[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pull = joint.sum(axis=0)
             np.add.at(pull, (tags[inner - 1], tags[inner]), -1.0)
             move_power += pull**2
             model.moves -= rate * pull / np.sqrt(move_power)
@@ -273,7 +293,7 @@ class Emissions(dict):
         self.new = []
 
     def forget(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > min(REMEMBERED, NUMBERS // len(self.model.languages)):
             self.clear()
             self.rows = self.rows[:0]
 
@@ -305,6 +325,7 @@ def label_texts(model: Model, texts: list[str | None], known: Emissions) -> list
 def labeller(model: Model | None):
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Emissions(model) if model else None
+        most = min(AT_A_TIME, NUMBERS // len(model.languages)) if model else AT_A_TIME
         for texts in batches:
             out: list[tuple[str, float]] = []
             held: list[str | None] = []
@@ -313,7 +334,7 @@ def labeller(model: Model | None):
                 if text is not ...:
                     held.append(text)
                     length += len(text or "") // 6
-                if held and (text is ... or length >= AT_A_TIME):
+                if held and (text is ... or length >= most):
                     out += label_texts(model, held, known) if model else [("und", 0.0)] * len(held)
                     if known is not None:
                         known.forget()
@@ -335,16 +356,21 @@ def labelled_sample(
     rows = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    usable = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # the commonest languages; their number is bounded, so the list may go to the driver
-    listed = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not listed:
-        return []
-    share = F.create_map(*[F.lit(x) for r in listed for x in (r.lang, most / r.n)])
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    counts = (
+        rows.filter("text is not null")
+        .groupBy("lang")
+        .agg(F.count_if(short).alias("n_short"), F.count(F.lit(1)).alias("n"))
+    )
+    some_short = F.col("n_short") > 0
+    shares = counts.select(
+        "lang",
+        some_short.alias("only_short"),
+        F.when(some_short, most / F.col("n_short")).otherwise(LONG_SAMPLE / F.col("n")).alias("share"),
+    )
     lot = F.pmod(F.xxhash64("id"), F.lit(10**6)) / 10.0**6
-    chosen = usable.filter(lot < share[F.col("lang")]).dropDuplicates(["id"])
-    found = chosen.select("id", "text", "lang").collect()
+    chosen = rows.join(shares, "lang").filter((lot < F.col("share")) & (short | ~F.col("only_short")))
+    found = chosen.dropDuplicates(["id"]).select("id", "text", "lang").collect()
     found.sort(key=lambda r: (r.id, r.lang, r.text))
     return [(r.text, r.lang) for r in found]
 
