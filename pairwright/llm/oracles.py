@@ -84,6 +84,8 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
+    "secret": r"(?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\x22\x27]?\x20{0,3}[=:]"
+    r"\x20{0,3}[\x22\x27]?[A-Za-z0-9+/_=-]{16,}",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -98,6 +100,7 @@ _VALID = {
     "iban": f"""list_reduce(list_prepend(0, list_transform(string_split({_TURNED}, ''),
         lambda c: CASE WHEN c < 'A' THEN c::INT ELSE ascii(c) - 55 END)),
         lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1""",
+    "secret": "regexp_matches(m, '[=:].*[0-9]') AND regexp_matches(m, '[=:].*[A-Za-z]')",
 }
 
 

@@ -1,6 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Kinds: email, ip, card and phone (base kinds), and iban. Matches of a kind are the leftmost ones
+Kinds: email, ip, card and phone (base kinds), iban, and secret (a key, token or password with a value
+of letters and digits, the whole assignment). Matches of a kind are the leftmost ones
 that do not overlap; a match that fails its check is dropped and its text is not tried again. A span
 has a score from 0 to 1: what its kind is worth, raised or lowered by words just before it.
 
@@ -30,6 +31,8 @@ CONTEXT = 40
 RAISE, LOWER = 0.2, 0.3
 
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
+#: Pieces of a text that are read in one run, at least; even.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,14 @@ KINDS = (
         r"iban|account|bank|konto|compte|cuenta",
         r"serial|part no",
     ),
+    Kind(
+        "secret",
+        r"(?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\"']?\x20{0,3}[=:]"
+        r"\x20{0,3}[\"']?[A-Za-z0-9+/_=-]{16,}+",
+        0.8,
+        r"api|auth|access|private|config",
+        r"example of|dummy",
+    ),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 
@@ -118,18 +129,23 @@ def passes(kind: str, match: Column) -> Column:
         return F.length(F.regexp_replace(match, "[^0-9]", "")).between(10, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(match, " ", ""))
+    if kind == "secret":
+        return match.rlike("[=:].*[0-9]") & match.rlike("[=:].*[A-Za-z]")
     return F.lit(True)
 
 
-def spans_of_kind(text: Column, rank: int) -> Column:
-    """The spans of one kind, from the left."""
+def no_spans() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def spans_of_pieces(pieces: Column, rank: int) -> Column:
+    """Characters of some pieces, the first of which is no match, and the spans in them."""
     kind = KINDS[rank]
-    pieces = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK)
     start = F.struct(
         F.lit(0).cast("long").alias("at"),
         F.lit(False).alias("odd"),
         F.lit("").alias("before"),
-        F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"),
+        no_spans().alias("spans"),
     )
 
     def step(acc: Column, piece: Column) -> Column:
@@ -158,7 +174,50 @@ def spans_of_kind(text: Column, rank: int) -> Column:
             spans.alias("spans"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    return F.aggregate(pieces, start, step, lambda acc: F.struct(acc["at"], acc["spans"]))
+
+
+def moved(spans: Column, by: Column) -> Column:
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            (s["start"] + by).alias("start"),
+            s["rank"].alias("rank"),
+            (s["end"] + by).alias("end"),
+            s["kind"].alias("kind"),
+            s["score"].alias("score"),
+        ),
+    )
+
+
+def spans_of_kind(text: Column, rank: int) -> Column:
+    """The spans of one kind, from the left.
+
+    Appending copies what is there already, so a text with many pieces is read in about as many
+    runs of pieces as a run has pieces, and the spans of a run are appended at once.
+    """
+    marked = F.split(F.regexp_replace(text, KINDS[rank].pattern, f"{MARK}$0{MARK}"), MARK)
+
+    def in_runs(pieces: Column) -> Column:
+        # an even number of pieces, so that no run begins with a match
+        width = F.greatest(F.lit(RUN), 2 * F.ceil(F.sqrt(F.size(pieces)) / 2)).cast("int")
+        runs = F.transform(
+            F.sequence(F.lit(1), F.size(pieces), width),
+            lambda first: spans_of_pieces(F.slice(pieces, first, width), rank),
+        )
+        start = F.struct(F.lit(0).cast("long").alias("at"), no_spans().alias("spans"))
+        return F.aggregate(
+            runs,
+            start,
+            lambda acc, run: F.struct(
+                (acc["at"] + run["at"]).alias("at"),
+                F.concat(acc["spans"], moved(run["spans"], acc["at"])).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    # one element, so that the pieces have a name and are made once
+    return F.element_at(F.transform(F.array(marked), in_runs), 1)
 
 
 def find_spans(text: Column) -> Column:
