@@ -10,8 +10,8 @@ say in which block the budget ends, and only that one block of each source has t
 source of any size therefore never meets in one task.
 
 Defined results: NULL and empty texts have size 0 and nothing is taken from them; a NULL source is a
-source, ordered last; a NULL id is drawn like an empty one; repeated rows are drawn one by one; the
-document at the end of the budget is taken if that brings the total nearer to the target; a table
+source, ordered last; a NULL id is drawn like an empty one; repeated rows are drawn one by one, and
+different texts under one id in the order of their digests, so reruns take the same texts; the document at the end of the budget is taken if that brings the total nearer to the target; a table
 without words takes nothing; columns named like a result column are replaced, others are kept.
 """
 
@@ -106,6 +106,7 @@ def mix(
         F.coalesce(F.concat(F.lit("="), named), F.lit("")).alias("key"),
         count_words(text).alias("size"),
         ident.alias("ident"),
+        F.xxhash64(text).alias("digest"),
     )
     w = F.greatest(
         F.col("weight") if weight is not None else quality_weight(F.col("text"), F.col("size")),
@@ -113,7 +114,7 @@ def mix(
     )
     draw = F.pow(unit_interval(F.col("ident"), seed), F.lit(1.0) / w)
     keyed = sized.select(
-        "doc", "source", "key", "size", "ident", draw.alias("draw")
+        "doc", "source", "key", "size", "ident", "digest", draw.alias("draw")
     ).withColumn(
         "block", F.least(F.floor((1 - F.col("draw")) * blocks), F.lit(blocks - 1)).cast("int")
     )
@@ -161,7 +162,7 @@ def mix(
     )
     in_block = (
         Window.partitionBy("key")
-        .orderBy(F.col("draw").desc(), "ident", "size")
+        .orderBy(F.col("draw").desc(), "ident", "size", "digest")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ahead = F.coalesce("reached", F.lit(0)) + F.sum("size").over(in_block) - F.col("size")
