@@ -24,6 +24,7 @@ from pairwright.llm import (
     toxicity,
 )
 from pairwright.llm.frames import SPACED_WORD, count_words, fold, table
+from pairwright.session import materialize, new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,8 +89,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_virtual_slots")
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
-    return placed.select(
+    """Places of all documents; ``next_shard`` is their shard once the map is edited for 17 shards."""
+    docs = table(spark, sf_dir, "documents")
+    path = new_dir(spark, "slot-map")
+    parts = materialize(sharding.part_loads(docs), "slot-parts")
+    placed = sharding.shard_documents(docs, 16, path=path, parts=parts)
+    version = sharding.rebalance(spark, path, sharding.slot_loads(parts), 17)
+    edited = sharding.load_map(spark, path, version)
+    # one row a slot
+    following = F.broadcast(edited.toDF("virtual_slot", "next_shard"))
+    return placed.join(following, "virtual_slot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -99,6 +108,7 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         "map_version",
+        "next_shard",
     )
 
 

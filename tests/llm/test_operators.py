@@ -19,6 +19,7 @@ from pairwright.llm import (
     graph,
     language_id,
     line_dedup,
+    mixing,
     near_duplicates,
     pii,
     sharding,
@@ -95,6 +96,44 @@ def test_forward_backward_equals_enumeration(monkeypatch):
         np.testing.assert_allclose(language_id.marginals(emit, begins, moves, first), expected)
 
 
+def test_slopes_of_transitions_equal_enumeration(monkeypatch):
+    rng = np.random.default_rng(3)
+    emit, moves, first = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    begins = np.array([1, 0, 0, 0, 1, 0, 0], bool)
+
+    def log_total(moves):
+        out = 0.0
+        for a, b in ((0, 4), (4, 7)):
+            weights = [
+                first[tags[0]]
+                + sum(emit[a + k, t] for k, t in enumerate(tags))
+                + sum(moves[x, y] for x, y in itertools.pairwise(tags))
+                for tags in itertools.product(range(3), repeat=b - a)
+            ]
+            out += np.logaddexp.reduce(weights)
+        return out
+
+    step = 1e-5
+    slopes = np.zeros((3, 3))
+    for x, y in itertools.product(range(3), repeat=2):
+        more, less = moves.copy(), moves.copy()
+        more[x, y] += step
+        less[x, y] -= step
+        slopes[x, y] = (log_total(more) - log_total(less)) / (2 * step)
+    for block in (1, 3, 128):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        pairs = language_id.forward_backward(emit, begins, moves, first, True)[1]
+        np.testing.assert_allclose(pairs, slopes, rtol=1e-6)
+
+
+def test_every_language_is_sampled(spark):
+    rows = [(k, f"word{k}", f"l{k % 230:03}") for k in range(460)]
+    rows += [(1000 + k, "long " * 5000, "only-long") for k in range(3)] + [(2000, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(lang for _, lang in language_id.labelled_sample(docs, F.lit(True)))
+    assert len(got) == 231 and got["only-long"] == 3 and got["l007"] == 2
+
+
 def test_words_are_letters_with_their_marks():
     assert language_id.words_of("½ ① ² Ⅷ 12 _ '’") == []
     assert language_id.words_of("x² हिन्दी o’clock d'’y") == ["x", "हिन्दी", "o’clock", "d", "y"]
@@ -190,11 +229,64 @@ def test_shards_are_even_and_growing_moves_slots_only_into_the_new_one(spark, sm
     for x in loads:
         held[grown[x.slot]] += x.bytes
     assert max(held.values()) < 1.01 * min(held.values())
-    path = f"{root}/map"
-    sharding.store_map(spark, path, 1, owner, loads)
-    sharding.store_map(spark, path, 2, grown, loads)
-    stored = {r.slot: r.shard for r in sharding.load_map(spark, path, 2).collect()}
-    assert [stored[k] for k in range(sharding.SLOTS)] == grown
+
+
+def test_records_are_placed_by_the_latest_map_and_rebalancing_stores_the_next(spark, tmp_path):
+    rng = random.Random(6)
+    # one id holds a third of the rows, with texts of its own; ids of any kind for the others
+    rows = [(7 if k % 3 == 0 else k, "x" * rng.randrange(60) + str(k)) for k in range(1500)]
+    rows += [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"{tmp_path}/map"
+
+    def places():
+        got = sharding.shard_documents(docs, 4, slots=256, path=path).collect()
+        by_shard = defaultdict(list)
+        for r in got:
+            by_shard[r.shard].append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+        assert len({r.map_version for r in got}) == 1 and len(got) == len(rows)
+        return got[0].map_version, {r.virtual_slot: r.shard for r in got}
+
+    first, owner = places()
+    assert first == 1 and places() == (1, owner)
+    loads = sharding.slot_loads(sharding.part_loads(docs, slots=256))
+    assert sum(x.bytes for x in loads) == sum(len(t or "") + 1 for _, t in rows)
+    assert sharding.rebalance(spark, path, loads, 5) == 2
+    second, grown = places()
+    assert second == 2
+    assert {grown[s] for s in grown if grown[s] != owner[s]} == {4}
+    # new loads: the slots of one shard, not that of the hot id, have become four times as heavy
+    hot = max(loads, key=lambda x: x.bytes).slot
+    grew = min(s for s in range(5) if s != grown[hot])
+    heavier = [
+        sharding.Load(x.slot, x.bytes * (4 if grown[x.slot] == grew else 1), x.rows) for x in loads
+    ]
+    assert sharding.rebalance(spark, path, heavier, 5) == 3
+    _, evened = places()
+
+    def spread(owner):
+        held = Counter()
+        for x in heavier:
+            held[owner[x.slot]] += x.bytes if x.slot != hot else 0
+        rest = [held[s] for s in range(5) if s != owner[hot]]
+        return max(rest) - min(rest)
+
+    assert spread(evened) < spread(grown)
+    assert sharding.rebalance(spark, path, heavier, 5) == 3
+    with pytest.raises(ValueError):
+        sharding.rebalance(spark, path, loads, 2)
+
+
+def test_a_mix_of_texts_under_one_id_is_the_same_in_every_order(spark):
+    rows = [(1, f"{'abcdefgh'[k % 8]} {k}", "s") for k in range(200)]
+    taken = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        got = mixing.mix(docs, share=0.5).select("text", "taken").collect()
+        taken.append(sorted(map(tuple, got)))
+    assert taken[0] == taken[1] and 0 < sum(x[1] > 0 for x in taken[0]) < 200
 
 
 # -- decontamination, near copies, lines -----------------------------------------------------
@@ -563,6 +655,23 @@ def test_base_spans_equal_the_plain_patterns(spark):
         assert r.s == ",".join(x[2] for x in sorted(expected)), texts[r.doc_id]
 
 
+def test_secrets_and_texts_with_many_spans(spark):
+    many = " ".join(f"u{k}@mail{k % 7}.org" for k in range(3000))
+    texts = [
+        'token = "24be64439e3e49cf46b2d7c90f3602a3" end',
+        "api_key: Zm9vYmFyMTIzNDU2Nzg5 and password=short1",
+        "the token = somethingwithoutdigits here",
+        many,
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    found = [[texts[k][s.start : s.end] for s in got[k] if s.kind == "secret"] for k in range(3)]
+    assert found == [
+        ['token = "24be64439e3e49cf46b2d7c90f3602a3'], ["key: Zm9vYmFyMTIzNDU2Nzg5"], []]
+    emails = [(m.start(), m.end()) for m in re.finditer(BASE["email"], many)]
+    assert [(s.start, s.end) for s in got[3] if s.kind == "email"] == emails and len(emails) == 3000
+
+
 def test_bank_numbers_and_context(spark):
     texts = [
         "iban: GB82 WEST 1234 5698 7654 32 ok",
