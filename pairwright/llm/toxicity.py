@@ -8,12 +8,14 @@ powers of the strings' kernels with themselves, so that long words with many let
 A sentence is compared with a landmark through the word of it that is closest, and the Nyström map
 turns the landmark similarities into coordinates in which a linear machine is trained. Landmarks are
 the character sequences that tell toxic from clean documents best, grown as far as they go together,
-and common clean words.
+and common clean words; there are as many as the evidence gives. Words of up to three letters can be
+landmarks as a whole, and only equal words are similar to them.
 
 Labels are those of documents, so a toxic document is a bag with at least one toxic sentence: the
 machine starts from the sentence closest to the toxic landmarks and takes the highest scored one in
-the next turn. The negative sentences are the highest scored ones of clean documents. A document's
-score is that of its highest scored sentence, put on a 0 to 1 scale by Platt's method on documents
+the next turn. Sentences with a landmark that hardly any clean document has are toxic in every turn,
+and so are clean sentences with such a landmark that has a character put in, at every place; a third of these forms is kept for
+the scale. The negative sentences are the highest scored ones of clean documents. A document's score is that of its highest scored sentence, put on a 0 to 1 scale by Platt's method on documents
 the machine was not trained on.
 
 Training sees a bounded sample of the labelled rows (``SAMPLE`` a label, texts of at most
@@ -43,17 +45,23 @@ from pairwright.llm.near_duplicates import WordHashes, minima, shingles
 #: Labelled documents taken for each label, about, and the longest text among them.
 SAMPLE, SAMPLE_BYTES = 2000, 20_000
 #: Letters of a shared subsequence, and the weight of each place it spreads over.
-ORDER, DECAY = 3, 0.8
-#: Landmarks of toxic and of clean text, and the longest one.
-TOXIC_MARKS, CLEAN_MARKS, LONGEST_MARK = 48, 8, 9
+ORDER, DECAY = 3, 0.9
+#: Landmarks of clean text, and the longest one of either. Shorter ones than SHORT are whole words.
+CLEAN_MARKS, LONGEST_MARK, SHORT = 8, 9, 4
+#: Letters put into landmarks to train on.
+PUT_IN = "xzqaeionrst*."
+#: Clean sentences that each such form is put into.
+CONTEXTS = 6
 #: Log likelihood ratio a toxic landmark must have: among a million sequences one by chance.
 LEAST_EVIDENCE = 14.0
+#: How many times as common as in clean documents a sure one is in toxic documents.
+PURE = 50
 #: Words are compared in pieces of this many characters, overlapping by half.
 PIECE = 24
 #: A word must share this part of a landmark's distinct letters to be compared with it.
 SHARED = 0.7
-#: The power of a word's own kernel that its similarities are divided by; a half would be cosine.
-ENDING = 0.25
+#: The power of a word's own kernel that its similarities are divided by; a half is cosine.
+ENDING = 0.4
 #: The similarity is raised to this power, which is a kernel as well.
 POWER = 3
 #: Words of a text whose similarities a worker remembers, and words handled at a time.
@@ -142,6 +150,9 @@ class Similarity:
         self.marks = codes(landmarks, self.width)
         self.bits = letter_bits(self.marks)
         self.needed = np.ceil(SHARED * np.bitwise_count(self.bits)).astype(np.uint8)
+        # short landmarks are words, and only an equal word is similar to them
+        self.short = {m: k for k, m in enumerate(landmarks) if len(m) < SHORT}
+        self.needed[list(self.short.values())] = 255
         self.own = np.maximum(raw_kernel(self.marks, self.marks), DECAY ** (2 * ORDER))
 
     def of_words(self, words: list[str]) -> np.ndarray:
@@ -151,6 +162,8 @@ class Similarity:
             for part in pieces(word):
                 owner.append(k)
                 parts.append(part)
+                if part in self.short:
+                    out[k, self.short[part]] = 1
         owner = np.array(owner)
         length = np.array([len(p) for p in parts])
         for low, high in ((ORDER - 1, 8), (8, 12), (12, PIECE)):
@@ -267,8 +280,8 @@ def word_counts(texts: list[str]) -> Counter:
     return counts
 
 
-def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str]]:
-    """Letter sequences that tell the two apart best, and common clean words.
+def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Letter sequences that tell the two apart best, common clean words, and the sure ones of the first.
 
     The best sequence is taken, the words it is part of are set aside, and so on: each landmark
     stands for words that no earlier one is part of.
@@ -279,17 +292,19 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], lis
     # so often at least must a sequence occur to have the evidence needed, and so must its start
     least = max(4, int(LEAST_EVIDENCE / -np.log(part_toxic)))
     counts: dict[str, list[int]] = {}
-    for size in range(4, LONGEST_MARK + 1):
+    for size in range(SHORT, LONGEST_MARK + 1):
         found: Counter = Counter()
         for word, n in there.items():
             for k in range(len(word) - size + 1):
-                if size == 4 or word[k : k + size - 1] in counts:
+                if size == SHORT or word[k : k + size - 1] in counts:
                     found[word[k : k + size]] += n
         counts |= {part: [n, 0] for part, n in found.items() if n >= least}
-    inside: dict[str, set[str]] = {part: set() for part in counts}
+    short = {w: n for w, n in there.items() if len(w) < SHORT and n >= least}
+    counts |= {word: [n, here[word]] for word, n in short.items()}
+    inside: dict[str, set[str]] = {part: {part} & short.keys() for part in counts}
     for words, place in ((there, 0), (here, 1)):
         for word, n in words.items():
-            for size in range(4, LONGEST_MARK + 1):
+            for size in range(SHORT, LONGEST_MARK + 1):
                 for k in range(len(word) - size + 1):
                     if (part := word[k : k + size]) in counts:
                         if place:
@@ -308,14 +323,19 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], lis
         return ratio * (1 + 0.05 * len(part)) if ratio >= LEAST_EVIDENCE else 0.0
 
     marks: list[str] = []
+    telling: list[str] = []
     value = {part: worth(part) for part in counts}
-    while value and len(marks) < TOXIC_MARKS:
+    while value:
         best = max(value, key=lambda part: (value[part], part))
         if value[best] <= 0:
             break
         marks.append(best)
+        a, b = counts[best]
+        sure = value[best] >= 2 * LEAST_EVIDENCE
+        if sure and a * (1 - part_toxic) >= PURE * b * part_toxic:
+            telling.append(best)
         for word in list(inside[best]):
-            for size in range(4, LONGEST_MARK + 1):
+            for size in range(SHORT, LONGEST_MARK + 1):
                 for k in range(len(word) - size + 1):
                     part = word[k : k + size]
                     if part in value and word in inside[part]:
@@ -324,8 +344,18 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> tuple[list[str], lis
                         counts[part][1] -= here[word]
                         value[part] = worth(part)
         value.pop(best)
-    words = {w: n for w, n in here.items() if 4 <= len(w) <= LONGEST_MARK}
-    return marks, [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:CLEAN_MARKS]]
+    words = {w: n for w, n in here.items() if SHORT <= len(w) <= LONGEST_MARK}
+    common = sorted(words, key=lambda w: (-words[w], w))[:CLEAN_MARKS]
+    return marks, common, telling
+
+
+def with_letter_put_in(mark: str) -> list[str]:
+    """A landmark with one character put in, at every place after the first; each place gets three."""
+    return [
+        mark[:k] + PUT_IN[(3 * k + n) % len(PUT_IN)] + mark[k:]
+        for k in range(1, len(mark) + 1)
+        for n in range(3)
+    ]
 
 
 def train_machine(rows: np.ndarray, signs: np.ndarray, turns: int = 30) -> tuple[np.ndarray, float]:
@@ -365,7 +395,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     marked = np.array(labels)
     if len(set(labels)) < 2:
         return None
-    toxic, clean = choose_landmarks(
+    toxic, clean, telling = choose_landmarks(
         [t for t, y in zip(texts, labels, strict=True) if y],
         [t for t, y in zip(texts, labels, strict=True) if not y],
     )
@@ -381,27 +411,43 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     space = rows @ to_space
     held = np.arange(len(texts)) % 3 == 2  # for the scale, not for the machine
     leading = rows[:, : len(toxic)].sum(axis=1) if toxic else rows.sum(axis=1)
-    # toxic landmarks with a character put in count as toxic sentences too
-    altered = [m[:k] + c + m[k:] for m in toxic if len(m) > 4 for k in (2, 3) for c in "x.-"]
-    altered = known.similarity.of_words(altered) @ to_space if altered else space[:0]
+    # insults seen in hardly any clean document: what holds one is a toxic sentence of a toxic
+    # document, and so is a clean one into which it is put with one more character
+    forms = [form for m in telling if len(m) >= SHORT for form in with_letter_put_in(m)]
+    around = np.flatnonzero(marked[owner] == 0)
+    altered = space[:0]
+    if forms and len(around):
+        drawn = np.random.default_rng(5).choice(around, (CONTEXTS, len(forms)))
+        alike = known.similarity.of_words(forms)
+        altered = np.concatenate([np.maximum(alike, rows[some]) for some in drawn]) @ to_space
+    kept_back = np.tile(np.arange(len(forms)) % 3 == 2, CONTEXTS)[: len(altered)]
+    columns = [landmarks.index(m) for m in telling]
+    plain = np.flatnonzero((rows[:, columns] > 0.999).any(axis=1) & (marked[owner] == 1))
+    plain = plain[~held[owner[plain]]]
     weights, bias = np.zeros(len(landmarks)), 0.0
     for _ in range(3):
         order = np.lexsort((-leading, owner))
         top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
         second = order[np.r_[False, owner[order][1:] == owner[order][:-1]]]
         more = second[marked[owner[second]] == 0][:: max(1, len(second) // 4000)]
-        use = np.concatenate([top[~held[owner[top]]], more[~held[owner[more]]]])
+        use = np.concatenate([top[~held[owner[top]]], more[~held[owner[more]]], plain])
+        use = np.unique(use)
         signs = np.where(marked[owner[use]] == 1, 1.0, -1.0)
         if len(set(signs.tolist())) < 2:
             break
+        learned = altered[~kept_back]
         weights, bias = train_machine(
-            np.concatenate([space[use], altered]), np.append(signs, np.ones(len(altered)))
+            np.concatenate([space[use], learned]), np.append(signs, np.ones(len(learned)))
         )
         leading = space @ weights + bias
     best = np.full(len(texts), bias)
     np.maximum.at(best, owner, leading if len(leading) else np.zeros(0))
     scale = held if len(set(marked[held].tolist())) == 2 and held.sum() >= 50 else ~held
-    slope, offset = platt(best[scale], marked[scale])
+    # forms the machine was not trained on belong to the scale as well
+    unseen = altered[kept_back] @ weights + bias
+    slope, offset = platt(
+        np.append(best[scale], unseen), np.append(marked[scale], np.ones(len(unseen)))
+    )
     return Model(landmarks, to_space @ weights, bias, slope, offset)
 
 

@@ -78,6 +78,41 @@ def test_toxicity_on_documents_not_trained_on():
     assert scores[0] < 0.3 and (scores[1:] > 0.7).all()
 
 
+def test_insults_with_a_letter_put_in_at_every_place():
+    rows, toxic = corpus.documents(seed=21, count=600)
+    learn, check = rows[:400], rows[400:]
+    model = toxicity.fit([r[1] for r in learn], [int(r[0] in toxic) for r in learn])
+    known = toxicity.Remembered(toxicity.Similarity(model.landmarks))
+    clean = [r[1] for r in check if r[0] not in toxic]
+    assert (model.scores(clean, known) >= 0.7).mean() < 0.03
+    forms = [
+        word[:k] + letter + word[k:]
+        for word in ("idiot", "moron", "loser")
+        for k in range(1, len(word))
+        for letter in "abcdfghjkuvwy"
+    ]
+    scores = model.scores([f"onst theer {form} ouing" for form in forms], known)
+    assert (scores >= 0.7).mean() >= 0.9
+
+
+def test_insult_of_three_letters():
+    rng = random.Random(5)
+
+    def documents(count):
+        lines = [corpus.prose(rng, "en", 30).split() for _ in range(count)]
+        for line in lines[::2]:
+            line.insert(rng.randrange(len(line)), "oaf")
+        return [" ".join(line) for line in lines], [1 - k % 2 for k in range(count)]
+
+    model = toxicity.fit(*documents(400))
+    assert "oaf" in model.landmarks
+    known = toxicity.Remembered(toxicity.Similarity(model.landmarks))
+    texts, labels = documents(100)
+    right = [(s >= 0.7) == bool(y) for s, y in zip(model.scores(texts, known), labels, strict=True)]
+    assert sum(right) >= 98
+    assert model.scores(["loaf of oats", "you oaf!"], known).round().tolist() == [0, 1]
+
+
 def test_forward_backward_equals_enumeration(monkeypatch):
     rng = np.random.default_rng(2)
     emit, moves, first = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
