@@ -61,7 +61,7 @@ PIECE = 24
 #: A word must share this part of a landmark's distinct letters to be compared with it.
 SHARED = 0.7
 #: The power of a word's own kernel that its similarities are divided by; a half is cosine.
-ENDING = 0.4
+ENDING = 0.5
 #: The similarity is raised to this power, which is a kernel as well.
 POWER = 3
 #: Words of a text whose similarities a worker remembers, and words handled at a time.
