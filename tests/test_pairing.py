@@ -221,3 +221,41 @@ def test_unusable_sources_are_refused(bad):
     fields = {"reference": 1.0, "date": 2.0}
     with pytest.raises(SpecError):
         Source(name="S", columns=fields, aliases={f: [f] for f in fields}, **bad)
+
+
+def test_only_large_keys_are_numbered_by_blocks(spark, monkeypatch):
+    """A large run whose keys are of ordinary size is shuffled once, and nothing of it is staged."""
+    monkeypatch.setattr(blocks, "BLOCK_BITS", 3)
+    unlike = [rec(description=f"T{i}", quantity=str(i)) for i in range(60)]
+    same = [rec(description="SAME")] * 20
+
+    def paired(documents, sheets):
+        staged = []
+        normalised = pg.normalize_records(records(spark, documents, sheets, "S"), KEYED)
+        pairs = pg.pair_records(
+            normalised, KEYED, lambda df, label: staged.append(label) or df, carry=())
+        got = sorted(
+            (r.pair_key, r.n, r.outcome, r.document and r.document.ordinal,
+             r.spreadsheet and r.spreadsheet.ordinal) for r in pairs.collect())
+        return got, staged, pairs.schema["document"].dataType.names
+
+    got, staged, held = paired(unlike, unlike[:50])
+    assert staged == [] and held == ["ordinal", "locator"]
+    assert [o for _, _, o, _, _ in got].count("matched") == 50 and len(got) == 60
+    got, staged, _ = paired(unlike + same, unlike + same[:15])
+    assert staged == ["blocks"] and len(got) == 80
+    large = [r for r in got if "SAME" in r[0]]
+    assert [(n, d, s) for _, n, _, d, s in large] == [
+        (n, 60 + n, 60 + n if n <= 15 else None) for n in range(1, 21)]
+
+
+def test_outcomes_need_no_carried_values(spark):
+    rows = records(
+        spark, [inv(), inv("X", amount="5"), inv("")], [inv(), inv("X", amount="6")],
+        "ACME_SUPPLIES")
+    normalised = pg.normalize_records(rows, BY_ID)
+    whole, bare = pg.pair_records(normalised, BY_ID), pg.pair_records(normalised, BY_ID, carry=())
+    shown = [*pg.RUN, "pair_key", "n", "outcome", "document.locator", "spreadsheet.locator"]
+    assert "differences" not in bare.columns
+    assert sorted(map(str, bare.select(*shown).collect())) == sorted(
+        map(str, whole.select(*shown).collect()))
