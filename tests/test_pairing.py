@@ -259,3 +259,14 @@ def test_outcomes_need_no_carried_values(spark):
     assert "differences" not in bare.columns
     assert sorted(map(str, bare.select(*shown).collect())) == sorted(
         map(str, whole.select(*shown).collect()))
+
+
+def test_leftovers_meet_one_row_of_their_key(spark, monkeypatch):
+    """Keys without leftovers are dropped before the join, and no window runs over a key."""
+    monkeypatch.setattr(blocks, "BLOCK_BITS", 2)
+    normalised = pg.normalize_records(records(spark, [rec("B")] * 3, [rec()] * 9 + [rec("B")]), KEYED)
+    pairs = pg.pair_records(normalised, KEYED, carry=()).localCheckpoint()
+    ordered = pg.order_one_sided(pg.one_sided(pairs, KEYED), pairs)
+    assert sorted((r.group_pos, r.first_seen or 0, r.ordinal) for r in ordered.collect()) == [
+        (1, 0, 2), (1, 0, 3), *[(2, 1, i) for i in range(1, 10)]]
+    assert "Window" not in ordered._jdf.queryExecution().executedPlan().toString()
