@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.operators import layout as ly
 from pairwright.plans.derived_inputs import ORDERS, order_words, table
 from pairwright.plans.registry import query
-from pairwright.session import new_dir
+from pairwright.session import materialize, new_dir
 from pairwright.sources.files import scan_words as read_words
 from pairwright.specs import KNOWN_FIELDS
 
@@ -215,7 +215,9 @@ def columns_to_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM final WHERE keep""",
 )
 def records_vs_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = ly.read_lines(order_words(spark, sf_dir), ORDERS)
+    # read by both branches: what is shown of a line is kept, its words are not
+    shown = [*ly.PAGE, "line", "locator", "text", "is_record"]
+    read = materialize(ly.read_lines(order_words(spark, sf_dir), ORDERS).select(*shown), "lines")
     unread = ly.unread_lines(read).withColumn("is_record", F.lit(False))
     records = read.filter("is_record").select(
         *ly.PAGE, "line", "is_record", F.lit(None).cast("string").alias("unread_line")

@@ -103,3 +103,11 @@ def test_columns_are_proposed_where_words_start(spark):
     got = sorted(tuple(r) for r in ly.propose_columns(words).collect())
     assert got == [("S", 40, 42, 60, 1000), ("S", 110, 110, 60, 1000), ("S", 300, 300, 59, 983)]
     assert ly.propose_columns(words.limit(0)).count() == 0
+
+
+def test_records_and_unread_lines_read_the_words_once(spark):
+    from pairwright.plans.catalog import QUERIES
+
+    plan = QUERIES["records_vs_unread"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "orders.parquet" not in text
