@@ -36,8 +36,9 @@ def group_lines(words: DataFrame) -> DataFrame:
     for column in (*_BLOCK, "page"):
         by_block = by_block.filter(F.col(column).isNotNull())
     by_block = by_block.repartition(*_BLOCK)
+    # what tells most words of a task apart comes first: words are sorted by it
     return (
-        by_block.groupBy(*_BLOCK, "page", F.rint("top").alias("line_top"))
+        by_block.groupBy("page", F.rint("top").alias("line_top"), *_BLOCK)
         .agg(F.sort_array(F.collect_list(F.struct("x0", "top", "seq", "text"))).alias("words"))
         .withColumn("text", line_text(F.col("words")))
     )
@@ -65,7 +66,7 @@ def mark_sections(lines: DataFrame, config: Config) -> DataFrame:
 
     Every line consumed as a marker, skipped or outside the section has ``keep`` false.
     """
-    layout = config.layout_table(lines.sparkSession)
+    layout = config.layout_table(lines.sparkSession).drop("starts", "spans")
     marked = (
         lines.join(F.broadcast(layout), "source")
         .withColumn("is_start", contains_any(F.col("text"), "start_markers"))
@@ -111,38 +112,46 @@ def column_of(x0: Column, starts: str = "starts") -> Column:
 def assign_columns(lines: DataFrame) -> DataFrame:
     """Add one text column per known field; NULL where the source does not have the field.
 
-    Needs ``words`` and the source's ``starts``.
+    Needs ``words``, left to right, and the source's ``spans``. A word belongs to a field when it
+    starts in its span, which is what :func:`column_of` says of it.
     """
-    placed = lines.withColumn(
-        "placed",
-        F.transform(
-            "words", lambda w: F.struct(column_of(w["x0"]).alias("field"), w["text"].alias("text"))
-        ),
-    )
-    has = F.col("starts")["field"]
 
     def value(field: str) -> Column:
-        mine = F.filter("placed", lambda p: p["field"] == field)
-        return F.when(F.array_contains(has, field), F.array_join(mine["text"], " "))
+        start, stop = F.col("spans")[field]["start"], F.col("spans")[field]["stop"]
+        mine = F.filter(
+            "words",
+            lambda w: (start - COLUMN_TOLERANCE <= w["x0"])
+            & (stop.isNull() | (w["x0"] < stop - COLUMN_TOLERANCE)),
+        )
+        return F.when(start.isNotNull(), F.array_join(mine["text"], " "))
+
+    return lines.withColumns({f: value(f) for f in KNOWN_FIELDS})
 
-    return placed.withColumns({f: value(f) for f in KNOWN_FIELDS}).drop("placed")
+
+def gives_value(words: Column) -> Column:
+    """True when a word that shows something stands in a column. Needs the source's ``starts``."""
+    leftmost = F.col("starts")[0]["x0"]
+    return F.exists(
+        words, lambda w: (leftmost - COLUMN_TOLERANCE <= w["x0"]) & (F.trim(w["text"]) != "")
+    )
 
 
 def read_lines(words: DataFrame, config: Config) -> DataFrame:
     """Record lines of all documents, split into fields, with their locators.
 
-    ``is_record`` tells lines that gave a value from lines nobody could read.
+    ``is_record`` tells lines that gave a value from lines nobody could read. It looks at the words
+    and not at the values, which are then put together only once, for the lines that are asked for.
     """
+    layout = config.layout_table(words.sparkSession).select("source", "starts", "spans")
     lines = mark_sections(number_lines(group_lines(words)), config).filter("keep")
-    read = assign_columns(lines)
-    any_value = F.concat_ws("", *[F.trim(f) for f in KNOWN_FIELDS]) != ""
+    read = assign_columns(lines.join(F.broadcast(layout), "source"))
     return (
         read.withColumn("locator", document_locator(F.col("page"), F.col("line")))
         .withColumn(
             "ordinal",
             F.shiftleft(F.col("page").cast("long"), LINE_BITS) + F.col("line"),
         )
-        .withColumn("is_record", any_value)
+        .withColumn("is_record", F.coalesce(gives_value(F.col("words")), F.lit(False)))
     )
 
 

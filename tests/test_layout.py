@@ -111,3 +111,16 @@ def test_records_and_unread_lines_read_the_words_once(spark):
     plan = QUERIES["records_vs_unread"](spark, "/root/testdata/sf0.001")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "orders.parquet" not in text
+
+
+def test_values_are_put_together_once(spark):
+    lines = [[("2026-03-02", 41), ("ALPHA", 110), ("x", 150), (" ", 300), ("5.00", 381)],
+             [("~", 5), ("note", 12)], [("~", 5), (" ", 110), (" ", 400)]]
+    rows = read(spark, words_of(lines, source="S"))
+    plan = ly.document_records(rows)._jdf.queryExecution().optimizedPlan().toString()
+    # the filter on lines that give a value does not put the values together again
+    assert 0 < plan.count("array_join(filter(") <= len(COLUMNS) + 2
+    got = {r.line: (r.is_record, r.date, r.description, r.quantity, r.amount, r.account)
+           for r in rows.collect()}
+    assert got == {1: (True, "2026-03-02", "ALPHA x", " ", "5.00", None),
+                   2: (False, "", "", "", "", None), 3: (False, "", " ", "", " ", None)}
