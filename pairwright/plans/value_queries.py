@@ -263,7 +263,7 @@ def mask_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM lineitem)""",
 )
 def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_records(line_records(spark, sf_dir), LINES).select(
+    return normalize_records(line_records(spark, sf_dir), LINES, every=False).select(
         "side",
         "source",
         "ordinal",

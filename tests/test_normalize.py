@@ -134,3 +134,17 @@ def test_names(spark):
         ".pdf", "", "", ".gz", ""]
     assert apply(spark, ["a.pdf", "none"], lambda c: numbered_name(c, F.lit(2))) == [
         "a (2).pdf", "none (2)"]
+
+
+def test_numbers_whose_form_is_in_their_text(spark):
+    shown = {
+        "0": "0", "-17": "-17", "17.0": "17", "1,234.50": "1234.5", "EUR 12,345.67": "12345.67",
+        "-0": "0", "-0.00": "0", "007": "7", "100.": "100", "12.5000000000": "12.5", "0.50 €": "0.5",
+        "1,2340": "1.234", "123456789012345": "123456789012345",
+    }
+    rows = spark.createDataFrame(list(shown.items()), "v string, wanted string")
+    got = rows.select("v", nz.norm_number("v").alias("n")).collect()
+    assert {r.v: r.n for r in got} == shown
+    quick = rows.select("v", F.rlike("v", F.lit(nz._EXACT_NUMBER)).alias("q"))
+    assert {r.v for r in quick.filter("q").collect()} == {
+        "0", "-17", "17.0", "1,234.50", "EUR 12,345.67", "0.50 €"}

@@ -270,3 +270,41 @@ def test_leftovers_meet_one_row_of_their_key(spark, monkeypatch):
     assert sorted((r.group_pos, r.first_seen or 0, r.ordinal) for r in ordered.collect()) == [
         (1, 0, 2), (1, 0, 3), *[(2, 1, i) for i in range(1, 10)]]
     assert "Window" not in ordered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_nobody_pairs_by_are_not_read(spark):
+    short = Source(name="A", columns=KEYED.sources[0].columns, aliases=KEYED.sources[0].aliases,
+                   match_key=("description", "quantity"))
+    config = Config(sources=[short, KEYED.sources[0]])
+    rows = records(spark, [rec()], [rec()], "A").unionByName(records(spark, [rec()], [rec()], "S"))
+    every = pg.normalize_records(rows, config)
+    some = pg.normalize_records(rows, config, every=False)
+    columns = ["source", "side", "pair_key"]
+    assert sorted(some.select(columns).collect()) == sorted(every.select(columns).collect())
+    read = {r.source: (r.n_date, r.n_amount, r.n_quantity) for r in some.collect()}
+    assert read == {"A": (None, None, "1"), "S": ("2026-03-02", "100", "1")}
+    assert pg.pair_records(some, config).filter("outcome = 'matched'").count() == 2
+
+
+def test_records_are_sorted_by_a_number_first(spark):
+    documents, sheets = random_sides(9)
+    pairs = pairs_of(spark, documents, sheets)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert sorts and all(f"Sort [{pg.KEY_NUMBER}" in line for line in sorts)
+    assert pg.KEY_NUMBER not in pairs.columns
+
+
+def test_large_tables_are_read_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from pairwright.plans import derived_inputs as di
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+
+    def shuffled():
+        rows = di.table(spark, str(tmp_path), "t")
+        assert rows.count() == 100
+        return "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+    assert shuffled()
+    monkeypatch.setattr(di, "SPLIT_BYTES", 1)
+    assert not shuffled()
